@@ -3,23 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import html_extract, mixing, quality, secret_scan, warc
+from .support import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged.select(*base, "band", "piece_chars", "byte_chars", "fallback_share", "token_entropy", "evenness", "off_band")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    base = F.sha2(secret_scan.listed("assign", "access", "hex"), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), secret_scan.listed(*secret_scan.KINDS).alias("spans"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.resolved(warc.read_archives(spark, path, payloads=False))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op10_source_mixing": op10_source_mixing}
-ORACLES = {"op10_source_mixing": mixing.ORACLE}
+QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_secret_scan": op5_secret_scan,
+    "op8_warc": op8_warc,
+    "op10_source_mixing": op10_source_mixing,
+}
+ORACLES = {"op8_warc": warc.ORACLE, "op10_source_mixing": mixing.ORACLE}
