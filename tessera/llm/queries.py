@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, mixing, quality, secret_scan, warc
+from . import html_extract, line_dedup, mixing, quality, secret_scan, warc
 from .support import scratch_path
 
 
@@ -17,6 +17,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -43,9 +48,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_line_dedup": op2_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
     "op8_warc": op8_warc,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLES = {"op8_warc": warc.ORACLE, "op10_source_mixing": mixing.ORACLE}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op8_warc": warc.ORACLE, "op10_source_mixing": mixing.ORACLE}
