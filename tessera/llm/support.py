@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -210,3 +211,31 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def minima(grams: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest (leftmost on ties) of every `width` neighbouring hashes."""
+    n = len(grams) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    place, reach = np.arange(len(grams)), 1
+    while reach < width:  # doubling; the last step overlaps
+        step = min(reach, width - reach)
+        left, right = place[:-step], place[step:]
+        place = np.where(grams[right] < grams[left], right, left)
+        reach += step
+    return place[:n]
+
+
+def run_hashes(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words of any length; equal to gram_hashes for runs of n."""
+    up, down = _WORDS.get(len(words) + 1)
+    sums = np.zeros(len(words) + 1, _U)
+    np.cumsum(words * up[:-1], out=sums[1:])
+    return mix64((sums[starts + lengths] - sums[starts]) * down[starts] + lengths.astype(_U))
+
+
+def int_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of an array<int> column and the rows' counts; a null is an empty list."""
+    counts = np.array(pa.compute.fill_null(pa.compute.list_value_length(column), 0), np.int64)
+    return np.array(column.flatten(), np.int64), counts
