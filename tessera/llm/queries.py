@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, mixing, quality, secret_scan, substring_dedup, warc
+from . import decontaminate, html_extract, jaccard_join, line_dedup, mixing, quality, secret_scan, substring_dedup, warc
 from .support import scratch_path
 
 
@@ -22,6 +22,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -59,6 +63,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_line_dedup": op2_line_dedup,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
