@@ -25,10 +25,15 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
+from .support import staged
+
 VERSION = b"WARC/1.1\r\n"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -48,18 +53,36 @@ def record_uri(page_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES, log_bits: int = bloom.LOG_BITS) -> DataFrame:
     """page_id, url, payload, digest and refers_to (null for responses).
 
-    Only ids and digests meet in the group-by and the first join; the payloads
-    move once, by their own key.
+    Ids and digests meet in the group-by and the first join. A Bloom filter of
+    the revisits' keys of fixed size then lets all other rows pass where they
+    are: only what it holds (revisits, and the few rows it mistakes for them) is
+    shuffled with its payload to the exact join.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha1(F.encode("payload", "UTF-8")))
     keys = rows.where(F.octet_length("payload") >= least_bytes).select("page_id", "digest")
     largest = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
-    revisits = keys.join(largest, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
     named = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    return rows.withColumn("_id", named).join(revisits.select(named.alias("_id"), "digest", "refers_to"), ["_id", "digest"], "left").drop("_id")
+    revisits = keys.join(largest, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(named.alias("_id"), "digest", "refers_to").distinct()
+    revisits = staged(revisits, "revisits")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield np.array(batch.column(0)).view(np.uint64)
+
+    held = pages.sparkSession.sparkContext.broadcast(bloom.build(revisits.select(F.xxhash64("_id", "digest")), hashes, "once", log_bits))
+
+    @F.pandas_udf("boolean")
+    def maybe(key: pd.Series) -> pd.Series:
+        return pd.Series(held.value.test(key.to_numpy(np.int64).view(np.uint64)))
+
+    flagged = rows.withColumn("_id", named).withColumn("_maybe", maybe(F.xxhash64("_id", "digest")))
+    passed = flagged.where(~F.col("_maybe")).withColumn("refers_to", F.lit(None).cast(pages.schema["page_id"].dataType))
+    met = flagged.where("_maybe").join(revisits, ["_id", "digest"], "left")
+    columns = ["page_id", "url", "payload", "digest", "refers_to"]
+    return passed.select(*columns).unionByName(met.select(*columns))
 
 
 def records(pages: DataFrame, *, date: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
