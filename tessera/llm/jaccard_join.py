@@ -272,7 +272,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def similarity_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, log_bits: int = bloom.LOG_BITS) -> DataFrame:
-    """doc_id, node, n_shingles, component_id: a row per document."""
+    """doc_id, node, root, n_shingles, component_id: a row per document.
+
+    node is the row's key and root that of its component, for rows that share a doc_id.
+    """
     spark = docs.sparkSession
     rows = S.staged(signatures(docs, shingle), "signatures")
     same = ["n_shingles", "sig1", "sig2"]
@@ -293,5 +296,21 @@ def similarity_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: i
     roots = components(links(found, percent=percent, block=block))
     rooted = classes.join(roots, classes["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("members").alias("size")).where("size > 1").drop("size")
-    named = rooted.join(least, "root").select(*same, "component_id")
-    return rows.join(named, same, "left").select("doc_id", "node", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = rooted.join(least, "root").select(*same, "root", "component_id")
+    return rows.join(named, same, "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents of smallest id of every component, one row each; documents without shingles all stay.
+
+    Decisions are rows of ids. Only rows that go, or that have equal twins, are
+    named in the table that meets the texts.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")
+    rows = found.where("n_shingles > 0").select("doc_id", "node", "root")
+    keepers = rows.groupBy("root").agg(F.min(order)["node"].alias("keeper"))
+    per_node = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("twins")).join(keepers, "root")
+    odd = per_node.where("node <> keeper OR twins > 1").select(F.col("node").alias("_odd"), (F.col("node") == F.col("keeper")).alias("_stays"))
+    marked = docs.withColumn("_node", S.row_key()).join(odd, F.col("_node") == F.col("_odd"), "left")
+    plain = marked.where("_odd IS NULL").select(*docs.columns)
+    return plain.unionByName(marked.where("_stays").dropDuplicates(["_node"]).select(*docs.columns))

@@ -189,19 +189,19 @@ def measure(docs: DataFrame, *, tokenizers: str = TOKENIZERS, carry: tuple[str,
         with open(f"{tokenizers}/{name}", "rb") as f:
             models.append(f.read())
     shared = spark.sparkContext.broadcast(tuple(models))
-    kept = docs.select(*carry, "text").drop("text").schema
+    kept = docs.select(*carry).schema
     names = [x.split()[0] for x in MEASURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fertility = Fertility(*shared.value)
-        for part, buf, at in S.slices(batches, "text"):
+        for part, buf, at in S.slices(batches, "_text"):
             found = _measure(buf, at, fertility)
-            columns = [part.column(part.schema.get_field_index(c)) for c in carry]
+            columns = part.columns[: len(carry)]
             columns += [pa.array(found[k], pa.float64() if k == "token_entropy" else pa.int64(), from_pandas=True) for k in names]
             yield pa.RecordBatch.from_arrays(columns, names=[*carry, *names])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), MEASURES])
-    return docs.select(*carry, "text").mapInArrow(run, ddl)
+    return docs.select(*carry, docs["text"].alias("_text")).mapInArrow(run, ddl)
 
 
 def judge(measured: DataFrame, bands: Bands | None = None) -> DataFrame:
@@ -244,3 +244,11 @@ def judge(measured: DataFrame, bands: Bands | None = None) -> DataFrame:
 
 def quality_rules(docs: DataFrame, *, bands: Bands | None = None, tokenizers: str = TOKENIZERS, carry: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     return judge(measure(docs, tokenizers=tokenizers, carry=carry), bands)
+
+
+def keep_good(docs: DataFrame, *, bands: Bands | None = None, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """The documents that pass, with all their columns, whatever these are called."""
+    carried = [f"_in{i}" for i in range(len(docs.columns))]
+    shielded = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, carried, strict=True)], "lang", "text")
+    judged = quality_rules(shielded, bands=bands, tokenizers=tokenizers, carry=(*carried, "lang"))
+    return judged.where("kept").select(*[F.col(k).alias(c) for c, k in zip(docs.columns, carried, strict=True)])
