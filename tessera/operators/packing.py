@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.staging import staged, with_ordinal
 
 BLOCK_ROWS = 100_000
+GROUP_BLOCKS = 256
 
 
 def _next_starts(sizes: np.ndarray, budget: int, count: int) -> np.ndarray:
@@ -27,10 +28,11 @@ def next_fit(units: DataFrame, order: Sequence[Column | str], size: str, budget:
 
     A batch holds at most `count` rows, so a block of rows can only be entered in
     its first `count` rows. Every block works out where each possible entry
-    leaves it (rows beyond the block's end are lent by the next one); hopping
-    through these small tables gives each block's real entry, and a second
-    parallel pass assigns batches. What is gathered in one place is `count` rows
-    per block, not the units.
+    leaves it (rows beyond the block's end are lent by the next one). Groups of
+    GROUP_BLOCKS such tables are composed in parallel; hopping through the groups'
+    tables, then through the blocks' of each group, gives every block's real
+    entry, and a second parallel pass assigns batches. What is gathered in one
+    place is `count` rows per 25 million units.
     """
     if block <= count:
         raise ValueError("a block must be longer than a batch")
@@ -51,15 +53,27 @@ def next_fit(units: DataFrame, order: Sequence[Column | str], size: str, budget:
         n = min(count, own)
         return pd.DataFrame({"_of": of, "entry": np.arange(n), "leaves": leaves[:n]})
 
-    def hop(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = {(b, e): x for b, e, x in zip(pdf["_of"], pdf["entry"], pdf["leaves"], strict=True)}
-        entry, rows = 0, []
+    def hops(pdf: pd.DataFrame, entry: int) -> list[tuple[int, int]]:
+        """(block, entry) along the tables of some blocks, entered at `entry`; at the end, where the last one is left."""
+        table, rows = {(b, e): x for b, e, x in zip(pdf["_of"], pdf["entry"], pdf["leaves"], strict=True)}, []
         for b in sorted(set(pdf["_of"])):
             rows.append((b, entry))
             entry = table.get((b, entry), 0)
-        return pd.DataFrame(rows, columns=["_of", "entry"])
+        return [*rows, (-1, entry)]
 
-    entries = blocks.groupBy("_of").applyInPandas(exits, "_of long, entry long, leaves long").groupBy(F.lit(1)).applyInPandas(hop, "_of long, entry long")
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(int(pdf["_group"].iloc[0]), e, hops(pdf, e)[-1][1]) for e in range(count)], columns=["_of", "entry", "leaves"])
+
+    def top(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(hops(pdf, 0)[:-1], columns=["_group", "first"])
+
+    def inner(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(hops(pdf, int(pdf["first"].iloc[0]))[:-1], columns=["_of", "entry"])
+
+    tables = staged(blocks.groupBy("_of").applyInPandas(exits, "_of long, entry long, leaves long").withColumn("_group", F.floor(F.col("_of") / GROUP_BLOCKS)), "exits")
+    groups = tables.groupBy("_group").applyInPandas(compose, "_of long, entry long, leaves long").withColumn("_all", F.lit(0))
+    firsts = groups.groupBy("_all").applyInPandas(top, "_group long, first long")
+    entries = tables.join(firsts, "_group").groupBy("_group").applyInPandas(inner, "_of long, entry long")
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ordinal")

@@ -104,7 +104,7 @@ def dedup_folded(spark, sf):
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "]"
-_TOKENS = f"list_filter(list_distinct(list_transform(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9_]+'), x -> lower(x))), x -> NOT list_contains({_STOP}, x))"
+_TOKENS = f"list_filter(list_distinct(list_transform(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9_]+'), lambda x: lower(x))), lambda x: NOT list_contains({_STOP}, x))"
 
 
 @query(
@@ -524,9 +524,9 @@ _ROLES = "[" + ", ".join(f"'{s}'" for s in R.ROLES) + "]"
 
 
 @query(
-    f"""SELECT doc_id, len(list_distinct(list_filter({_IDENT}, w -> len(list_filter({_SENS}, s -> contains(lower(w), s))) > 0))) AS n_sensitive,
-coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z]+'), w -> lower(w)), w -> list_contains({_ROLES}, w)))), ','), '') AS roles,
-len(list_distinct(list_filter(regexp_extract_all(text, '{T.FILE_MENTION}'), f -> contains(f, '/') OR len(regexp_extract_all(f, '[.]')) >= 2))) AS n_files FROM documents"""
+    f"""SELECT doc_id, len(list_distinct(list_filter({_IDENT}, lambda w: len(list_filter({_SENS}, lambda s: contains(lower(w), s))) > 0))) AS n_sensitive,
+coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: lower(w)), lambda w: list_contains({_ROLES}, w)))), ','), '') AS roles,
+len(list_distinct(list_filter(regexp_extract_all(text, '{T.FILE_MENTION}'), lambda f: contains(f, '/') OR len(regexp_extract_all(f, '[.]')) >= 2))) AS n_files FROM documents"""
 )
 def signals_extract(spark, sf):
     docs, text = V.read(spark, sf, "documents"), F.col("text")
@@ -635,7 +635,7 @@ def sarif_results(spark, sf):
 
 
 @query(
-    f"""SELECT id, ord1, ord2, ord3, ord4, ord5, unnest(list_filter([CASE WHEN NOT coalesce(trim(cwe) <> '', false) THEN 'cwe' END, CASE WHEN NOT coalesce(line_start > 5, false) THEN 'line_start' END, CASE WHEN NOT coalesce(sink_ref <> '', false) THEN 'sink_ref' END], x -> x IS NOT NULL)) AS rule FROM ({V.FINDINGS})"""
+    f"""SELECT id, ord1, ord2, ord3, ord4, ord5, unnest(list_filter([CASE WHEN NOT coalesce(trim(cwe) <> '', false) THEN 'cwe' END, CASE WHEN NOT coalesce(line_start > 5, false) THEN 'line_start' END, CASE WHEN NOT coalesce(sink_ref <> '', false) THEN 'sink_ref' END], lambda x: x IS NOT NULL)) AS rule FROM ({V.FINDINGS})"""
 )
 def validate_rows(spark, sf):
     rules = {"cwe": F.trim("cwe") != "", "line_start": F.col("line_start") > 5, "sink_ref": F.col("sink_ref") != ""}
@@ -709,4 +709,5 @@ def incremental_scan(spark, sf):
 
 
 def _folder(spark, sf: str) -> str:
-    return f"{sf}/documents.parquet"
+    """A pattern, since a stream's own path must be a folder and the table may be one file."""
+    return f"{sf}/documents.parquet*"
