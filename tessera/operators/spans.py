@@ -28,8 +28,8 @@ def enclosing(points: DataFrame, heads: DataFrame, key: str, at: str = "line_no"
     by key, and no range join.
     """
     columns = points.columns
-    left = points.select(F.struct(*columns).alias("_row"), key, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(heads.schema[name].dataType).alias("_name"), F.lit(None).cast("long").alias("_head"))
-    right = heads.select(F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), key, F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.col(name).alias("_name"), F.col(at).cast("long").alias("_head"))
+    left = points.select(F.struct(*columns).alias("_row"), key, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(heads.schema[name].dataType).alias("_name"), F.lit(None).cast(heads.schema[at].dataType).alias("_head"))
+    right = heads.select(F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), key, F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.col(name).alias("_name"), F.col(at).alias("_head"))
     so_far = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(right).withColumn(f"enclosing_{name}", F.last("_name", True).over(so_far)).withColumn("enclosing_line", F.last("_head", True).over(so_far))
     return both.where("_kind = 1").select("_row.*", f"enclosing_{name}", "enclosing_line")
