@@ -48,9 +48,10 @@ class Segments:
         self.waiting, self.n = [], 0
         for bits, hashes in ((0, once), (1, once[counts > 1])):
             at = np.unique(np.concatenate([positions(hashes, self.log_bits, p) for p in range(PROBES)])).astype(np.int64)
-            cuts = np.searchsorted(at, np.arange(0, (1 << self.log_bits) + 1, 1 << _SEGMENT))
+            size = 1 << min(_SEGMENT, self.log_bits)
+            cuts = np.searchsorted(at, np.arange(0, (1 << self.log_bits) + 1, size))
             for k in np.flatnonzero(np.diff(cuts)).tolist():
-                lit = np.zeros(1 << min(_SEGMENT, self.log_bits), bool)
+                lit = np.zeros(size, bool)
                 lit[at[cuts[k] : cuts[k + 1]] - (k << _SEGMENT)] = True
                 own = np.packbits(lit, bitorder="little")
                 pair = self.held.setdefault(k, [np.zeros(len(own), np.uint8), np.zeros(len(own), np.uint8)])

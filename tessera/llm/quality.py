@@ -52,10 +52,10 @@ class Bands:
 
     by_language: dict[str, Band] = field(
         default_factory=lambda: {
-            "en": Band((1.75, 4.0), (1.92, 4.0), 0.05),
-            "de": Band((1.75, 4.0), (2.0, 4.0), 0.05),
-            "fr": Band((1.6, 4.0), (1.78, 4.0), 0.05),
-            "es": Band((1.65, 4.0), (1.85, 4.0), 0.05),
+            "en": Band((1.75, 7.0), (1.92, 7.5), 0.05),
+            "de": Band((1.75, 7.0), (2.0, 7.5), 0.05),
+            "fr": Band((1.6, 7.0), (1.78, 7.5), 0.05),
+            "es": Band((1.65, 7.0), (1.85, 7.5), 0.05),
         }
     )
     by_script: dict[str, Band] = field(default_factory=lambda: {"latin": Band((1.4, 7.0), (1.4, 7.5), 0.1), "other": Band((0.3, 7.0), (0.3, 7.5), 0.7)})
