@@ -9,6 +9,7 @@ import corpus_pipeline
 from tessera.llm import line_dedup, quality, support
 
 from .test_similarity import expected_components, expected_hits
+from .test_texts import PROSE
 
 SHARED = "This line stands in many of the documents and is long enough to be counted."
 
@@ -16,15 +17,14 @@ SHARED = "This line stands in many of the documents and is long enough to be cou
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     rng, path = random.Random(12), tmp_path_factory.mktemp("sf")
-    names = ["river", "bridge", "market", "winter", "school", "council", "harbour", "garden", "engine", "letter", "window", "mountain", "teacher", "village", "summer", "station"]
-    verbs = ["crossed", "opened", "built", "watched", "painted", "followed", "repaired", "described", "carried", "remembered"]
-    sentence = lambda: f"The {rng.choice(names)} {rng.choice(verbs)} the old {rng.choice(names)} while a {rng.choice(names)} {rng.choice(verbs)} another {rng.choice(names)} near the {rng.choice(names)}."
+    words = sorted({w.strip(".,?") for w in PROSE.split()} | set("bridge market winter garden letter mountain summer station council built crossed followed repaired carried remembered painted".split()))
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(10)).capitalize() + "."
     text = lambda: " ".join(sentence() for _ in range(14))
     item = "what was the seventh name of the lighthouse keeper who lived beyond the eastern cape"
     rows = [(i, text(), "en", rng.choice(["web", "web", "book"])) for i in range(12)]
     rows += [(20 + i, f"{text()}\n{SHARED}\n{text()}", "en", "web") for i in range(6)]
     copy = text()
-    rows += [(40, copy, "en", "web"), (41, copy, "en", "book"), (42, copy.replace("winter", "winters", 1), "en", None), (42, copy.replace("winter", "winters", 1), "en", None)]
+    rows += [(40, copy, "en", "web"), (41, copy, "en", "book"), (42, copy + " Ends here.", "en", None), (42, copy + " Ends here.", "en", None)]
     rows += [(50, f"{text()} {item}, {text()}", "en", "web"), (60, "short", "en", "web"), (61, None, None, None), (62, sentence() * 30, "en", "web")]
     docs = spark.createDataFrame([(i, t, lang, s, len(t or ""), f"e{i}", 7) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long, node string, size int")
     docs.write.parquet(f"{path}/documents.parquet")

@@ -70,6 +70,14 @@ def counts(text):
 CLEAN = "The old bridge across the river was closed for repairs during the winter, so people had to walk along the northern bank until they reached the ferry. "
 
 
+PROSE = """Rain had fallen since early morning, and the narrow road to the harbour was covered with leaves. Two fishermen stood under
+the roof of the old customs house and talked about prices, engines and the coming election. Nobody expected the ferry before noon. A
+teacher from the village school arrived with her class, because she wanted to show them how the lock gates worked. The children asked
+many questions. Why is water heavier when it is cold? Who paid for this enormous wheel, and when was it painted green? She answered
+patiently, looking at a small notebook from time to time. Later the sun came out, gulls settled on the wall, and somebody opened the
+kitchen window of the inn, so that the smell of fresh bread drifted across the quay."""
+
+
 def test_base_counts_and_tokens_equal_brute_force(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["a", "bb", "ccc", "dé", "#x", "ß y"]) for _ in range(rng.randint(0, 60))) for _ in range(30)]
@@ -91,7 +99,7 @@ def test_base_counts_and_tokens_equal_brute_force(spark):
 
 def test_clean_documents_stay_and_others_go(spark):
     rng = random.Random(1)
-    sentences = [f"In the year {1900 + i} the council of the town decided to build another school near the market, which took {i + 2} years." for i in range(12)]
+    sentences = [PROSE]
     rows = [(1, " ".join(sentences), "en"), (2, "too short", "en"), (3, (CLEAN * 9), "en"), (4, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz#$%&") for _ in range(9)) for _ in range(80)), "en"), (5, None, None), (6, " ".join(sentences), None)]
     docs = spark.createDataFrame([(*r, "k", 0.1) for r in rows], "doc_id long, text string, lang string, kept string, piece_chars double")
     good = quality.keep_good(docs)
