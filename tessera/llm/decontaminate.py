@@ -27,8 +27,6 @@ from . import support as S
 
 WINDOW, GRAM = 10, 4
 LOG_BITS = 24  # 2 MiB of item fingerprints
-#: Words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the text with A-Z lowered.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +99,18 @@ def contaminated_windows(docs: DataFrame, windows: DataFrame, *, window: int = W
     return places.join(windows, ["n", "fingerprint", "hash"]).select("doc_id", "row_key", "start", "n", "items")
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, n_words) per row, by the word bounds that the windows use."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, buf, at in S.slices(batches, "text"):
+            _, _, bounds = S.word_bounds(S.lower_ascii(buf), at, S.ALPHANUMERIC)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds).astype(np.int64))], names=["doc_id", "row_key", "n_words"])
+
+    return docs.select("doc_id", S.row_key().alias("row_key"), "text").mapInArrow(run, f"doc_id {kind}, row_key long, n_words long")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, gram: int = GRAM, log_bits: int = LOG_BITS) -> DataFrame:
     """doc_id, row_key, n_words, n_hit, items (sorted ids), contaminated: a row per document."""
     hits = contaminated_windows(docs, item_windows(items, window=window, gram=gram), window=window, gram=gram, log_bits=log_bits)
@@ -110,8 +120,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, gr
         lambda acc, s: F.struct((acc["n_hit"] + F.greatest(F.lit(0), s["start"] + s["n"] - F.greatest(acc["end"], s["start"]))).alias("n_hit"), F.greatest(acc["end"], s["start"] + s["n"]).alias("end")),
     )
     per_doc = hits.groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).agg(merged["n_hit"].cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    counted = docs.select("doc_id", S.row_key().alias("row_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    joined = counted.join(per_doc, (F.col("row_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = word_counts(docs).join(per_doc, (F.col("row_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select("doc_id", "row_key", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
 
