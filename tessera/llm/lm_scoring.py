@@ -4,7 +4,8 @@ A bidirectional window network predicts every token from `REACH` tokens on each
 side. Tokens are words; the vocabulary is the corpus's own, counted over all
 documents, and a word's two output classes (a coarse and a fine one, balanced by
 frequency) factor its probability: p(word) = p(coarse | context) p(fine | coarse,
-context). The network is trained in numpy, data-parallel: every round each task
+context). Every id has a pair of classes of its own; pairs of no id have no
+probability. The network is trained in numpy, data-parallel: every round each task
 runs SGD over its own documents from the shared weights, and the weights are
 averaged by the tasks' token counts in Spark. A document's score is the sum of
 its tokens' conditional log-probabilities.
@@ -30,6 +31,9 @@ from pyspark.sql import functions as F
 
 from . import support as S
 
+#: A logit whose exponential is 0.
+NEVER = -10000.0
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -38,7 +42,7 @@ class Settings:
     buckets: int = 1024
     width: int = 24
     hidden: int = 48
-    classes: int = 48  # coarse classes, and fine ones in each
+    classes: int = 97  # coarse classes, and fine ones in each; their square holds every id
     rounds: int = 2
     train_share: float = 0.06
     rate: float = 0.15
@@ -81,11 +85,18 @@ class Coder:
 
 def vocabulary(counts: DataFrame, settings: Settings) -> tuple[Coder, np.ndarray]:
     """The most frequent words, and the coarse and fine class of every id; of the settings' fixed size."""
+    if settings.classes**2 < settings.ids:
+        raise ValueError(f"{settings.classes} x {settings.classes} classes cannot hold {settings.ids} ids")
     top = counts.orderBy(F.desc("count"), "word").limit(settings.vocabulary).collect()
     coder = Coder(np.array([r.word for r in top], np.int64).view(np.uint64), settings)
+    return coder, id_classes(settings)
+
+
+def id_classes(settings: Settings) -> np.ndarray:
+    """Coarse and fine class of every id, a pair of its own each."""
     k, ids = settings.classes, np.arange(settings.ids)
     # rank r goes to coarse class r mod k, so that each holds frequent and rare words; buckets follow on
-    return coder, np.stack([ids % k, ids // k % k], 1)
+    return np.stack([ids % k, ids // k], 1)
 
 
 class Network:
@@ -95,15 +106,18 @@ class Network:
         s, rng = settings, np.random.default_rng(settings.seed)
         draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
         self.settings = s
-        self.w = weights or [
+        self.w = weights if weights is not None else [
             rng.normal(0, 0.3, (s.ids, s.width)).astype(np.float32),
             draw(2 * s.reach * s.width, s.hidden),
             np.zeros(s.hidden, np.float32),
             draw(s.hidden, s.classes),
             np.zeros(s.classes, np.float32),
             draw(s.hidden, s.classes),
-            np.zeros((s.classes, s.classes), np.float32),  # fine logits by coarse class
+            np.full((s.classes, s.classes), NEVER, np.float32),  # fine logits by coarse class
         ]
+        if weights is None:
+            words = id_classes(s)[1:]
+            self.w[-1][words[:, 0], words[:, 1]] = 0  # cells of no id, and the padding's, keep no probability
 
     def forward(self, context: np.ndarray, coarse: np.ndarray):
         e, a, b, c, cb, f, fb = self.w

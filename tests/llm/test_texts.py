@@ -177,6 +177,19 @@ def test_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_every_word_id_has_a_probability_of_its_own():
+    settings = lm_scoring.Settings()
+    net, rng, words = lm_scoring.Network(settings), np.random.default_rng(1), np.arange(1, settings.ids)
+    classes = lm_scoring.id_classes(settings)
+    assert len(np.unique(classes, axis=0)) == settings.ids
+    net.train(rng.integers(1, settings.ids, (2048, 2 * settings.reach)), classes[rng.integers(1, settings.ids, 2048)])
+    context = rng.integers(1, settings.ids, 2 * settings.reach + 1)
+    at = np.full(len(words), settings.reach)
+    places, inside = lm_scoring._places(at, np.array([0, len(context)]), np.zeros(len(context), np.int64), settings.reach)
+    logs = net.log_probability(context, places, inside, classes[words], net.tables())
+    assert float(np.exp(logs).sum()) == pytest.approx(1, abs=1e-3)
+
+
 def test_scores_of_empty_texts_and_tables(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (3, "a"), (None, "a b")], "doc_id long, text string")
     got = lm_scoring.lm_score(docs, TINY).collect()
