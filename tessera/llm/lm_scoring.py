@@ -11,8 +11,9 @@ averaged by the tasks' token counts in Spark. A document's score is the sum of
 its tokens' conditional log-probabilities.
 
 Scale: word counts are partial aggregates and shuffle with the corpus; the
-network's size is fixed, and so is what is broadcast. Training positions are
-chosen by hash at the rate `train_share` from all documents.
+network's size is fixed, and so is what is broadcast. Every position of every
+document is trained on: a round takes the share `train_share` of them by a hash of
+document and place, and the rounds' shares follow on each other.
 
 Defined cases: null and empty texts have no tokens, score 0 and a null mean; out
 of vocabulary words share one class per hash bucket; equal rows score equally;
@@ -33,6 +34,8 @@ from . import support as S
 
 #: A logit whose exponential is 0.
 NEVER = -10000.0
+#: Positions whose contexts are held at once.
+BLOCK = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -44,7 +47,7 @@ class Settings:
     hidden: int = 48
     classes: int = 97  # coarse classes, and fine ones in each; their square holds every id
     rounds: int = 2
-    train_share: float = 0.06
+    train_share: float = 0.5  # of all positions in a round; the rounds together take each once
     rate: float = 0.15
     batch: int = 512
     seed: int = 7
@@ -99,6 +102,14 @@ def id_classes(settings: Settings) -> np.ndarray:
     return np.stack([ids % k, ids // k], 1)
 
 
+def _subtract_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray, factor: np.float32) -> None:
+    """table[rows] -= factor * values, with the values of equal rows summed first."""
+    order = np.argsort(rows)
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    table[rows[first]] -= factor * np.add.reduceat(values[order], first, axis=0)
+
+
 class Network:
     """Embeddings per id and side, one tanh layer, and two soft-max heads."""
 
@@ -125,9 +136,9 @@ class Network:
         h = np.tanh(x @ a + b)
         pc, pf = h @ c + cb, h @ f + fb[coarse]
         for p in (pc, pf):
-            p -= p.max(1, keepdims=True)
+            # the logits of a tanh layer of this size are far from overflow
             np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
+            p *= 1 / p.sum(1, keepdims=True)
         return x, h, pc, pf
 
     def tables(self) -> np.ndarray:
@@ -153,19 +164,19 @@ class Network:
         for i in range(0, len(context), self.settings.batch):
             ctx, t = context[i : i + self.settings.batch], target[i : i + self.settings.batch]
             x, h, pc, pf = self.forward(ctx, t[:, 0])
-            at, rate = np.arange(len(t)), np.float32(self.settings.rate)
+            at, step = np.arange(len(t)), np.float32(self.settings.rate / len(t))
             pc[at, t[:, 0]] -= 1
             pf[at, t[:, 1]] -= 1
-            dh = (pc @ c.T + pf @ f.T) * (1 - h * h)
-            step = rate / len(t)
-            dx = (dh @ a.T).reshape(len(t), -1, self.settings.width)
-            c -= step * (h.T @ pc)
+            dh = (pc @ c.T + pf @ f.T) * (1 - h * h) * step
+            dx = (dh @ a.T).reshape(-1, self.settings.width)
+            own = h.T * step
+            c -= own @ pc
             cb -= step * pc.sum(0)
-            f -= step * (h.T @ pf)
-            np.subtract.at(fb, t[:, 0], step * pf)
-            a -= step * (x.T @ dh)
-            b -= step * dh.sum(0)
-            np.subtract.at(e, ctx, np.float32(step * 8) * dx)  # embeddings are met seldom and step further
+            f -= own @ pf
+            a -= x.T @ dh
+            b -= dh.sum(0)
+            _subtract_rows(fb, t[:, 0], pf, step)
+            _subtract_rows(e, ctx.ravel(), dx, np.float32(8))  # embeddings are met seldom and step further
 
     def to_bytes(self) -> bytes:
         return b"".join(w.tobytes() for w in self.w)
@@ -193,6 +204,18 @@ def _places(at: np.ndarray, bounds: np.ndarray, rows: np.ndarray, reach: int) ->
     return np.clip(place, 0, bounds[-1] - 1), inside
 
 
+def _of_round(hashes: np.ndarray, bounds: np.ndarray, rows: np.ndarray, turn: int, share: float) -> np.ndarray:
+    """Which positions a round trains: those whose key, by document and place, lies in the round's arc of a circle.
+
+    The arcs are `share` long and lie end to end, so rounds x share >= 1 trains every position.
+    """
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes)])
+    document = S.mix64(sums[bounds[1:]] - sums[bounds[:-1]])
+    place = np.arange(len(hashes)) - bounds[:-1][rows]
+    key = (S.mix64(document[rows] + place.astype(np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return np.ceil((turn + 1) * share - key) > np.ceil(turn * share - key)
+
+
 def train(docs: DataFrame, settings: Settings | None = None) -> tuple[Coder, np.ndarray, Network]:
     """Vocabulary, classes and the trained network."""
     settings = settings or Settings()
@@ -203,19 +226,20 @@ def train(docs: DataFrame, settings: Settings | None = None) -> tuple[Coder, np.
     texts = docs.select("text")
     for turn in range(settings.rounds):
         shared = spark.sparkContext.broadcast((coder, classes, network))
-        salt, share = np.uint64(turn * 0x51ED27), settings.train_share
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, salt=salt, share=share) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             coder, classes, start = shared.value
             own, seen = Network(settings, [w.copy() for w in start.w]), 0
-            for _, buf, at in S.slices(batches, "text"):
-                ids, hashes, bounds = _coded(buf, at, coder)
+            for _, buf, ends in S.slices(batches, "text"):
+                ids, hashes, bounds = _coded(buf, ends, coder)
                 if not len(ids):
                     continue
-                key = S.mix64(hashes + S.mix64(np.roll(hashes, 1) + salt))
-                chosen = np.flatnonzero(key <= np.uint64(min(2**64 - 1, int(share * 2.0**64))))
-                places, inside = _places(chosen, bounds, S.row_of(bounds), settings.reach)
-                own.train(np.where(inside, ids[places], 0), classes[ids[chosen]])
+                rows = S.row_of(bounds)
+                chosen = np.flatnonzero(_of_round(hashes, bounds, rows, turn, settings.train_share))
+                for i in range(0, len(chosen), BLOCK):
+                    at = chosen[i : i + BLOCK]
+                    places, inside = _places(at, bounds, rows, settings.reach)
+                    own.train(np.where(inside, ids[places], 0), classes[ids[at]])
                 seen += len(chosen)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([own.to_bytes()], pa.binary())], names=["seen", "weights"])

@@ -190,6 +190,15 @@ def test_every_word_id_has_a_probability_of_its_own():
     assert float(np.exp(logs).sum()) == pytest.approx(1, abs=1e-3)
 
 
+def test_the_rounds_train_every_position():
+    hashes, bounds = np.random.default_rng(4).integers(1, 9, 5000).astype(np.uint64), np.array([0, 0, 1, 700, 5000])
+    rows = lm_scoring.S.row_of(bounds)
+    for settings in (lm_scoring.Settings(), lm_scoring.Settings(rounds=3, train_share=1 / 3)):
+        taken = sum(lm_scoring._of_round(hashes, bounds, rows, turn, settings.train_share).astype(int) for turn in range(settings.rounds))
+        assert taken.min() == taken.max() == 1
+    assert lm_scoring._of_round(hashes, bounds, rows, 3, TINY.train_share).all()
+
+
 def test_scores_of_empty_texts_and_tables(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (3, "a"), (None, "a b")], "doc_id long, text string")
     got = lm_scoring.lm_score(docs, TINY).collect()
