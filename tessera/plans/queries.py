@@ -278,6 +278,24 @@ def fan_in(spark, sf):
     return docs.join(graph.fan_in(_call_edges(spark, sf)), "node", "left").select("node", F.coalesce("fan_in", F.lit(0)).alias("fan_in"))
 
 
+_ALL_CALL_EDGES = f"SELECT c.doc_id AS caller, d.doc_id AS callee, count(*) AS weight FROM ({V.CALLS}) c JOIN ({V.DEFS}) d ON c.name = d.name WHERE c.doc_id <> d.doc_id GROUP BY ALL"
+
+
+def _all_call_edges(spark, sf):
+    return graph.call_edges(V.defs(spark, sf), V.calls(spark, sf), "doc_id")
+
+
+@query(_ALL_CALL_EDGES)
+def call_edges_all_names(spark, sf):
+    return _all_call_edges(spark, sf)
+
+
+@query(f"SELECT d.doc_id AS node, coalesce(f.n, 0) AS fan_in FROM documents d LEFT JOIN (SELECT callee, count(*) AS n FROM ({_ALL_CALL_EDGES}) GROUP BY 1) f ON d.doc_id = f.callee")
+def fan_in_all_names(spark, sf):
+    docs = V.read(spark, sf, "documents").select(F.col("doc_id").alias("node"))
+    return docs.join(graph.fan_in(_all_call_edges(spark, sf)), "node", "left").select("node", F.coalesce("fan_in", F.lit(0)).alias("fan_in"))
+
+
 _SEEDS = ["s1", "s2", "s3"]
 _REACH = f"""WITH RECURSIVE e AS ({V.EDGES}), b AS (SELECT caller AS a, callee AS b FROM e UNION SELECT callee, caller FROM e),
 r AS (SELECT * FROM (VALUES ('s1', 0), ('s2', 0), ('s3', 0)) t(node, depth) UNION SELECT b.b, r.depth + 1 FROM r JOIN b ON r.node = b.a WHERE r.depth < 4)
@@ -327,6 +345,40 @@ def unresolved(spark, sf):
     return graph.unresolved(framework, graph.reach(edges, _seeds(spark), 4))
 
 
+# over all edges of lineitem
+
+
+@query(ORACLES["bfs_scope"].replace(V.EDGES, V.ALL_EDGES))
+def bfs_scope_all_edges(spark, sf):
+    return graph.reach(V.all_edges(spark, sf), _seeds(spark), 4)
+
+
+@query(ORACLES["scope_manifest"].replace(V.EDGES, V.ALL_EDGES))
+def scope_manifest_all_edges(spark, sf):
+    edges = V.all_edges(spark, sf)
+    framework = edges.select(F.col("caller").alias("node")).where(F.col("node").endswith("7")).distinct()
+    return graph.scope(edges, _seeds(spark), framework, 4)
+
+
+@query(ORACLES["scope_applicable"].replace(V.EDGES, V.ALL_EDGES))
+def scope_applicable_all_edges(spark, sf):
+    edges = V.all_edges(spark, sf)
+    return graph.applicable(edges.select(F.col("callee").alias("node")).distinct(), "node", edges, _seeds(spark))
+
+
+@query(ORACLES["scope_outside_callers"].replace(V.EDGES, V.ALL_EDGES))
+def scope_outside_callers_all_edges(spark, sf):
+    seeds = spark.createDataFrame([(p,) for p in ("p1", "p2", "p3", "p5", "p8")], "node string")
+    return graph.outside_callers(V.all_edges(spark, sf), seeds)
+
+
+@query(ORACLES["unresolved"].replace(V.EDGES, V.ALL_EDGES))
+def unresolved_all_edges(spark, sf):
+    edges = V.all_edges(spark, sf)
+    framework = edges.select(F.col("caller").alias("node")).where(F.col("node").endswith("7"))
+    return graph.unresolved(framework, graph.reach(edges, _seeds(spark), 4))
+
+
 _GLOB = "http*/**/en/**"
 
 

@@ -32,6 +32,8 @@ VECTORS = """SELECT p_partkey AS id,
 FROM part"""
 EDGES = """SELECT DISTINCT 's' || CAST(l_suppkey AS STRING) AS caller, 'p' || CAST(l_partkey % 101 AS STRING) AS callee
 FROM lineitem WHERE l_quantity >= 48 AND abs(l_discount) < 0.005"""
+ALL_EDGES = """SELECT DISTINCT 's' || CAST(l_suppkey AS STRING) AS caller, 'p' || CAST(l_partkey % 101 AS STRING) AS callee
+FROM lineitem"""
 UNITS = """SELECT o_orderkey AS unit, o_orderpriority AS tier,
        CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'failed' ELSE 'pending' END AS state FROM orders"""
 LINES = """SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no
@@ -58,6 +60,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, EDGES, "lineitem")
 
 
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, ALL_EDGES, "lineitem")
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, UNITS, "orders")
 
