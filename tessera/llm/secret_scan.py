@@ -1,8 +1,9 @@
 """Secret scan in DataFrame functions only: fixed patterns and a randomness test battery.
 
 Three patterns (assignments, access keys, hex runs) give the base spans. The
-battery then tests every run of 20 or more key characters: the encoding is
-inferred (hex, base32, base64, base64url), and under "drawn uniformly from the
+battery then tests every longest run of 20 or more characters of one alphabet,
+so that KEY=VALUE is two runs and a run of mixed alphabets is tested in each: the
+encoding is inferred (hex, base32, base64, base64url), and under "drawn uniformly from the
 encoding's alphabet" three tests must not reject: chi-squared of the symbol
 counts, a runs test on the upper and lower half of the alphabet, and the lag-1
 serial correlation of the code values. What passes is compared with ordinary
@@ -27,7 +28,13 @@ ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?
 #: A failing shorter match of these two lies in a run that holds no other match, so the length can be part of the pattern.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Trailing padding; an = before more key characters ends a run.
+_PADDING = r"(?:=+(?![A-Za-z0-9+/_=-]))?"
+#: Longest runs of one alphabet: base64 ones (with letters and digits alone), and base64url ones that hold - or _.
+CANDIDATES = (
+    r"(?<![A-Za-z0-9+/])(?:(?=[A-Za-z0-9]*[+/])[A-Za-z0-9+/]{20,}+|(?<![_-])[A-Za-z0-9]{20,}+(?![_-]))" + _PADDING,
+    r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{20,}+" + _PADDING,
+)
 KINDS = ("assign", "access", "hex", "random")
 
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -69,11 +76,11 @@ def spans_of(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
 def scan_patterns(docs: DataFrame) -> DataFrame:
     """Base spans and candidates per row, without the text; staged, since two passes follow."""
     rows = docs.select("doc_id", row_key().alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
-    for out, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("candidates", CANDIDATE)):
+    for out, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("base64", CANDIDATES[0]), ("base64url", CANDIDATES[1])):
         rows = spans_of(rows, "text", pattern, out)
     long_enough = F.filter("assign", lambda m: F.length(F.regexp_extract(m["value"], ASSIGN, 2)) >= 8)
     keep = lambda spans: F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop")))
-    return staged(rows.select("doc_id", "row_key", keep(long_enough).alias("assign"), keep("access").alias("access"), keep("hex").alias("hex"), "candidates"), "secret-spans")
+    return staged(rows.select("doc_id", "row_key", keep(long_enough).alias("assign"), keep("access").alias("access"), keep("hex").alias("hex"), F.concat("base64", "base64url").alias("candidates")), "secret-spans")
 
 
 def normal_tail(z: Column) -> Column:

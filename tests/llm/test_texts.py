@@ -137,6 +137,15 @@ def test_the_battery_finds_random_strings_and_leaves_words(spark):
     assert {r.doc_id: [tuple(s) for s in r.random] for r in found if r.random} == {1: [(4, 44)], 2: [(4, 44)]}
 
 
+def test_the_battery_splits_runs_at_equals_signs_and_other_alphabets(spark):
+    url = RANDOM[:20] + "-" + RANDOM[20:] + "_"
+    texts = {1: f"AWS_ACCESS={RANDOM}", 2: f"my_dir/{url} x", 3: f"x_y+{RANDOM}==", 4: f"A_B={RANDOM}=C", 5: "x" * 30 + "=1"}
+    found = secret_scan.find_secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    got = {r.doc_id: [texts[r.doc_id][a:b] for a, b in r.random] for r in found}
+    assert got[1] == [RANDOM] and url in got[2] and got[4] == [RANDOM] and got[5] == []
+    assert any(RANDOM in x for x in got[3])
+
+
 def test_secrets_run_in_spark_alone(spark):
     docs = spark.createDataFrame([(1, f"token={RANDOM}")], "doc_id long, text string")
     plan = secret_scan.find_secrets(docs)._jdf.queryExecution().executedPlan().toString()
