@@ -19,9 +19,9 @@ from .support import mix64
 LOG_BITS = 27  # 16 MiB
 PROBES = 3
 _SEGMENT = 18  # 2**18 bits, 32 KiB
-_SCHEMA = "segment int, once binary, twice binary"
+SCHEMA = "segment int, once binary, twice binary"
 _ARROW = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
-_FLUSH = 1 << 20
+_FLUSH = 1 << 18
 
 
 def positions(hashes: np.ndarray, log_bits: int, probe: int) -> np.ndarray:
@@ -30,10 +30,10 @@ def positions(hashes: np.ndarray, log_bits: int, probe: int) -> np.ndarray:
 
 
 class Segments:
-    """Once-seen and twice-seen bits of what one task met."""
+    """Once-seen and twice-seen bits of what one task met; of "once" filters only the former."""
 
-    def __init__(self, log_bits: int):
-        self.log_bits, self.held, self.waiting, self.n = log_bits, {}, [], 0
+    def __init__(self, log_bits: int, which: str = "twice"):
+        self.log_bits, self.pairs, self.held, self.waiting, self.n = log_bits, which == "twice", {}, [], 0
 
     def add(self, hashes: np.ndarray) -> None:
         self.waiting.append(hashes)
@@ -46,7 +46,7 @@ class Segments:
             return
         once, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
         self.waiting, self.n = [], 0
-        for bits, hashes in ((0, once), (1, once[counts > 1])):
+        for bits, hashes in ((0, once), (1, once[counts > 1]))[: 1 + self.pairs]:
             at = np.unique(np.concatenate([positions(hashes, self.log_bits, p) for p in range(PROBES)])).astype(np.int64)
             size = 1 << min(_SEGMENT, self.log_bits)
             cuts = np.searchsorted(at, np.arange(0, (1 << self.log_bits) + 1, size))
@@ -54,27 +54,33 @@ class Segments:
                 lit = np.zeros(size, bool)
                 lit[at[cuts[k] : cuts[k + 1]] - (k << _SEGMENT)] = True
                 own = np.packbits(lit, bitorder="little")
-                pair = self.held.setdefault(k, [np.zeros(len(own), np.uint8), np.zeros(len(own), np.uint8)])
-                if bits == 0:
+                pair = self.held.setdefault(k, [np.zeros(len(own), np.uint8) for _ in range(1 + self.pairs)])
+                if bits == 0 and self.pairs:
                     pair[1] |= pair[0] & own
                 pair[bits] |= own
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         self.flush()
-        for k, (once, twice) in sorted(self.held.items()):
-            yield pa.RecordBatch.from_pylist([{"segment": k, "once": zlib.compress(once.tobytes(), 1), "twice": zlib.compress(twice.tobytes(), 1)}], schema=_ARROW)
+        for k in sorted(self.held):
+            yield _row(k, self.held.pop(k))
+
+
+def _row(segment: int, bits: list[np.ndarray]) -> pa.RecordBatch:
+    packed = [pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in bits]
+    return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), packed[0], packed[1] if len(packed) > 1 else pa.nulls(1, pa.binary())], names=_ARROW.names)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[np.ndarray]] = {}
     for batch in batches:
-        for row in batch.to_pylist():
-            once, twice = (np.frombuffer(zlib.decompress(row[k]), np.uint8) for k in ("once", "twice"))
-            pair = held.setdefault(row["segment"], [np.zeros(len(once), np.uint8), np.zeros(len(once), np.uint8)])
-            pair[1] |= twice | (pair[0] & once)
-            pair[0] |= once
-    for k, (once, twice) in held.items():
-        yield pa.RecordBatch.from_pylist([{"segment": k, "once": zlib.compress(once.tobytes(), 1), "twice": zlib.compress(twice.tobytes(), 1)}], schema=_ARROW)
+        for segment, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parts = [np.frombuffer(zlib.decompress(x), np.uint8) for x in packed if x is not None]
+            bits = held.setdefault(segment, [np.zeros(len(x), np.uint8) for x in parts])
+            if len(parts) > 1:
+                bits[1] |= parts[1] | (bits[0] & parts[0])
+            bits[0] |= parts[0]
+    for segment, bits in held.items():
+        yield _row(segment, bits)
 
 
 class Bloom:
@@ -102,18 +108,23 @@ def build(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[n
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Segments(log_bits)
+        own = Segments(log_bits, which)
         for found in hashes(batches):
             own.add(found)
         yield from own.rows()
 
+    return merged(df.mapInArrow(scan, SCHEMA), which, log_bits)
+
+
+def merged(segments: DataFrame, which: str = "twice", log_bits: int = LOG_BITS) -> Bloom:
+    """The filter of the segments that tasks have made."""
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _merge(batches)
 
     merge.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    merged = df.mapInArrow(scan, _SCHEMA).groupBy("segment").applyInArrow(merge, _SCHEMA).select("segment", which)
     bits = np.zeros((1 << log_bits) // 8, np.uint8)
-    for row in merged.toLocalIterator():
+    for row in segments.groupBy("segment").applyInArrow(merge, SCHEMA).select("segment", which).toLocalIterator():
         own = np.frombuffer(zlib.decompress(row[which]), np.uint8)
         at = row["segment"] << (_SEGMENT - 3)
         bits[at : at + len(own)] = own

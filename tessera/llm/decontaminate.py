@@ -113,6 +113,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, gram: int = GRAM, log_bits: int = LOG_BITS) -> DataFrame:
     """doc_id, row_key, n_words, n_hit, items (sorted ids), contaminated: a row per document."""
+    S.small_batches(docs.sparkSession)
     hits = contaminated_windows(docs, item_windows(items, window=window, gram=gram), window=window, gram=gram, log_bits=log_bits)
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", F.col("n").alias("n")))),

@@ -12,9 +12,10 @@
    its prefix. Shingles of no other document are not sent at all.
 4. Each prefix shingle names the smallest node of its list as hub, so a list of m
    documents is m rows and never m*m pairs, and every candidate pair meets at a
-   hub. A hub's cluster is compared in blocks of bounded size: shared prefix
-   shingles first, exact intersections for what reaches the smaller l. Pairs that
-   are already connected are skipped, and only a spanning forest leaves the task.
+   hub. A hub's cluster is compared in blocks of bounded size, with the hub first:
+   shared prefix shingles, then exact intersections for what reaches the smaller
+   l. Pairs that are already connected are skipped, pairs too far apart by their
+   distances to the hub as well, and only a spanning forest leaves the task.
 5. Components by large-star/small-star rounds, each written to the shared folder.
 
 Defined cases: null, empty and blank texts have no shingles (n_shingles 0) and
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,8 @@ FREQUENCIES = (2, 16, 128, 1024)
 TYPICAL = np.array([0.0, 4, 32, 256, 4096])
 MAX_MATCHES = 8
 VERIFY_COST = 16.0
-BLOCK = 4096
-_FLUSH = 1 << 21
+BLOCK = 1 << 17  # set members (hashes) of a group, 1 MiB
+_FLUSH = 1 << 20
 
 
 def shingle_sets(buf: np.ndarray, at: np.ndarray, n: int = SHINGLE) -> list[np.ndarray]:
@@ -118,13 +120,25 @@ def frequency_classes(docs: DataFrame, is_rep, n: int, log_bits: int) -> bloom.B
             yield from send(waiting)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, part = np.zeros(1 << RANGE_BITS, np.uint32), 0
+        few, held, seen, part = [], 0, None, 0
         for batch in batches:
             part = batch.column(0)[0].as_py()
-            for cells in batch.column(1):
-                np.add.at(seen, _unpack(cells.as_py()) & np.uint32((1 << RANGE_BITS) - 1), 1)
+            for packed in batch.column(1):
+                cells = _unpack(packed.as_py()) & np.uint32((1 << RANGE_BITS) - 1)
+                held += len(cells)
+                few.append(cells)
+                if held > 1 << (RANGE_BITS - 3):  # counters for the whole range pay from here on
+                    seen = np.zeros(1 << RANGE_BITS, np.uint32) if seen is None else seen
+                    for x in few:
+                        np.add.at(seen, x, 1)
+                    few = []
+        if seen is None:
+            found, counts = np.unique(np.concatenate(few), return_counts=True)
+        else:
+            found = np.flatnonzero(seen >= FREQUENCIES[0]).astype(np.uint32)
+            counts = seen[found]
         for level, least in enumerate(FREQUENCIES, 1):
-            cells = np.flatnonzero(seen >= least).astype(np.uint32) | np.uint32(part << RANGE_BITS)
+            cells = found[counts >= least] | np.uint32(part << RANGE_BITS)
             for i in range(0, len(cells), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([_pack(cells[i : i + (1 << 16)])], pa.binary())], names=["level", "cells"])
 
@@ -135,8 +149,11 @@ def frequency_classes(docs: DataFrame, is_rep, n: int, log_bits: int) -> bloom.B
             for level, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield _cell_key(_unpack(cells), level)
 
-    counted = docs.mapInArrow(scan, "part int, cells binary").groupBy("part").applyInArrow(count, "level int, cells binary")
-    return bloom.build(counted, keys, "once", log_bits)
+    # staged, so that no task holds counters and filter segments in two Python workers at a time
+    counted = S.staged(docs.mapInArrow(scan, "part int, cells binary").groupBy("part").applyInArrow(count, "level int, cells binary"), "frequent-cells")
+    frequent = bloom.build(counted, keys, "once", log_bits)
+    S.discard(counted)
+    return frequent
 
 
 def levels_of(tokens: np.ndarray, frequent: bloom.Bloom) -> np.ndarray:
@@ -190,61 +207,158 @@ def prefixes(docs: DataFrame, is_rep, frequent, n: int, percent: int) -> DataFra
 
 
 class _Lists:
-    """Inverted lists of a block."""
+    """Inverted lists of a group's rows, given as the rows' members one after another."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.array([len(s) for s in sets])
-        _, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
-        self.own, self.n = np.concatenate([[0], np.cumsum(sizes)]), len(sets)
-        self.docs = np.repeat(np.arange(self.n), sizes)[np.argsort(self.ids, kind="stable")]
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(self.ids))])
+    def __init__(self, values: np.ndarray, sizes: np.ndarray):
+        order = np.argsort(values, kind="stable")
+        values = values[order]
+        first = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
+        self.ids, self.n = np.empty(len(order), np.int64), len(sizes)
+        self.ids[order] = np.cumsum(first) - 1
+        self.own, self.docs = np.concatenate([[0], np.cumsum(sizes)]), np.repeat(np.arange(self.n), sizes)[order]
+        self.at = np.append(np.flatnonzero(first), len(order))
 
     def shared(self, x: int) -> np.ndarray:
-        """How many members of set x each set has."""
+        """How many members of row x each row has."""
         ids = self.ids[self.own[x] : self.own[x + 1]]
         return np.bincount(self.docs[S.ranges(self.at[ids], self.at[ids + 1] - self.at[ids])], minlength=self.n)
 
 
-def link_block(nodes: np.ndarray, sizes: np.ndarray, matches: np.ndarray, prefix: list[np.ndarray], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the similar pairs in a block."""
-    if len(nodes) < 2:
-        return []
-    near, full = _Lists(prefix), _Lists(sets)
-    label, edges, later = np.arange(len(nodes)), [], np.arange(len(nodes))
-    for x in range(len(nodes)):
-        found = near.shared(x)
-        wanted = (found >= np.minimum(matches, matches[x])) & (later > x) & (label != label[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
-        if not wanted.any():
-            continue
-        common = full.shared(x)
-        for y in np.flatnonzero(wanted & (100 * common >= percent * (sizes + sizes[x] - common))).tolist():
-            if label[y] != label[x]:
-                edges.append((int(nodes[x]), int(nodes[y])))
-                label[label == label[y]] = label[x]
-    return edges
+@dataclass
+class Group:
+    """Rows that meet: nodes, set sizes, matches asked for, and inverted lists of prefixes and sets."""
+
+    nodes: np.ndarray
+    sizes: np.ndarray
+    matches: np.ndarray
+    near: _Lists
+    full: _Lists
+
+    @staticmethod
+    def of(table: pa.Table, order: np.ndarray) -> Group:
+        prefix, lengths = S.int_lists(table["prefix"].combine_chunks())
+        data, at = S.buffer_of(table["tokens"])
+        sizes = np.array(table["n"], np.int64)
+        pick = lambda values, counts: values[S.ranges((np.cumsum(counts) - counts)[order], counts[order])]
+        near, full = _Lists(pick(prefix, lengths), lengths[order]), _Lists(pick(data.view(np.uint64), np.diff(at) >> 3), sizes[order])
+        return Group(np.array(table["node"])[order], sizes[order], np.array(table["matches"], np.int64)[order], near, full)
+
+    def similarity(self, x: int) -> np.ndarray:
+        """Of row x and each row, in percent."""
+        common = self.full.shared(x)
+        return 100.0 * common / (self.sizes + self.sizes[x] - common)
+
+    def forest(self, percent: int, label: np.ndarray, todo: np.ndarray, distance: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Edges that connect what is similar, of the pairs with a row of `todo`; rows of one label are connected already.
+
+        Row 0 is compared first. From then on only rows outside the largest
+        component are, each with all others, until all that is left is one
+        component. `distance` (to one pivot) rules pairs out by the triangle
+        inequality, which the Jaccard distance obeys.
+        """
+        label, edges, left, x = label.copy(), [], np.ones(len(self.nodes), bool), 0
+        gap = 1 - percent / 100 + 1e-6
+        while True:
+            smaller, larger = np.minimum(self.sizes, self.sizes[x]), np.maximum(self.sizes, self.sizes[x])
+            wanted = left & (label != label[x]) & (100 * smaller >= percent * larger)
+            if distance is not None:
+                wanted &= np.abs(distance - distance[x]) <= gap
+            if wanted.any():
+                wanted &= self.near.shared(x) >= np.minimum(self.matches, self.matches[x])
+            if wanted.any():
+                common = self.full.shared(x)
+                found = np.flatnonzero(wanted & (100 * common >= percent * (self.sizes + self.sizes[x] - common)))
+                joined, first = np.unique(label[found], return_index=True)
+                edges += [(int(self.nodes[x]), int(self.nodes[y])) for y in found[first]]
+                label[np.isin(label, joined)] = label[x]
+            left[x] = False
+            open_rows = np.flatnonzero(left & todo)
+            if not len(open_rows):
+                return edges
+            most = np.bincount(label[left]).argmax()
+            other = open_rows[label[open_rows] != most]
+            if len(other):
+                x = int(other[0])
+            elif (label[left] != most).any():
+                x = int(open_rows[0])
+            else:
+                return edges
+
+
+def _edges(found: list[tuple[int, int]]) -> list[pa.Array]:
+    return [pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)]
 
 
 def links(found: DataFrame, *, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect all similar representatives, by way of hubs."""
-    tokens = found.select("node", F.explode("prefix").alias("token"))
+    """Edges (a, b) that connect all similar representatives, by way of hubs.
+
+    A hub's cluster of at most `block` set members (hashes) is one group. A larger
+    one is dealt into blocks that each get a copy of the hub's row: a first pass
+    that grows with the cluster and connects nearly all of a group of near
+    copies. Only rows that are not connected with their hub then meet the other
+    blocks, and of the connected ones only those that the distances to the hub
+    leave possible.
+    """
+    tokens = found.select("node", "n", F.explode("prefix").alias("token"))
     hubs = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "hub")
-    members = S.staged(tokens.join(hubs, "token").select("hub", "node").distinct(), "hub-members")
-    # the number of blocks grows with the cluster; each pair of blocks is one group of at most 2 * block documents
-    sizes = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meetings = F.expr("CASE WHEN hub = node THEN flatten(transform(sequence(0, blocks - 1), i -> transform(sequence(i, blocks - 1), j -> struct(i AS i, j AS j)))) ELSE transform(sequence(0, blocks - 1), j -> struct(least(own, j) AS i, greatest(own, j) AS j)) END")
-    groups = placed.withColumn("at", F.explode(meetings)).select("hub", "at.i", "at.j", "node").join(found, "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))  # at most two blocks
+    members = S.staged(tokens.join(hubs, "token").select("hub", "node", "n").distinct(), "hub-members")
+    large = members.groupBy("hub").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")).where("blocks > 1")
+    places = F.when((F.col("hub") == F.col("node")) & F.col("blocks").isNotNull(), F.sequence(F.lit(0), F.col("blocks") - 1))
+    places = F.coalesce(places, F.array(F.coalesce(F.pmod(F.xxhash64("node"), "blocks"), F.lit(0)).cast("int")))
+    groups = members.join(large, "hub", "left").select("hub", "node", F.explode(places).alias("at"), F.col("blocks").isNotNull().alias("large")).join(found, "node")
+    names = ["hub", "a", "b", "n", "distance"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))  # one block and its hub
         hub, nodes = np.array(table["hub"]), np.array(table["node"])
-        order = np.lexsort((nodes, nodes != hub))
-        sets, prefix = table["tokens"].to_pylist(), table["prefix"].to_pylist()
-        edges = link_block(nodes[order], np.array(table["n"], np.int64)[order], np.array(table["matches"], np.int64)[order], [np.array(prefix[i], np.int64) for i in order], [np.frombuffer(sets[i], np.uint64) for i in order], percent)
-        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return groups.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long")
+        rows = Group.of(table, np.lexsort((nodes, nodes != hub)))
+        n = len(rows.nodes)
+        edges = rows.forest(percent, np.arange(n), np.ones(n, bool)) if n > 1 else []
+        none = pa.nulls(len(edges), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, *_edges(edges), none.cast(pa.int32()), none.cast(pa.float64())], names=names)
+        if table["large"][0].as_py() and n > 1:
+            none = pa.nulls(n - 1, pa.int64())
+            distance = 1 - rows.similarity(0)[1:] / 100
+            yield pa.RecordBatch.from_arrays([pa.array(hub[1:]), pa.array(rows.nodes[1:]), none, pa.array(rows.sizes[1:], pa.int32()), pa.array(distance)], names=names)
+
+    compare.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    first = S.staged(groups.groupBy("hub", "at").applyInArrow(compare, "hub long, a long, b long, n int, distance double"), "hub-links")
+    S.discard(members)
+    edges = first.where("hub IS NULL").select("a", "b")
+    if first.where("hub IS NOT NULL").isEmpty():
+        return edges
+    return edges.unionByName(_links_of_the_rest(first.where("hub IS NOT NULL").select("hub", F.col("a").alias("node"), "n", "distance"), edges, found, percent, block * 4))
+
+
+def _links_of_the_rest(placed: DataFrame, edges: DataFrame, found: DataFrame, percent: int, block: int) -> DataFrame:
+    """Edges of the rows that are not connected with their large hub, with all rows of its cluster that may be similar."""
+    roots = components(edges)
+    of_hub = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    known = placed.join(roots, "node", "left").join(of_hub, "hub", "left")
+    known = S.staged(known.select("hub", "node", "n", "distance", F.coalesce("root", "node").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root")), "hub-distances")
+    apart = known.where("root <> hub_root")
+    per_hub = apart.groupBy("hub").agg(F.min("distance").alias("least"), F.ceil(F.sum("n") / block).cast("int").alias("rows"))
+    near = known.join(per_hub, "hub").where((F.col("root") != F.col("hub_root")) | (F.col("distance") >= F.col("least") - (1 - percent / 100 + 1e-6)))
+    per_near = near.groupBy("hub").agg(F.ceil(F.sum("n") / block).cast("int").alias("columns"))
+    near = near.join(per_near, "hub")
+    own = lambda count, salt: F.pmod(F.xxhash64("node", F.lit(salt)), count).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    keep = ["hub", "node", "distance", "root"]
+    todo = near.where("root <> hub_root").select(*keep, own("rows", "r").alias("i"), every("columns").alias("j"), F.lit(True).alias("todo"))
+    others = near.select(*keep, every("rows").alias("i"), own("columns", "c").alias("j"), F.lit(False).alias("todo"))
+    groups = todo.unionByName(others).join(found, "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))  # two blocks
+        todo, nodes = np.array(table["todo"]), np.array(table["node"])
+        order = np.lexsort((nodes, ~todo))
+        rows, todo = Group.of(table, order), todo[order]
+        _, label = np.unique(np.array(table["root"])[order], return_inverse=True)
+        found = rows.forest(percent, label, todo, np.array(table["distance"])[order]) if todo.any() else []
+        yield pa.RecordBatch.from_arrays(_edges(found), names=["a", "b"])
+
+    compare.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return groups.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -259,9 +373,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = S.staged(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
+        S.discard(edges)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         kept = large.join(least, "a")
         edges = S.staged(kept.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b")).distinct(), "small-star")
+        S.discard(large)
         found = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if found == state:
             break
@@ -277,6 +393,7 @@ def similarity_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: i
     node is the row's key and root that of its component, for rows that share a doc_id.
     """
     spark = docs.sparkSession
+    S.small_batches(spark)
     rows = S.staged(signatures(docs, shingle), "signatures")
     same = ["n_shingles", "sig1", "sig2"]
     classes = S.staged(rows.where("n_shingles > 0").groupBy(*same).agg(F.min("node").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")), "classes")
@@ -293,7 +410,9 @@ def similarity_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: i
     texts = docs.select(S.row_key().alias("node"), "text")
     frequent = spark.sparkContext.broadcast(frequency_classes(texts, is_rep, shingle, log_bits))
     found = S.staged(prefixes(texts, is_rep, frequent, shingle, percent).dropDuplicates(["node"]), "prefixes")
+    S.release(chosen, frequent)
     roots = components(links(found, percent=percent, block=block))
+    S.discard(found)
     rooted = classes.join(roots, classes["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("members").alias("size")).where("size > 1").drop("size")
     named = rooted.join(least, "root").select(*same, "root", "component_id")

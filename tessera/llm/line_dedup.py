@@ -89,6 +89,7 @@ def repeated_lines(found: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 def dedup_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, log_bits: int = bloom.LOG_BITS) -> DataFrame:
     """docs with the kept lines as text, and n_lines (before) and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
+    S.small_batches(docs.sparkSession)
     found = S.staged(suspects(docs, least_chars=least_chars, log_bits=log_bits).distinct(), "line-suspects")
     bad = repeated_lines(found, least_docs)
     drops = (

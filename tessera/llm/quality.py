@@ -31,7 +31,7 @@ TOKENIZERS = "/opt/tokenizers"
 PIECE_MODEL, BYTE_RANKS = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 #: The byte-level vocabulary's own split into words, digits and marks.
 BYTE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 SHINGLE = 5
 
 
@@ -184,6 +184,7 @@ def _measure(buf: np.ndarray, at: np.ndarray, fertility: Fertility) -> dict[str,
 def measure(docs: DataFrame, *, tokenizers: str = TOKENIZERS, carry: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """Base counts and fertility measures per row, with the columns in `carry`."""
     spark = docs.sparkSession
+    S.small_batches(spark)
     models = []
     for name in (PIECE_MODEL, BYTE_RANKS):  # two files of fixed size
         with open(f"{tokenizers}/{name}", "rb") as f:

@@ -144,6 +144,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     is bounded by its own words.
     """
     docs = docs.drop("n_words", "n_removed")
+    S.small_batches(docs.sparkSession)
     factors = duplicate_factors(docs, window=window, gram=gram, log_bits=log_bits)
     lists = factors.groupBy(F.col("row_key").alias("_factor_key"), F.col("doc_id").alias("_factor_id")).agg(F.collect_set(F.struct("start", "length")).alias("_f"))
     lists = lists.select("_factor_key", "_factor_id", F.col("_f.start").alias("_factor_starts"), F.col("_f.length").alias("_factor_lengths"))

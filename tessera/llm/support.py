@@ -8,17 +8,20 @@ longest single document and not the batch.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import delete_path, discard, scratch_path, shared_dir, staged
+
+__all__ = ["delete_path", "discard", "release", "scratch_path", "shared_dir", "small_batches", "staged", "trim"]
+
 SLICE_BYTES = 1 << 19
 _U = np.uint64
 _R, _R_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -28,44 +31,34 @@ _G, _G_INV = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 # ---------------------------------------------------------------- staged tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def row_key(text: str = "text", doc_id: str = "doc_id") -> Column:
+    """Tells rows apart that share a doc_id but not a text; equal rows stay equal."""
+    return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        delete_path(spark, path)
-    except Exception:  # noqa: BLE001  the session may have ended; the folder is scratch space
-        pass
+BATCH_BYTES = "4m"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}-{name}"
-    atexit.register(_forget, spark, path)
-    return path
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, which else holds up to 64 MiB in the JVM and again in the Python worker; a value of the user's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) == "67108864b":
+        spark.conf.set(key, BATCH_BYTES)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def release(*shared: Broadcast) -> None:
+    """Drop broadcast values that no later job will ask for."""
+    for value in shared:
+        value.destroy()
 
 
-def row_key(text: str = "text", doc_id: str = "doc_id") -> Column:
-    """Tells rows apart that share a doc_id but not a text; equal rows stay equal."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+def trim() -> None:
+    """Hand the memory that a task has freed back to the system: Python workers stay and serve later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 # ---------------------------------------------------------------- Arrow slices
@@ -97,6 +90,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i), buf[at[i] : at[j]], at[i : j + 1] - at[i]
             i = j
+    trim()
 
 
 # ---------------------------------------------------------------- hashing

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def expected_components(rows):
     return sorted(((d, len(sets[i]), least.get(find(i), d)) for i, (d, _) in enumerate(rows)), key=repr)
 
 
-@pytest.mark.parametrize("block, log_bits", [(4096, 18), (4, 10)])
+@pytest.mark.parametrize("block, log_bits", [(1 << 17, 18), (200, 10), (60, 18)])
 def test_components_equal_brute_force(spark, block, log_bits):
     rows = documents()
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, node int, root string").repartition(3)
@@ -68,6 +69,53 @@ def test_components_equal_brute_force(spark, block, log_bits):
     assert left.count() == want
 
 
+@pytest.mark.parametrize("block", [1 << 17, 3000])
+def test_a_hub_that_is_far_from_its_cluster_loses_no_link(spark, block):
+    """Chains and groups around one common passage: most rows of the hub's cluster are not similar to it."""
+    rng, rows = random.Random(5), []
+    common = prose(rng, 30, 5000)
+    for g in range(12):
+        own = prose(rng, 25, 5000)
+        for k in range(12):
+            words = common + own
+            words[-1 - k % 3 :] = [f"y{g}{k}"] * (1 + k % 3)
+            rows.append((g * 100 + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.similarity_components(docs, block=block, log_bits=18)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=repr) == expected_components(rows)
+
+
+def test_one_cluster_of_many_near_copies(spark):
+    rng = random.Random(6)
+    base = prose(rng, 120, 5000)
+    rows = [(i, " ".join([*base[: i % 100], f"z{i}", *base[i % 100 + 1 :]])) for i in range(20_000)] + [(30_000, " ".join(prose(rng, 120, 5000)))]
+    got = jaccard_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {tuple(r) for r in got.groupBy("component_id").count().collect()} == {(0, 20_000), (30_000, 1)}
+
+
+def test_a_forest_connects_what_is_similar():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+        sets = [np.unique(np.where(rng.random(60) < 0.08, rng.integers(0, 1 << 60, 60).astype(np.uint64), base if rng.random() < 0.7 else base[::-1] + np.uint64(i % 4))) for i in range(30)]
+        sizes = np.array([len(x) for x in sets])
+        lists = jaccard_join._Lists(np.concatenate(sets), sizes)
+        rows = jaccard_join.Group(np.arange(30), sizes, np.ones(30, np.int64), lists, lists)
+        near = lambda x, y: 100 * len(np.intersect1d(sets[x], sets[y])) >= 75 * len(np.union1d(sets[x], sets[y]))  # noqa: E731, B023
+        far = np.array([1 - len(np.intersect1d(s, sets[0])) / len(np.union1d(s, sets[0])) for s in sets])
+        todo = rng.random(30) < 0.4
+        todo[0] = True
+        for subset, distance in ((np.ones(30, bool), None), (todo, None), (todo, far)):
+            root = list(range(30))
+            find = lambda x: x if root[x] == x else find(root[x])  # noqa: E731, B023
+            want = lambda pairs: [root.__setitem__(find(x), find(y)) for x, y in pairs] and [find(x) for x in range(30)]  # noqa: E731, B023
+            expected = want([(x, y) for x in range(30) for y in range(x) if (subset[x] or subset[y]) and near(x, y)])
+            root[:] = range(30)
+            got = want(rows.forest(75, np.arange(30), subset, distance)) or list(range(30))
+            same = lambda labels: [[a == b for a in labels] for b in labels]
+            assert same(got) == same(expected or list(range(30)))
+
+
 def test_components_of_nothing(spark):
     assert jaccard_join.similarity_components(spark.createDataFrame([], "doc_id long, text string"), log_bits=12).count() == 0
 
