@@ -155,7 +155,7 @@ def test_secrets_run_in_spark_alone(spark):
 
 # ---------------------------------------------------------------- LM scores
 
-TINY = lm_scoring.Settings(vocabulary=64, buckets=16, width=12, hidden=24, classes=12, rounds=6, train_share=1.0, rate=0.3, batch=32)
+TINY = lm_scoring.Settings(vocabulary=64, buckets=16, cell_bits=8, hidden=16, classes=24, rounds=6, train_share=1.0, rate=0.3, lanes=4, run=16)
 
 
 def test_held_out_texts_of_the_same_kind_score_higher(spark):
@@ -166,46 +166,110 @@ def test_held_out_texts_of_the_same_kind_score_higher(spark):
         return " ".join(cycle[(k + i) % 20] for i in range(n))
 
     train = spark.createDataFrame([(i, chain(60)) for i in range(120)], "doc_id long, text string").repartition(2)
-    trained = lm_scoring.train(train, TINY)
+    coder = lm_scoring.vocabulary(lm_scoring.word_counts(train), TINY)
+    _, model = lm_scoring.train(train, TINY)
     like, mixed = [chain(40) for _ in range(15)], []
     for text in like:
         words = text.split()
         rng.shuffle(words)
         mixed.append(" ".join(words))
     held = spark.createDataFrame([(i, t, 1) for i, t in enumerate(like + mixed)], "doc_id long, text string, n_tokens int")
-    got = {r.doc_id: r.mean_log_likelihood for r in lm_scoring.score(held, trained).collect()}
+    got = {r.doc_id: r.mean_log_likelihood for r in lm_scoring.score(lm_scoring.coded(held, coder), model).collect()}
     assert all(got[i] > got[i + 15] for i in range(15))
     assert np.mean([got[i] for i in range(15)]) > -1.5 > np.mean([got[i] for i in range(15, 30)])
 
 
-def test_probabilities_sum_to_one():
-    net, rng = lm_scoring.Network(TINY), np.random.default_rng(1)
-    ids = rng.integers(1, TINY.ids, 30)
-    places, inside = lm_scoring._places(np.array([7]), np.array([0, 30]), np.zeros(30, np.int64), TINY.reach)
-    total = sum(float(np.exp(net.log_probability(ids, places, inside, np.array([[c, f]]), net.tables()))[0]) for c in range(TINY.classes) for f in range(TINY.classes))
-    assert total == pytest.approx(1, abs=1e-3)
-
-
-def test_every_word_id_has_a_probability_of_its_own():
-    settings = lm_scoring.Settings()
-    net, rng, words = lm_scoring.Network(settings), np.random.default_rng(1), np.arange(1, settings.ids)
-    classes = lm_scoring.id_classes(settings)
-    assert len(np.unique(classes, axis=0)) == settings.ids
-    net.train(rng.integers(1, settings.ids, (2048, 2 * settings.reach)), classes[rng.integers(1, settings.ids, 2048)])
-    context = rng.integers(1, settings.ids, 2 * settings.reach + 1)
-    at = np.full(len(words), settings.reach)
-    places, inside = lm_scoring._places(at, np.array([0, len(context)]), np.zeros(len(context), np.int64), settings.reach)
-    logs = net.log_probability(context, places, inside, classes[words], net.tables())
-    assert float(np.exp(logs).sum()) == pytest.approx(1, abs=1e-3)
-
-
-def test_the_rounds_train_every_position():
-    hashes, bounds = np.random.default_rng(4).integers(1, 9, 5000).astype(np.uint64), np.array([0, 0, 1, 700, 5000])
-    rows = lm_scoring.S.row_of(bounds)
+def two_kinds(rng, n):
+    """Texts in either of two vocabularies of 400 words, word order without meaning."""
+    return [" ".join(f"{kind}{min(399, int(rng.expovariate(0.02)))}" for _ in range(80)) for kind in (rng.choice("ab") for _ in range(n))]
+
+
+def test_held_out_texts_score_above_the_unigram_model(spark):
+    rng, settings = random.Random(5), lm_scoring.Settings(vocabulary=512, cell_bits=12, rounds=6, train_share=1.0, run=64)
+    table, model = lm_scoring.train(spark.createDataFrame(list(enumerate(two_kinds(rng, 600))), "doc_id long, text string").repartition(2), settings)
+    coder = lm_scoring.vocabulary(lm_scoring.word_counts(spark.createDataFrame(list(enumerate(two_kinds(random.Random(5), 600))), "doc_id long, text string")), settings)
+    held = lm_scoring.coded(spark.createDataFrame(list(enumerate(two_kinds(rng, 60))), "doc_id long, text string"), coder)
+    unigram = lm_scoring.untrained(coder, None)
+    unigram.network.dense["out"][:] = 0
+    mean = lambda m: np.mean([r.mean_log_likelihood for r in lm_scoring.score(held, m).collect()])
+    assert mean(model) > mean(unigram) + 0.4  # knowing the kind of text is worth log 2
+    assert table.where("sketch IS NULL").count() == 600
+
+
+def a_model(settings, seed=1):
+    rng = np.random.default_rng(seed)
+    words = rng.integers(0, 1 << 62, settings.vocabulary).astype(np.uint64)
+    coder = lm_scoring.Coder(words, rng.integers(1, 90, settings.vocabulary).astype(float), rng.integers(0, 4, 1 << settings.cell_bits).astype(np.float32), settings)
+    model = lm_scoring.untrained(coder, rng.normal(size=settings.sketch * settings.ids))
+    model.network.start_training()
+    model.network.train(rng.integers(0, settings.ids, 40_000).astype(np.int16), model.classes)
+    return coder, model
+
+
+@pytest.mark.parametrize("settings", [lm_scoring.Settings(), TINY])
+def test_probabilities_sum_to_one(settings):
+    coder, model = a_model(settings)
+    rng, words = np.random.default_rng(2), np.arange(1, settings.ids)
+    line = rng.integers(1, settings.ids, 2 * settings.reach + 1)
+    h = model.network.hidden(model.network.embedded(line[None]))
+    logits = model.network.logits(h).astype(float)[:, 0]
+    class_logs = logits - np.log(np.exp(logits).sum())
+    assert float(np.exp(class_logs[model.classes[words]] + model.within[words]).sum()) == pytest.approx(1, abs=1e-3)
+    for k in (0, 3):  # the cells of a bucket share its probability
+        assert float(np.exp(coder.cell_log.reshape(-1, settings.buckets)[:, k].astype(float)).sum()) == pytest.approx(1, abs=1e-3)
+
+
+def test_a_score_is_the_sum_of_its_tokens_conditional_log_probabilities(spark):
+    coder, model = a_model(TINY)
+    rng = random.Random(9)
+    texts = [" ".join(f"t{rng.randrange(300)}" for _ in range(n)) for n in (1, 2, 5, 60)] + [None, "", " ".join(f"t{i % 7}" for i in range(40_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_tokens, r.log_likelihood) for r in lm_scoring.score(lm_scoring.coded(docs, coder), model).collect()}
+    w, e = {k: v.astype(float) for k, v in model.network.dense.items()}, model.network.e.astype(float)
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        starts, ends, _ = lm_scoring.S.word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        ids, rare = coder.code(lm_scoring.S.span_hashes(np.frombuffer(data, np.uint8), starts, ends))
+        total, memo = rare.sum(), {}
+        for at in range(len(ids)):
+            window = tuple(int(ids[at + d]) if 0 <= at + d < len(ids) else 0 for d in model.network.offsets)
+            if window not in memo:
+                memo[window] = w["out"] @ np.tanh(w["bias"] + sum(e[x] * w["side"][k] for k, x in enumerate(window))) + w["out_bias"]
+            logits = memo[window]
+            total += logits[model.classes[ids[at]]] - np.log(np.exp(logits).sum()) + model.within[ids[at]]
+        assert got[i][0] == len(ids) and got[i][1] == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
+def test_a_training_step_follows_the_gradient():
+    settings = lm_scoring.Settings(vocabulary=30, buckets=4, cell_bits=4, hidden=3, classes=5, lanes=1, run=64, rate=1.0)
+    _, model = a_model(settings)
+    line, net = np.concatenate([[0] * 3, np.random.default_rng(3).integers(0, settings.ids, 16), [0] * 3]).astype(np.int16), model.network
+    loss = lambda: -net.class_logs(line, model.classes)[np.flatnonzero(line)].mean()
+    before, e = {k: v.copy() for k, v in net.dense.items()}, net.e.copy()
+    net.start_training()
+    for v in [*net.squares.values(), net.e_squares]:
+        v[...] = 1e4  # a step is then the gradient over 100
+    net.train(line, model.classes)
+    steps = [(v, before[k], (before[k] - v) * 100) for k, v in net.dense.items()] + [(net.e, e, (e - net.e) * 100)]
+    for array, start, _ in steps:
+        array[...] = start
+    for array, start, gradient in steps:
+        at = np.unravel_index(np.abs(gradient).argmax(), array.shape)
+        slope = []
+        for h in (1e-2, -1e-2):
+            array[at] = start[at] + h
+            slope.append(loss())
+        array[at] = start[at]
+        assert (slope[0] - slope[1]) / 2e-2 == pytest.approx(gradient[at], rel=0.15, abs=2e-3)
+
+
+def test_the_rounds_train_every_document(spark):
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(200)], "doc_id long, text string")
+    keys = np.array([r.row for r in docs.select(F.xxhash64("text").alias("row")).collect()]).view(np.uint64)
+    key = (lm_scoring.S.mix64(keys) >> np.uint64(11)).astype(np.float64) * 2.0**-53
     for settings in (lm_scoring.Settings(), lm_scoring.Settings(rounds=3, train_share=1 / 3)):
-        taken = sum(lm_scoring._of_round(hashes, bounds, rows, turn, settings.train_share).astype(int) for turn in range(settings.rounds))
+        taken = sum((np.ceil((t + 1) * settings.train_share - key) > np.ceil(t * settings.train_share - key)).astype(int) for t in range(settings.rounds))
         assert taken.min() == taken.max() == 1
-    assert lm_scoring._of_round(hashes, bounds, rows, 3, TINY.train_share).all()
 
 
 def test_scores_of_empty_texts_and_tables(spark):
