@@ -4,21 +4,26 @@ Every document is parsed into factors against an index of all documents. The
 index holds reference blocks: of each window of `window` words the smallest hash
 of its `gram`-word runs is the anchor, neighbouring windows with one anchor form
 a block, and a block is known by its anchor and by the hash of all its words.
-
-1. A factor that equals a reference block elsewhere is a duplicate as a whole
-   (same anchor, same block hash, seen twice): copies need no further look, and
-   a group of copies is one index entry with a count.
-2. Where anchors agree but blocks differ, a factor ends inside the block. Only
-   there, at factor boundaries, are single windows compared: one representative
-   of each different block gives its windows, and equal ones are duplicates.
+Equal windows have equal anchors, so they lie in blocks of one anchor.
+
+1. Equal blocks are found by anchor and block hash; a group of copies is one
+   index entry with a count and its first and last place.
+2. Where anchors agree but blocks differ, one block of each kind is opened into
+   its windows, and equal windows are index entries in the same way.
+3. Each document is parsed with what the index has at its positions: from the
+   first position that matches, the longest of the matches (the entry's first
+   and last place in the corpus, followed word by word through the blocks and
+   windows after it) is a factor, and the parse goes on behind it. Windows that
+   lie across the end of a factor are checked by themselves. Factors and such
+   windows are the duplicate spans.
 
 Anchors that a Bloom filter of fixed size has not seen twice cannot start a
 factor and are never shuffled; a second filter names the blocks that step 2 opens.
 
 Defined cases: a null text has no words; two rows equal in id and text are two
 documents, each a copy of the other; texts shorter than a window stay; windows
-are judged on the input; n_words, n_removed, spans in the input are replaced and
-all other columns carried along.
+are judged on the input; n_words, n_removed, n_factors in the input are replaced
+and all other columns carried along.
 """
 
 from __future__ import annotations
@@ -106,17 +111,62 @@ def boundary_windows(docs: DataFrame, opened: DataFrame, *, window: int = WINDOW
     return docs.select("doc_id", S.row_key().alias("row_key"), "text").mapInArrow(run, f"doc_id {kind}, row_key long, anchor long, hash long, start int")
 
 
-def duplicate_factors(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, log_bits: int = bloom.LOG_BITS) -> DataFrame:
-    """(doc_id, row_key, start, length): word spans that stand elsewhere too, possibly overlapping."""
+def _entries(places: DataFrame, *keys: str) -> DataFrame:
+    """What stands at more than one place, with its count and its first and last place."""
+    place = F.struct("row_key", "start")
+    return places.groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"), F.min(place).alias("first"), F.max(place).alias("last"))
+
+
+def matches(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, log_bits: int = bloom.LOG_BITS) -> DataFrame:
+    """(doc_id, row_key, start, n, first, last): n windows from `start` on that stand elsewhere too, and where.
+
+    Staged: the joins that a hot block or window goes through end in a plain
+    write, so that their large partitions can be split.
+    """
     index = S.staged(reference_index(docs, window=window, gram=gram, log_bits=log_bits), "reference-index")
-    blocks = S.staged(index.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("seen"), F.min(F.struct("row_key", "start")).alias("first")), "reference-blocks")
-    whole = index.join(blocks.where("seen > 1").select("anchor", "block"), ["anchor", "block"], "left_semi").select("doc_id", "row_key", "start", (F.col("n") + window - 1).alias("length"))
+    blocks = S.staged(_entries(index, "anchor", "block"), "reference-blocks")
     differing = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
     opened = blocks.join(differing.select("anchor"), "anchor", "left_semi").select("first.row_key", "first.start")
     single = S.staged(boundary_windows(docs, opened, window=window, gram=gram, log_bits=log_bits), "boundary-windows")
-    twice = single.groupBy("anchor", "hash").count().where("count > 1").select("anchor", "hash")
-    parts = single.join(twice, ["anchor", "hash"], "left_semi").select("doc_id", "row_key", "start", F.lit(window).alias("length"))
-    return whole.unionByName(parts)
+    twice = S.staged(_entries(single, "anchor", "hash").where("seen > 1"), "windows-seen-twice")
+    columns = ["doc_id", "row_key", "start", "n", "first", "last"]
+    whole = index.join(blocks.where("seen > 1"), ["anchor", "block"]).select(*columns)
+    parts = single.join(twice, ["anchor", "hash"]).withColumn("n", F.lit(1)).select(*columns)
+    found = S.staged(whole.unionByName(parts), "matches")
+    S.discard(index, blocks, single, twice)
+    return found
+
+
+def parse(starts: np.ndarray, counts: np.ndarray, keys: np.ndarray, places: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Factors (start, length, key and place of the reference) of one document, then the matching windows across their ends (key and place 0).
+
+    Match k says that `counts[k]` windows from `starts[k]` on also start at
+    places[k, j] and behind it in the document keys[k, j], for j = 0, 1.
+    """
+    step = S.ranges(np.zeros(len(counts), np.int64), counts)
+    at = np.repeat(starts, counts) + step
+    # one row for each window and reference, ordered by reference and by distance to it: rows that go on are neighbours
+    own = np.concatenate([at, at])
+    key = np.concatenate([np.repeat(keys[:, j], counts) for j in (0, 1)])
+    place = np.concatenate([np.repeat(places[:, j], counts) + step for j in (0, 1)])
+    order = np.lexsort((own, place - own, key))
+    own, key, place = own[order], key[order], place[order]
+    goes_on = (own[1:] == own[:-1] + 1) & (key[1:] == key[:-1]) & (place[1:] == place[:-1] + 1)
+    again = (own[1:] == own[:-1]) & (key[1:] == key[:-1]) & (place[1:] == place[:-1])
+    last = np.flatnonzero(np.concatenate([~(goes_on | again), [True]]))
+    reach = own[last[np.searchsorted(last, np.arange(len(own)))]]  # the last window of the match that goes through this row
+    best = np.lexsort((-reach, own))
+    own, reach, key, place = own[best], reach[best], key[best], place[best]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    own, reach, key, place = own[first], reach[first], key[first], place[first]
+    factors, across, i = [], [], 0
+    while i < len(own):
+        end = int(reach[i]) + window
+        factors.append((int(own[i]), end - int(own[i]), int(key[i]), int(place[i])))
+        i = int(np.searchsorted(own, end))
+        straddling = own[np.searchsorted(own, end - window, "right") : i]
+        across += [(int(x), window, 0, 0) for x in straddling]
+    return factors + across
 
 
 def _cut(buf: np.ndarray, at: np.ndarray, starts: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,28 +188,37 @@ def _cut(buf: np.ndarray, at: np.ndarray, starts: np.ndarray, lengths: np.ndarra
 
 
 def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, log_bits: int = bloom.LOG_BITS) -> DataFrame:
-    """docs with the kept words, joined by one space, as text, and n_words, n_removed.
+    """docs with the kept words, joined by one space, as text, and n_words, n_removed, n_factors.
 
-    The factors of a document meet its text by id and row key; a document's list
+    The matches of a document meet its text by id and row key; a document's list
     is bounded by its own words.
     """
-    docs = docs.drop("n_words", "n_removed")
+    docs = docs.drop("n_words", "n_removed", "n_factors")
     S.small_batches(docs.sparkSession)
-    factors = duplicate_factors(docs, window=window, gram=gram, log_bits=log_bits)
-    lists = factors.groupBy(F.col("row_key").alias("_factor_key"), F.col("doc_id").alias("_factor_id")).agg(F.collect_set(F.struct("start", "length")).alias("_f"))
-    lists = lists.select("_factor_key", "_factor_id", F.col("_f.start").alias("_factor_starts"), F.col("_f.length").alias("_factor_lengths"))
-    joined = docs.join(lists, (S.row_key() == F.col("_factor_key")) & docs["doc_id"].eqNullSafe(F.col("_factor_id")), "left").drop("_factor_key", "_factor_id")
+    found = matches(docs, window=window, gram=gram, log_bits=log_bits)
+    fields = [F.col("start").alias("start"), F.col("n").alias("n"), *(F.col(f"{end}.{k}").alias(f"{end}_{k}") for end in ("first", "last") for k in ("row_key", "start"))]
+    lists = found.groupBy(F.col("row_key").alias("_match_key"), F.col("doc_id").alias("_match_id")).agg(F.collect_set(F.struct(*fields)).alias("_m"))
+    names = ["start", "n", "first_row_key", "last_row_key", "first_start", "last_start"]
+    lists = lists.select("_match_key", "_match_id", *[F.col(f"_m.{k}").alias(f"_match_{k}") for k in names])
+    joined = docs.join(lists, (S.row_key() == F.col("_match_key")) & docs["doc_id"].eqNullSafe(F.col("_match_id")), "left").drop("_match_key", "_match_id")
     columns, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, at in S.slices(batches, "text"):
-            starts, counts = S.int_lists(part.column(len(columns)))
-            lengths, _ = S.int_lists(part.column(len(columns) + 1))
-            data, bounds, n_words, n_removed = _cut(buf, at, starts, lengths, counts)
+            (start, sizes), (n, _), (k1, _), (k2, _), (p1, _), (p2, _) = (S.int_lists(part.column(len(columns) + k)) for k in range(6))
+            keys, places, ends = np.stack([k1, k2], 1), np.stack([p1, p2], 1), np.concatenate([[0], np.cumsum(sizes)])
+            spans, n_spans, n_factors = [], np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+            for i in np.flatnonzero(sizes).tolist():
+                own = slice(ends[i], ends[i + 1])
+                parsed = parse(start[own], n[own], keys[own], places[own], window)
+                spans += parsed
+                n_spans[i], n_factors[i] = len(parsed), sum(length > window or key != 0 for _, length, key, _ in parsed)
+            starts, lengths = (np.array([x[k] for x in spans], np.int64) for k in (0, 1))
+            data, bounds, n_words, n_removed = _cut(buf, at, starts, lengths, n_spans)
             text = pa.StringArray.from_buffers(len(part), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data.tobytes()))
-            kept = [*part.columns[: len(columns)], pa.array(n_words.astype(np.int64)), pa.array(n_removed.astype(np.int64))]
+            kept = [*part.columns[: len(columns)], pa.array(n_words.astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array(n_factors)]
             kept[place] = text
-            yield pa.RecordBatch.from_arrays(kept, names=[*columns, "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays(kept, names=[*columns, "n_words", "n_removed", "n_factors"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(k, T.LongType()) for k in ("n_words", "n_removed", "n_factors"))])
     return joined.mapInArrow(run, schema)

@@ -184,5 +184,54 @@ def test_substring_dedup_equals_brute_force(spark, window, gram, log_bits):
     assert sorted(map(tuple, got), key=repr) == expected_cuts(rows, window)
 
 
+def greedy(starts, counts, keys, places, window):
+    """The parse by trying, at each position, every reference word by word."""
+    at = {}
+    for s, n, k, p in zip(starts, counts, keys, places):
+        for i in range(n):
+            at.setdefault(s + i, set()).update((k[j], p[j] + i) for j in (0, 1))
+    factors, i, top = [], 0, max(at) + 1
+    while i < top:
+        best = 0
+        for k, p in at.get(i, ()):
+            n = 1
+            while (k, p + n) in at.get(i + n, ()):
+                n += 1
+            best = max(best, n + window - 1)
+        factors += [(i, best)] if best else []
+        i += best or 1
+    inside = {x for s, n in factors for x in range(s, s + n - window + 1)}
+    return factors, sorted(x for x in at if x not in inside)
+
+
+def test_parses_are_greedy_and_lose_no_window():
+    rng = random.Random(11)
+    for _ in range(60):
+        rows = []
+        for _ in range(rng.randrange(1, 12)):
+            key, other, shift = rng.randrange(3), rng.randrange(3), rng.choice([0, 0, 5, 9])
+            start = rng.randrange(60)
+            rows.append((start, rng.randrange(1, 9), (key, other), (start + shift, start + rng.choice([2, 40]))))
+        starts, counts, keys, places = map(list, zip(*rows))
+        want, across = greedy(starts, counts, keys, places, 6)
+        got = substring_dedup.parse(*(np.array(x, np.int64) for x in (starts, counts, keys, places)), 6)
+        assert [x[:2] for x in got[: len(want)]] == want
+        assert sorted(x[0] for x in got[len(want) :]) == across and all(x[1] == 6 for x in got[len(want) :])
+
+
+def test_factors_stand_at_their_references(spark):
+    rows = documents(8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = substring_dedup.matches(docs, log_bits=18).collect()
+    keys = {r.k: r.text for r in docs.select(substring_dedup.S.row_key().alias("k"), "text").collect()}
+    words = {k: re.findall(r"[^\x20\x09-\x0d]+", t or "") for k, t in keys.items()}
+    assert found
+    for r in found:
+        own = words[r.row_key][r.start : r.start + r.n + 34]
+        assert len(own) == r.n + 34
+        for end in (r["first"], r["last"]):
+            assert words[end.row_key][end.start : end.start + r.n + 34] == own
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring_dedup.dedup_substrings(spark.createDataFrame([], "doc_id long, text string"), log_bits=12).count() == 0
