@@ -1,23 +1,27 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams events; they become lines (blocks of
-text) with a count of the tags met since the last line. The ratio of text to
-tags per line is smoothed with a Gaussian and thresholded at the spread of the
-page's ratios; lines above it seed content, and a region (the article or other
-landmark a line stands in) that holds the larger part of its text in such lines
-is taken whole, so short paragraphs of an article stay. Parts that are never
-content (menus, forms, scripts, adverts, reader comments ...) are closed out by
-their element or by a word of their class, id or role.
+text) with a count of the tags met since the last line. A line's ratio is its
+text outside links to its tags. Ratios are smoothed with a Gaussian along each
+region (the container a line stands in; an article or other landmark is one
+region with all that it holds, but for its link lists and parts named otherwise).
+A line is content where its smoothed ratio, weighted by what the region's class,
+id or role says and by whether it lies in a landmark of the page, reaches the
+spread of the page's; a region is taken whole, short lines included, if at least
+half of its text is in such lines. Only elements that are never an article
+(scripts, menus, forms, footers ...) are left out before that.
 
 Defined cases: a null or empty page, or one without text, gives the empty text;
 broken markup ends where the parser ends it; a page without any landmark is one
-region per block container; other columns are carried along.
+region per block container; regions of equal ratio are all taken; attribute
+values of any length are read whole; other columns are carried along.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,17 +29,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Elements whose text is never content, that take no end tag, and that end a block.
-SKIPPED = frozenset("script style noscript template svg math nav header footer aside form button select option textarea iframe object canvas dialog menu head title audio video map".split())
+SKIPPED = frozenset("script style noscript template svg math nav footer aside form button select option textarea iframe object canvas dialog menu head title audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 LANDMARKS = frozenset(("article", "main"))
 REGIONS = frozenset("article main section div body td".split())
-#: Words of class, id or role that mark a part as not the article.
+#: Parts of a landmark that are a region of their own if most of their text is links.
+LISTS = frozenset("ul ol dl table div section".split())
+#: Words of class, id or role that speak against a part.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer contentinfo "
     "sidebar complementary aside widget widgets related recommended recommendations share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "signup login search comment comments commentlist respond reply replies disqus discussion pagination pager toolbar tags copyright legal disclaimer skip".split()
 )
+#: Of these, what marks even a single paragraph.
+ADVERTS = frozenset("ad ads advert adverts advertisement sponsored".split())
+#: Weights of a region named by such a word, of one whose name begins with one, and of one outside the page's landmarks.
+NAMED, BEGUN, OUTSIDE = 0.1, 0.4, 0.3
 #: An end tag that may be left out: opening one of the values ends the key.
 IMPLIED_END = {"head": BLOCKS - {"header"}, "p": BLOCKS - {"br"}, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
 CHUNK = 1 << 16
@@ -44,40 +54,68 @@ _TOKENS = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
+def _weight(tag: str, attrs: list[tuple[str, str | None]]) -> float:
+    """What class, id and role say about a part: 1 for nothing, 0 for a hidden one."""
+    out = 1.0
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
             for word in value.split():
-                parts = _TOKENS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", word))
-                if any(p.lower() in BOILERPLATE for p in parts):
-                    return True
+                parts = [p.lower() for p in _TOKENS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", word))]
+                if not parts or parts[0] not in (BOILERPLATE if tag in BLOCKS - {"p"} else ADVERTS):
+                    continue
+                out = min(out, NAMED if all(p in BOILERPLATE or len(p) < 2 for p in parts) else BEGUN if tag != "p" else 1.0)
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-    return False
+            return 0.0
+    return out
+
+
+@dataclass
+class Region:
+    """A part of the page: the region around it, its weight, and whether it is one only as a list of links."""
+
+    parent: int
+    weight: float
+    landmark: bool
+    listed: bool = False
+    chars: int = 0
+    linked: int = 0
+
+
+@dataclass
+class Line:
+    text: str
+    linked: int  # characters in links
+    tags: int
+    region: int
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, region, in_landmark) per block."""
+    """Collects lines and regions."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[Line] = []
+        self.regions = [Region(-1, 1.0, False)]
         self.open: list[tuple[str, bool, int]] = []  # element, not content, region before it
         self.text: list[str] = []
-        self.tags = self.closed = self.regions = self.region = self.landmarks = 0
+        self.tags = self.closed = self.region = self.landmarks = self.links = self.linked = 0
 
     def end_block(self) -> None:
         if self.text:
             line = _SPACE.sub(" ", "".join(self.text)).strip()
             self.text.clear()
             if line:
-                self.lines.append((line, self.tags, self.region, self.landmarks > 0))
+                self.lines.append(Line(line, min(self.linked, len(line)), self.tags, self.region))
                 self.tags = 0
+        self.linked = 0
 
     def _pop(self) -> None:
         tag, dead, region = self.open.pop()
         self.closed -= dead
         self.landmarks -= tag in LANDMARKS
+        self.links -= tag == "a"
+        if region != self.region:
+            self.end_block()
         self.region = region
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -88,13 +126,19 @@ class _Lines(HTMLParser):
             return
         while self.open and tag in IMPLIED_END.get(self.open[-1][0], ()):
             self._pop()
-        dead = tag in SKIPPED or (tag not in ("html", "body", *LANDMARKS) and _is_boilerplate(attrs)) or (tag in LANDMARKS and self.landmarks > 0 and _is_boilerplate(attrs))
+        weight = _weight(tag, attrs) if attrs and tag not in ("html", "body") else 1.0
+        dead = tag in SKIPPED or weight == 0 or (tag == "header" and not self.landmarks)
         self.open.append((tag, dead, self.region))
         self.closed += dead
+        self.links += tag == "a"
+        inside = self.landmarks > 0
         self.landmarks += tag in LANDMARKS
-        if tag in REGIONS and not (self.landmarks > 1 or (self.landmarks == 1 and tag not in LANDMARKS)):
-            self.regions += 1
-            self.region = self.regions
+        named, listed = weight < 1, inside and tag in LISTS
+        if named or listed or (tag in REGIONS and not inside):
+            self.end_block()
+            own = self.regions[self.region].weight * weight
+            self.regions.append(Region(self.region, own, self.landmarks > 0, listed and not named))
+            self.region = len(self.regions) - 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -110,15 +154,33 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.closed:
             self.text.append(data)
+            if self.links > 0:
+                self.linked += len(data.strip())
 
 
-def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
+def lines_of(html: str) -> tuple[list[Line], list[Region]]:
+    """Lines, and the regions that they name; lists that are not mostly links are part of what holds them."""
     parser = _Lines()
     for i in range(0, len(html), CHUNK):
         parser.feed(html[i : i + CHUNK])
     parser.close()
     parser.end_block()
-    return parser.lines
+    lines, regions = parser.lines, parser.regions
+    for line in lines:
+        regions[line.region].chars += len(line.text)
+        regions[line.region].linked += line.linked
+    into = list(range(len(regions)))
+    for k in range(len(regions) - 1, 0, -1):  # from the inside out: the parts of a list count for it
+        own, parent = regions[k], regions[k].parent
+        if own.listed and own.linked * 2 < max(own.chars, 1):
+            into[k] = parent
+            regions[parent].chars += own.chars
+            regions[parent].linked += own.linked
+    for k in range(1, len(regions)):
+        into[k] = into[into[k]]
+    for line in lines:
+        line.region = into[line.region]
+    return lines, regions
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -127,21 +189,30 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
+def scores(lines: list[Line], regions: list[Region], sigma: float = SIGMA) -> np.ndarray:
+    """Smoothed and weighted text-to-tag ratio of every line."""
+    ratios = np.array([(len(x.text) - x.linked) / max(1, x.tags) for x in lines])
+    of = np.array([x.region for x in lines])
+    out, landmarks = np.zeros(len(lines)), any(regions[k].landmark for k in set(of.tolist()))
+    for k in np.unique(of).tolist():
+        own = np.flatnonzero(of == k)
+        weight = regions[k].weight * (OUTSIDE if landmarks and not regions[k].landmark else 1.0)
+        out[own] = smoothed(ratios[own], sigma) * weight
+    return out
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
-    lines = lines_of(html or "")
-    if any(inside for *_, inside in lines):
-        lines = [x for x in lines if x[3]]
+    lines, regions = lines_of(html or "")
     if not lines:
         return ""
-    sizes = np.array([len(t) for t, *_ in lines], float)
-    ratios = smoothed(sizes / np.array([max(1, n) for _, n, *_ in lines]), sigma)
+    ratios, sizes = scores(lines, regions, sigma), np.array([len(x.text) for x in lines], float)
     content = ratios >= min(ratios.std(), ratios.max())
-    _, region = np.unique([r for *_, r, _ in lines], return_inverse=True)
+    _, region = np.unique([x.region for x in lines], return_inverse=True)
     mass, lit = np.bincount(region, sizes), np.bincount(region, sizes * content)
     taken = lit * 2 >= mass
     if not taken.any():
         taken[np.argmax(np.bincount(region, sizes * ratios))] = True
-    return "\n".join(t for (t, *_), r in zip(lines, region, strict=True) if taken[r])
+    return "\n".join(x.text for x, r in zip(lines, region, strict=True) if taken[r])
 
 
 def extract(pages: DataFrame, *, html: str = "html", carry: tuple[str, ...] = ("page_id", "url"), sigma: float = SIGMA) -> DataFrame:

@@ -37,6 +37,62 @@ def test_pages_without_landmarks_and_broken_markup():
     assert html_extract.main_text("<article><p>" + "word " * 200_000 + "</article>").count("word") == 200_000
 
 
+SENTENCES = ["The council met on Tuesday to hear how the harbour wall would be paid for, and by whom.", "Nobody had expected so many people.", "A second survey, made in spring, found that the stones had moved by another four centimetres since the autumn before.", "Of course.", "Why not?"]
+
+
+@pytest.mark.parametrize("name", ["share-price", "tags-intro", "related-work", "legal", "alert", "comment-free", "menu-review"])
+def test_a_paragraph_of_the_article_stays_whatever_its_class(name):
+    text = " ".join(SENTENCES[:3])
+    html = f"<body><div class='layout has-sidebar'><article><p>{text}</p><p class='{name}'>{SENTENCES[0]}</p><p>{text}</p></article></div></body>"
+    assert html_extract.main_text(html) == f"{text}\n{SENTENCES[0]}\n{text}"
+
+
+def test_lists_of_links_go_and_lists_of_words_stay():
+    text = " ".join(SENTENCES[:3])
+    links = "".join(f"<li><a href='/{i}'>Another story {i}</a></li>" for i in range(8))
+    items = "".join(f"<li>item {i}</li>" for i in range(4))
+    assert html_extract.main_text(f"<article><p>{text}</p><ul>{items}</ul><ul>{links}</ul><p>{text}</p></article>") == "\n".join([text, *(f"item {i}" for i in range(4)), text])
+
+
+def page_of(rng, landmark):
+    """A page and its main text; without a landmark nothing but ratios tells its parts apart."""
+    blocks = [" ".join(rng.choice(SENTENCES) for _ in range(rng.randint(2, 5))) if rng.random() < 0.8 else rng.choice(SENTENCES[3:]) for _ in range(rng.randint(5, 12))]
+    pairs = [(x.replace(",", " <i>,</i>"), x.replace(",", " ,")) if rng.random() < 0.1 else (x, x) for x in blocks]
+    body = "".join(f"<p>{x}</p>" for x, _ in pairs)
+    words = lambda n: "".join(f"<span><b>{rng.choice('more top new best view'.split())}</b></span><br>" for _ in range(n))
+    links = "".join(f"<li><a href='#'>{x}</a>" for x in ("Home", "News", "About the harbour"))
+    around = [f"<nav>{links}</nav>", f"<div><div>{words(4)}</div><ul>{links}</ul></div>", f"<form>Name <input></form><div>{words(rng.randint(3, 9))}</div>", "<footer>Printed in the harbour</footer>"]
+    text = "\n".join(x for _, x in pairs)
+    tag = landmark or "div"
+    return f"<html><body>{around[0]}{around[1]}<{tag}>{body}</{tag}>{around[2]}{around[3]}</body></html>", text
+
+
+@pytest.mark.parametrize("landmark", ["article", "main", None])
+def test_the_ratios_find_the_text_of_made_up_pages(landmark):
+    rng = random.Random(4)
+    for _ in range(60):
+        html, text = page_of(rng, landmark)
+        assert html_extract.main_text(html) == text
+
+
+def test_without_the_ratios_the_text_is_not_found(monkeypatch):
+    html, text = page_of(random.Random(4), None)
+    monkeypatch.setattr(html_extract, "scores", lambda lines, regions, sigma: np.ones(len(lines)))
+    assert html_extract.main_text(html) != text
+
+
+def test_ratios_decide_between_a_landmark_and_the_rest():
+    text = "\n".join(" ".join(SENTENCES) for _ in range(6))
+    html = f"<body><div>{''.join(f'<p>{x}</p>' for x in text.split(chr(10)))}</div><article><b><i>Read</i></b> <b>on</b></article></body>"
+    assert html_extract.main_text(html) == text
+
+
+def test_ties_and_long_attribute_values():
+    text = " ".join(SENTENCES[:3])
+    assert html_extract.main_text(f"<div><p>{text}</p></div><div><p>{text}</p></div>") == f"{text}\n{text}"
+    assert html_extract.main_text(f"<article><p title='{'x' * 300_000}' data-a='>'>{text}</p><a href='data:{'y' * 300_000}'>z</a></article>") == f"{text}\nz"
+
+
 def test_ratios_are_smoothed_without_moving_mass():
     flat = np.full(9, 3.0)
     assert html_extract.smoothed(flat) == pytest.approx(flat)
