@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, jaccard_join, line_dedup, lm_scoring, mixing, quality, secret_scan, substring_dedup, warc
-from .support import scratch_path
+from .support import scratch_path, staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    found = warc.resolved(warc.read_archives(spark, path, payloads=False))
+    found = warc.resolved(staged(warc.read_archives(spark, path, payloads=False), "warc-records"))
     return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 

@@ -6,15 +6,19 @@ CRLF of a record. Payloads that occur more than once (by SHA-1, from
 `least_bytes` on) are stored once, with the row of the largest page_id; the
 others become revisit records.
 
-The reader takes whole files (binaryFile), plain or with gzip members, and
-checks version line, header, length, record end and block digest. After a failed
-check it searches for the next version line or gzip member that passes, and
-logs the bytes in between as a quarantined gap. Files must fit into a task; the
-writer limits theirs by `records_per_file`.
+The reader checks version line, header, length, record end and block digest.
+After a failed check it searches for the next version line or gzip member that
+passes, and logs the bytes in between as a quarantined gap. Members are unpacked
+as a stream: what is held is one record, and the records before a member's damage
+are kept. Files come as rows of Spark's binaryFile source, which takes up to 2 GB
+each; the writer bounds its own by `file_bytes`. (A damaged length inside a
+member of many records can make the reader hold the rest of that member.)
 
 Defined cases: a null payload is empty, a null url is written empty, a null
-page_id is written empty and read as null and counts as the smallest; rows equal
-in id and payload become equal records; an empty table gives an empty archive.
+page_id is written empty and read as null and counts as the smallest; urls and
+headers may be of any length; payloads of `least_bytes` and more take part in
+revisits, shorter ones never; rows equal in id and payload become equal records;
+an empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .support import staged
+from .support import release, small_batches, staged
 
 VERSION = b"WARC/1.1\r\n"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
@@ -41,8 +45,13 @@ GZIP_MAGIC = b"\x1f\x8b\x08"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 LEAST_BYTES = 1000
-RECORDS_PER_FILE = 4000
-MAX_HEADER = 1 << 16
+RECORDS_PER_FILE, FILE_BYTES = 4000, 64 << 20
+#: A page of more bytes is written apart, with fewer to a file.
+LARGE_BYTES = 8 << 20
+#: What a header takes besides two urls' bytes, at most.
+HEADER_BYTES = 2048
+#: Bytes that are unpacked from a member at a time.
+UNPACK_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- writing
@@ -86,7 +95,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES, log_bits: in
 
 
 def records(pages: DataFrame, *, date: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """One WARC record per row as a string column, without its last CRLF."""
+    """One WARC record per row as a string column, without its last CRLF, and the page's bytes."""
     rows = with_revisits(pages, least_bytes)
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     revisit = F.col("refers_to").isNotNull()
@@ -105,11 +114,24 @@ def records(pages: DataFrame, *, date: str, least_bytes: int = LEAST_BYTES) -> D
         field("Content-Length", F.octet_length("block").cast("string")),
         F.lit("\r\n"),
     )
-    return rows.select(F.concat(head, "block", F.lit("\r\n")).alias("value"))
-
-
-def write_archives(pages: DataFrame, path: str, *, date: str = "2000-01-01T00:00:00Z", least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
-    records(pages, date=date, least_bytes=least_bytes).write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).mode("overwrite").text(path)
+    size = F.octet_length("payload") + F.coalesce(F.octet_length("url"), F.lit(0))
+    return rows.select(F.concat(head, "block", F.lit("\r\n")).alias("value"), size.alias("size"))
+
+
+def write_archives(pages: DataFrame, path: str, *, date: str = "2000-01-01T00:00:00Z", least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Archives of at most `file_bytes`, or of one record; large pages are rare and go to files of their own."""
+    small_batches(pages.sparkSession)
+    size = F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0))
+    sizes = pages.groupBy((size > LARGE_BYTES).alias("large")).agg(F.max(size).alias("most")).collect()
+    rows = records(pages, date=date, least_bytes=least_bytes)
+    mode = "overwrite"
+    for part in sorted(sizes, key=lambda r: r["large"]):
+        own = rows.where((F.col("size") > LARGE_BYTES) == F.lit(part["large"])).select("value")
+        most = max(1, min(records_per_file, file_bytes // (HEADER_BYTES + part["most"])))
+        own.write.option("lineSep", "\r\n").option("maxRecordsPerFile", most).mode(mode).text(path)
+        mode = "append"
+    if not sizes:
+        rows.select("value").write.mode(mode).text(path)
 
 
 # ---------------------------------------------------------------- reading
@@ -124,17 +146,25 @@ def _digest_matches(labelled: bytes, block: bytes) -> bool:
     return value.lower() == own.hexdigest().encode() or value.upper().rstrip(b"=") == base64.b32encode(own.digest()).rstrip(b"=")
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict[bytes, bytes], bytes, int] | str:
-    """Header, block and end of the record at this place, or the check that fails."""
+#: The end of a header, or the next record that begins before it.
+_HEADER_END = re.compile(rb"\r?\n\r?\n|\nWARC/1\.[01]\r?\n")
+
+
+def parse_record(data: bytes | bytearray, at: int, whole: bool = True) -> tuple[dict[bytes, bytes], bytes, int] | str | int:
+    """Header, block and end of the record at this place, or the check that fails; unless `data` is whole, how many bytes it must have to tell."""
+    if not whole and len(data) - at < 16:
+        return at + 16
     version = VERSION_LINE.match(data, at)
     if not version:
         return "no version line"
-    blank = re.compile(rb"\r?\n\r?\n").search(data, version.end() - 2, at + MAX_HEADER)
-    if not blank:
+    blank = _HEADER_END.search(data, version.end() - 2)
+    if not blank and not whole:
+        return len(data) + max(1 << 16, (len(data) - at) // 2)
+    if not blank or b"W" in blank.group():
         return "header does not end"
     header: dict[bytes, bytes] = {}
     name = b""
-    for line in data[version.end() : blank.start()].splitlines():
+    for line in bytes(data[version.end() : blank.start()]).splitlines():
         if line[:1] in (b" ", b"\t") and name:
             header[name] += b" " + line.strip()
             continue
@@ -146,57 +176,122 @@ def parse_record(data: bytes, at: int) -> tuple[dict[bytes, bytes], bytes, int]
     if not header.get(b"content-length", b"").isdigit():
         return "no length"
     end = blank.end() + int(header[b"content-length"])
+    if end + 4 > len(data) and not whole:
+        return end + 4
     if end > len(data):
         return "block ends early"
     tail = re.compile(rb"(\r?\n){2}").match(data, end)
     if not tail and end != len(data):
         return "no record end"
-    block = data[blank.end() : end]
+    block = bytes(data[blank.end() : end])
     if b"warc-block-digest" in header and not _digest_matches(header[b"warc-block-digest"], block):
         return "block digest differs"
     return header, block, tail.end() if tail else end
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """The gzip member at this place and its end."""
-    unpack = zlib.decompressobj(31)
-    try:
-        out = unpack.decompress(memoryview(data)[at:])
-        out += unpack.flush()
-    except zlib.error:
-        return "gzip member is damaged"
-    return (out, len(data) - len(unpack.unused_data)) if unpack.eof else "gzip member ends early"
+class _Member:
+    """A gzip member at a place of the data, unpacked piece by piece; then its end, or what failed."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at, self.end, self.failure = memoryview(data), at, len(data), ""
+
+    def chunks(self) -> Iterator[bytes]:
+        unpack, at = zlib.decompressobj(31), self.at
+        rest: bytes | memoryview = b""
+        try:
+            while not unpack.eof:
+                if not len(rest):
+                    if at >= len(self.data):
+                        self.failure = "gzip member ends early"
+                        return
+                    rest, at = self.data[at : at + (1 << 16)], min(at + (1 << 16), len(self.data))
+                out = unpack.decompress(rest, UNPACK_BYTES)
+                rest = unpack.unconsumed_tail
+                if out:
+                    yield out
+        except zlib.error:
+            self.failure = "gzip member is damaged"
+            return
+        self.end = at - len(unpack.unused_data)
+
+
+def _streamed(chunks: Iterator[bytes]) -> Iterator[tuple[str, int, int, object, object]]:
+    """Records and gaps of a stream, with their places in it; of a stream that breaks off, what was whole before."""
+    data, base, at, bad_from, reason, whole = bytearray(), 0, 0, -1, "", False
+    while True:
+        found = parse_record(data, at, whole) if at < len(data) or not whole else None
+        if isinstance(found, int):
+            while len(data) < found and not whole:
+                chunk = next(chunks, None)
+                whole = chunk is None
+                data += chunk or b""
+            continue
+        if found is None:
+            break
+        if isinstance(found, str):
+            if bad_from < 0:
+                bad_from, reason = base + at, found
+            following = VERSION_LINE.search(data, at + 1)
+            at = following.start() if following else len(data) if whole else max(at + 1, len(data) - 16)
+        else:
+            if bad_from >= 0:
+                yield "gap", bad_from, base + at - bad_from, reason, None
+                bad_from = -1
+            header, block, end = found
+            yield "record", base + at, end - at, header, block
+            at = end
+        if at > UNPACK_BYTES:
+            del data[:at]
+            base, at = base + at, 0
+    if bad_from >= 0:
+        yield "gap", bad_from, base + len(data) - bad_from, reason, None
 
 
 _NEXT = re.compile(rb"WARC/1\.[01]\r?\n|\x1f\x8b\x08")
 
 
-def salvage(data: bytes, offset: int = 0, nested: bool = False) -> Iterator[tuple[str, int, int, object, object]]:
-    """("record", offset, length, header, block) and ("gap", offset, length, reason, None), in file order."""
+def salvage(data: bytes) -> Iterator[tuple[str, int, int, object, object]]:
+    """("record", offset, length, header, block) and ("gap", offset, length, reason, None), in file order.
+
+    What lies in a gzip member has the member's offset and its own unpacked length.
+    A member that breaks off gives the records before the damage, and is a gap up
+    to the next record or member that passes.
+    """
     at, bad_from, reason = 0, -1, ""
     while at < len(data):
-        packed = not nested and data.startswith(GZIP_MAGIC, at)
-        found = _member(data, at) if packed else parse_record(data, at)
-        if isinstance(found, str):
+        failure, end, kept = "", at, False
+        if data.startswith(GZIP_MAGIC, at):
+            member = _Member(data, at)
+            for kind, inner, length, head, block in _streamed(member.chunks()):
+                if kind == "gap" and member.failure:
+                    continue  # the broken record at the member's end is part of the member's gap
+                if kind == "record" or kept:
+                    if bad_from >= 0:
+                        yield "gap", bad_from, at - bad_from, reason, None
+                        bad_from = -1
+                    kept = kept or kind == "record"
+                    yield kind, at, length, head, block
+                else:
+                    failure = failure or str(head)
+            failure, end = member.failure or ("" if kept else failure), member.end
+        else:
+            found = parse_record(data, at)
+            if isinstance(found, str):
+                failure = found
+            else:
+                if bad_from >= 0:
+                    yield "gap", bad_from, at - bad_from, reason, None
+                    bad_from = -1
+                header, block, end = found
+                yield "record", at, end - at, header, block
+        if failure:
             if bad_from < 0:
-                bad_from, reason = at, found
+                bad_from, reason = at, failure
             following = _NEXT.search(data, at + 1)
-            at = following.start() if following else len(data)
-            continue
-        if bad_from >= 0:
-            yield "gap", offset + bad_from, at - bad_from, reason, None
-            bad_from = -1
-        if packed:
-            inner, end = found
-            # places inside a member are given by the member's own place in the file
-            for kind, _, length, head, block in salvage(inner, nested=True):
-                yield kind, offset + at, end - at if kind == "record" else length, head, block
-        else:
-            header, block, end = found
-            yield "record", offset + at, end - at, header, block
+            end = following.start() if following else len(data)
         at = end
     if bad_from >= 0:
-        yield "gap", offset + bad_from, len(data) - bad_from, reason, None
+        yield "gap", bad_from, len(data) - bad_from, reason, None
 
 
 RECORDS = (

@@ -386,6 +386,44 @@ def test_salvage_of_gzip_members():
     assert records == ["0", "2"] and gaps == [(len(members[0]), len(members[1]))]
 
 
+def test_what_stands_before_the_damage_of_a_member_is_kept():
+    parts = [record(i, random.Random(i).randbytes(5000)) for i in range(50)]
+    whole = gzip.compress(b"".join(parts))
+    records, gaps = salvaged(whole)
+    assert records == [str(i) for i in range(50)] and gaps == []
+    records, gaps = salvaged(whole[:-2000])
+    assert records == [str(i) for i in range(49)] and gaps == [(0, len(whole) - 2000)]
+    middle = len(whole) // 2
+    records, gaps = salvaged(whole[:middle] + bytes(200) + whole[middle + 200 :] + gzip.compress(record(77, b"after")))
+    assert records[:20] == [str(i) for i in range(20)] and records[-1] == "77" and len(gaps) == 1
+    inner = gzip.compress(parts[0] + b"rubbish" + parts[1])
+    assert salvaged(inner) == (["0", "1"], [(0, 7)])
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_records_of_any_length_and_headers_of_any_length(pack):
+    head = record(1, b"x" * 3_000_000).replace(b"Page-ID: 1\r\n", b"Page-ID: 1\r\nWARC-Target-URI: data:" + b"u" * 2_500_000 + b"\r\n")
+    assert salvaged(pack(head + record(2, b""))) == (["1", "2"], [])
+    unended = b"WARC/1.1\r\nWARC-Type: response\r\n" + record(2, b"y")
+    assert salvaged(pack(unended))[0] == ["2"]
+
+
+def test_pages_at_the_bound_long_urls_and_large_pages_round_trip(spark, tmp_path):
+    rows = [(n * 10 + k, "u", "é"[: n % 2] + "z" * (n - 2 * (n % 2))) for n in (999, 1000, 1001) for k in range(2)]
+    rows += [(1, "data:" + "v" * 70_000, "<p>long url</p>"), (2, "w", "q" * 9_000_000), (3, "w", "q" * 9_000_000), (4, "w", "r" * 9_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    warc.write_archives(pages, str(tmp_path / "b"), file_bytes=20 << 20)
+    sizes = [f.stat().st_size for f in (tmp_path / "b").glob("part-*")]
+    assert max(sizes) <= 20 << 20 and len(sizes) >= 2
+    read = warc.read_archives(spark, str(tmp_path / "b")).cache()
+    assert read.where("kind = 'gap'").count() == 0
+    assert {r.target_uri for r in read.where("page_id = '1'").collect()} == {rows[6][1]}
+    got = {int(r.page_id): (r.payload_bytes, r.record_type, r.refers_to) for r in warc.resolved(read).collect()}
+    want = {i: (len(h.encode()), "response", None) for i, _, h in rows}
+    want |= {10_000: (1000, "revisit", "10001"), 10_010: (1001, "revisit", "10011"), 2: (9_000_000, "revisit", "3")}
+    assert got == want
+
+
 def test_empty_table_gives_an_empty_archive(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "e"))
