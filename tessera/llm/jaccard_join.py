@@ -26,7 +26,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +44,7 @@ FREQUENCIES = (2, 16, 128, 1024)
 TYPICAL = np.array([0.0, 4, 32, 256, 4096])
 MAX_MATCHES = 8
 VERIFY_COST = 16.0
+CHUNK = 1 << 18  # edges that a task joins at once
 BLOCK = 1 << 17  # set members (hashes) of a group, 1 MiB
 _FLUSH = 1 << 20
 
@@ -77,17 +77,6 @@ def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", S.row_key().alias("node"), "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long, sig1 long, sig2 long")
 
 
-def _pack(cells: np.ndarray) -> bytes:
-    """Sorted numbers as differences, by byte planes."""
-    steps = np.diff(cells, prepend=np.uint32(0)).astype("<u4")
-    return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8)
-    return np.cumsum(planes.reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
-
-
 def _cell_key(cells: np.ndarray, level: int) -> np.ndarray:
     return S.mix64(cells.astype(np.uint64) << np.uint64(8) | np.uint64(level))
 
@@ -103,7 +92,7 @@ def frequency_classes(docs: DataFrame, is_rep, n: int, log_bits: int) -> bloom.B
     def send(cells: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         own = np.sort(np.concatenate(cells))
         cuts = np.searchsorted(own, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(RANGE_BITS)).tolist()
-        rows = [(k, _pack(own[cuts[k] : cuts[k + 1]])) for k in range(ranges) if cuts[k] < cuts[k + 1]]
+        rows = [(k, bloom.pack(own[cuts[k] : cuts[k + 1]])) for k in range(ranges) if cuts[k] < cuts[k + 1]]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "cells"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +113,7 @@ def frequency_classes(docs: DataFrame, is_rep, n: int, log_bits: int) -> bloom.B
         for batch in batches:
             part = batch.column(0)[0].as_py()
             for packed in batch.column(1):
-                cells = _unpack(packed.as_py()) & np.uint32((1 << RANGE_BITS) - 1)
+                cells = bloom.unpack(packed.as_py()) & np.uint32((1 << RANGE_BITS) - 1)
                 held += len(cells)
                 few.append(cells)
                 if held > 1 << (RANGE_BITS - 3):  # counters for the whole range pay from here on
@@ -140,14 +129,14 @@ def frequency_classes(docs: DataFrame, is_rep, n: int, log_bits: int) -> bloom.B
         for level, least in enumerate(FREQUENCIES, 1):
             cells = found[counts >= least] | np.uint32(part << RANGE_BITS)
             for i in range(0, len(cells), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([_pack(cells[i : i + (1 << 16)])], pa.binary())], names=["level", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([bloom.pack(cells[i : i + (1 << 16)])], pa.binary())], names=["level", "cells"])
 
     count.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             for level, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield _cell_key(_unpack(cells), level)
+                yield _cell_key(bloom.unpack(cells), level)
 
     # staged, so that no task holds counters and filter segments in two Python workers at a time
     counted = S.staged(docs.mapInArrow(scan, "part int, cells binary").groupBy("part").applyInArrow(count, "level int, cells binary"), "frequent-cells")
@@ -361,15 +350,42 @@ def _links_of_the_rest(placed: DataFrame, edges: DataFrame, found: DataFrame, pe
     return groups.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def forest_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of some edges that is not the smallest of its component, and that smallest one."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, root = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while len(u):
+        ru, rv = root[u], root[v]
+        apart = ru != rv
+        u, v, ru, rv = u[apart], v[apart], ru[apart], rv[apart]
+        np.minimum.at(root, np.maximum(ru, rv), np.minimum(ru, rv))
+        while (root[root] != root).any():
+            root = root[root]
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def components(edges: DataFrame, max_rounds: int = 60, chunk: int = CHUNK) -> DataFrame:
     """(node, root) of every node with an edge; root is the smallest node of its component.
 
-    Alternating large-star and small-star rounds; neighbours' minima are partial
-    aggregates joined back, so a node with many neighbours is spread over tasks.
+    Chunks of at most about `chunk` edges become forests of trees of depth one,
+    in tasks. If there was more than one chunk, alternating large-star and
+    small-star rounds join them; neighbours' minima are partial aggregates joined
+    back, so a node with many neighbours is spread over tasks.
     """
-    edges = S.staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    for _ in range(max_rounds):
+    edges = S.staged(edges.where("a <> b").select("a", "b"), "edges")
+    chunks = -(-edges.count() // chunk)
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(np.array(b.column(0)), np.array(b.column(1))) for b in batches]
+        if found:
+            nodes, roots = forest_of(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["a", "b"])
+
+    forests = S.staged(edges.repartition(max(1, chunks)).mapInArrow(shrink, "a long, b long"), "forests")
+    S.discard(edges)
+    edges, state = forests, None
+    for _ in range(max_rounds if chunks > 1 else 0):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = S.staged(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
@@ -383,8 +399,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         state = found
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if chunks > 1:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
 def similarity_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, log_bits: int = bloom.LOG_BITS) -> DataFrame:

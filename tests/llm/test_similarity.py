@@ -116,6 +116,22 @@ def test_a_forest_connects_what_is_similar():
             assert same(got) == same(expected or list(range(30)))
 
 
+def test_components_of_chunks_of_edges(spark):
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 60)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(150)] + [(7, 7)]
+    rng.shuffle(edges)
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    want = {x: find(x) for x in root}
+    for chunk in (1 << 18, 40):
+        got = {r.node: r.root for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long"), chunk=chunk).collect()}
+        assert got == {x: r for x, r in want.items()}
+
+
 def test_components_of_nothing(spark):
     assert jaccard_join.similarity_components(spark.createDataFrame([], "doc_id long, text string"), log_bits=12).count() == 0
 
