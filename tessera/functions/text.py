@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,15 +110,23 @@ def line_of(text: Column, offset: Column) -> Column:
 
 
 def contains_any(text: Column, needles: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for n in needles:
-        out = out | text.contains(n)
-    return out
+    """One alternation of literals, so that a long list stays a small expression."""
+    return text.rlike("|".join(re.escape(n) for n in needles)) if needles else F.lit(False)
 
 
 def first_of(text: Column, choices: Sequence[tuple[str, str]], default: str | None = None) -> Column:
     """The value of the first needle, in their order, that the text holds."""
-    return F.coalesce(*[F.when(text.contains(needle), F.lit(value)) for needle, value in choices], F.lit(default))
+    return _first(choices, lambda needle: F.contains(text, needle), default)
+
+
+def first_end(text: Column, choices: Sequence[tuple[str, str]], default: str | None = None) -> Column:
+    """The value of the first ending, in their order, that the text has."""
+    return _first(choices, lambda needle: F.endswith(text, needle), default)
+
+
+def _first(choices: Sequence[tuple[str, str]], test: Callable[[Column], Column], default: str | None) -> Column:
+    pairs = F.array(*[F.struct(F.lit(n).alias("needle"), F.lit(v).alias("value")) for n, v in choices])
+    return F.coalesce(F.get(F.filter(pairs, lambda p: test(p["needle"])), F.lit(0))["value"], F.lit(default))
 
 
 def short_sha(text: Column, n: int = 12) -> Column:
@@ -132,7 +141,7 @@ def without_bom(content: Column) -> Column:
 # ---------------------------------------------------------------- signals of requirement texts
 
 ENDPOINT = r"(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)[ \t]+(/[A-Za-z0-9_./{}~:-]+)"
-BARE_API = r"(?:^|[^A-Za-z0-9_/.])(/api/[A-Za-z0-9_./{}~:-]+)"
+BARE_API = r"(?<![A-Za-z])(/api/[A-Za-z0-9_./{}~:-]+)"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{2,}"
 FILE_MENTION = r"[A-Za-z0-9_./@-]+\.(?:java|kt|py|ts|tsx|js|jsx|go|rb|php|cs|rs|cpp|cc|c|hpp|h|scala|sql|xml|yml|yaml|properties)"
 
@@ -160,13 +169,17 @@ def file_mentions(text: Column) -> Column:
 
 # ---------------------------------------------------------------- statistics
 
-ASCII, CJK = r"[\x00-\x7F]", r"[\x{4E00}-\x{9FFF}]"
+#: Ideographs, their punctuation and full-width forms; and ideographs alone.
+DENSE = r"[\x{3000}-\x{303F}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{20000}-\x{2A6DF}]"
+CJK = r"[\x{4E00}-\x{9FFF}]"
+#: Characters per token, of ASCII and of everything else.
+ASCII_RATIO, DENSE_RATIOS = 4.0, {"tokens_low": 2.0, "tokens_mid": 1.5, "tokens_high": 1.2}
 
 
 def text_stats(text: Column) -> dict[str, Column]:
-    chars, ascii_, cjk = F.length(text), F.length(F.regexp_replace(text, r"[^\x00-\x7F]", "")), F.length(F.regexp_replace(text, r"[^\x{4E00}-\x{9FFF}]", ""))
+    chars, ascii_, cjk = F.length(text), F.length(F.regexp_replace(text, r"[^\x00-\x7F]", "")), F.regexp_count(text, F.lit(DENSE))
     return {
-        "n_lines": count_of(text, "\n") + 1,
+        "n_lines": count_of(text, "\n") + F.when((text != "") & ~text.endswith("\n"), 1).otherwise(0),
         "n_chars": chars,
         "n_cjk": cjk,
         "n_ascii": ascii_,
@@ -176,12 +189,20 @@ def text_stats(text: Column) -> dict[str, Column]:
 
 
 def token_range(cjk: Column, ascii_: Column, other: Column) -> dict[str, Column]:
-    """Token estimates at three ratios (tokens per character of each kind)."""
-    ratios = {"tokens_low": (0.6, 0.22, 0.4), "tokens_mid": (0.9, 0.25, 0.6), "tokens_high": (1.2, 0.3, 0.8)}
-    return {k: F.bround(cjk * a + ascii_ * b + other * c).cast("long") for k, (a, b, c) in ratios.items()}
+    """Token estimates: low, mid and high, half-even."""
+    return {k: F.bround(ascii_ / ASCII_RATIO + (cjk + other) / ratio).cast("long") for k, ratio in DENSE_RATIOS.items()}
 
 
 def ascii_atom_share(line: Column) -> Column:
-    """Share of ASCII words among the tokens of a line of prose; null if it holds no other letters."""
-    atoms, others = F.regexp_count(line, F.lit("[A-Za-z][A-Za-z0-9_]*")), F.regexp_count(line, F.lit(r"[^\x00-\x7F]"))
-    return F.when(others > 0, F.bround(atoms / (atoms + others), 4))
+    """Share of English words in a line of Chinese prose, among its ideographs and words.
+
+    Null for lines that are no such prose: headings, quotes, table rows, lines
+    without ideographs or with known words, labels and single letters only.
+    Inline code is left out.
+    """
+    bare = F.regexp_replace(line, "`[^`]*`", " ")
+    words = found(bare, "[A-Za-z][A-Za-z0-9'-]*")
+    atoms = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*R.KNOWN_WORDS) & ~w.rlike("^[A-Za-z][0-9]$|^[stST][0-9]{1,2}$"))
+    ideographs = F.regexp_count(bare, F.lit(CJK))
+    prose = ~line.rlike(r"^\s*([>#|]|$)") & (ideographs > 0) & (F.size(atoms) > 0)
+    return F.when(prose, F.size(atoms) / (ideographs + F.size(words)))

@@ -24,14 +24,25 @@ def bucket_key(window: int = 5) -> list[Column]:
 def deduped(findings: DataFrame, order: Sequence[Column | str], window: int = 5) -> DataFrame:
     """One canonical finding per key, of highest confidence (first in order on ties), with n_duplicates.
 
-    max_by over a struct is a partial aggregate: a hot key is one row per task.
+    The first row of each key is taken in every task before the shuffle (a limit
+    on row_number), and counts are partial sums, so a hot key is one row per task.
     """
-    confidence = F.coalesce("confidence", F.lit(0.0))
-    rank = F.struct((-confidence).alias("c"), *order)
+    key = ["file_key", "cwe_key", "bucket"]
     keyed = findings.select("*", *bucket_key(window))
-    own = F.struct(*[F.col(f"`{c}`") for c in findings.columns])
-    best = keyed.groupBy("file_key", "cwe_key", "bucket").agg(F.min_by(own, rank).alias("f"), (F.count(F.lit(1)) - 1).alias("n_duplicates"))
-    return best.select("f.*", "file_key", "cwe_key", "bucket", "n_duplicates")
+    ranked = Window.partitionBy(*key).orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), *order)
+    best = keyed.withColumn("_rank", F.row_number().over(ranked)).where("_rank = 1").drop("_rank")
+    counts = keyed.groupBy(*key).agg((F.count(F.lit(1)) - 1).alias("n_duplicates"))
+    return best.join(counts, key).select(*findings.columns, *key, "n_duplicates")
+
+
+def by_confidence(findings: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """The findings as a report lists them: most certain first."""
+    return findings.orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), *order)
+
+
+def would_merge(findings: DataFrame, order: Sequence[Column | str], window: int = 5) -> DataFrame:
+    """Keys that still hold several findings: rows of a deduplicated table that is not final."""
+    return findings.select(*bucket_key(window)).groupBy("file_key", "cwe_key", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def with_duplicates(findings: DataFrame, order: Sequence[Column | str], window: int = 5) -> DataFrame:
@@ -56,20 +67,24 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def site_clusters(hits: DataFrame, sample: int = 20) -> DataFrame:
+def site_clusters(hits: DataFrame, sample: int = 8) -> DataFrame:
     """Hits by site (centralised shapes) or by token (distributed ones); ids end in a SHA-1 prefix of the key.
 
     hits: category, shape, file, anchor, token, hit_id. Members are counted in
-    full; usage sites are the first `sample` files in order.
+    full; usage sites are the first `sample` files in order, cut in every task
+    before the shuffle, so a token of all files is never one row.
     """
     site = F.concat_ws("::", "category", F.coalesce("anchor", "file"), "file")
     spread = F.concat_ws("::", "category", "token")
+    key = ["category", "shape", "cluster_key"]
     keyed = hits.withColumn("cluster_key", F.when(F.col("shape") == "distributed", spread).otherwise(site))
+    files = keyed.groupBy(*key, "file").agg(F.count(F.lit(1)).alias("n"))
+    counts = files.groupBy(*key).agg(F.sum("n").alias("n_hits"), F.count(F.lit(1)).alias("n_files"), F.min("file").alias("first_file"))
+    first = files.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("file"))).where(F.col("_n") <= sample)
+    sites = first.groupBy(*key).agg(F.array_sort(F.collect_list("file")).alias("usage_sites"))
     return (
-        keyed.groupBy("category", "shape", "cluster_key")
-        .agg(F.count(F.lit(1)).alias("n_hits"), F.array_sort(F.collect_set("file")).alias("files"))
+        counts.join(sites, key)
         .withColumn("cluster_id", F.concat_ws("::", "category", T.short_sha(F.col("cluster_key"), 8)))
-        .withColumn("usage_sites", F.slice("files", 1, sample))
         .withColumn("kind", R.mapped(R.CATEGORY_KINDS, F.col("category")))
     )
 

@@ -11,6 +11,10 @@ from ..functions import registry as R
 from ..functions import text as T
 
 
+#: Fixed value: the confidence below which a finding is dropped.
+LEAST_CONFIDENCE = 0.40
+
+
 def present(value: Column) -> Column:
     return F.coalesce(F.length(F.trim(value.cast("string"))) > 0, F.lit(False))
 
@@ -19,7 +23,7 @@ def is_noise(path: Column) -> Column:
     return F.lower(T.posix(path)).rlike("(^|/)(" + "|".join(d.replace(".", "[.]") for d in R.NOISE_DIRS) + ")(/|$)")
 
 
-def gate_reason(least_confidence: float = 0.5) -> Column:
+def gate_reason(least_confidence: float = LEAST_CONFIDENCE) -> Column:
     """Why a finding is dropped, as one CASE so that the first failing gate names it; null if it is kept."""
     source, sink = F.trim(F.coalesce("source_ref", F.lit(""))), F.trim(F.coalesce("sink_ref", F.lit("")))
     confidence = F.coalesce(F.expr("try_cast(confidence AS double)"), F.lit(0.0))
@@ -31,7 +35,7 @@ def gate_reason(least_confidence: float = 0.5) -> Column:
     )
 
 
-def gated(findings: DataFrame, least_confidence: float = 0.5, scope: DataFrame | None = None) -> DataFrame:
+def gated(findings: DataFrame, least_confidence: float = LEAST_CONFIDENCE, scope: DataFrame | None = None) -> DataFrame:
     """findings with dropped_reason. scope: one column `file`; findings elsewhere are dropped last."""
     out = findings.withColumn("dropped_reason", gate_reason(least_confidence))
     if scope is None:
@@ -52,15 +56,34 @@ def in_scope(paths: DataFrame, path: str, globs: Sequence[str], roots: Sequence[
     return paths.where(test)
 
 
-def overlapping(controls: DataFrame, entry_points: str, files: DataFrame, file: str) -> DataFrame:
-    """controls with file_overlap: an entry point and a mentioned file contain one another.
+def mentioned(texts: DataFrame, text: str, probes: DataFrame, probe: str) -> DataFrame:
+    """The probes that some text contains, as one column `probe`.
 
-    The mentioned files of one document are few; they are gathered once and held
-    against every control inside the row.
+    Containment becomes an equi-join: texts are cut into their parts of each
+    length that a probe has (few lengths), and distinct parts meet the probes.
     """
-    mentioned = files.agg(F.collect_set(file).alias("_files"))
-    hit = F.exists(entry_points, lambda e: F.exists("_files", lambda f: F.contains(f, e) | F.contains(e, f)))
-    return controls.join(F.broadcast(mentioned)).withColumn("file_overlap", F.coalesce(hit, F.lit(False))).drop("_files")
+    own = probes.select(F.col(probe).alias("probe")).where(F.length(probe) > 0).distinct()
+    lengths = sorted(r[0] for r in own.select(F.length("probe")).distinct().collect())
+    if not lengths:
+        return own
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substr(F.col(text), i, F.lit(n)))
+    parts = texts.select(F.explode(F.array_distinct(F.concat(*[cut(n) for n in lengths]))).alias("probe")).distinct()
+    return own.join(parts, "probe", "left_semi")
+
+
+def overlapping(controls: DataFrame, key: str, entry_points: str, files: DataFrame, file: str) -> DataFrame:
+    """controls with file_overlap: an entry point and a mentioned file contain one another."""
+    points = controls.select(key, F.explode(entry_points).alias("_point")).where("_point <> ''").distinct()
+    named = files.select(F.col(file).alias("_file")).where("_file <> ''").distinct()
+    inside = mentioned(named, "_file", points, "_point").withColumnRenamed("probe", "_point")
+    # the other way round: files that stand in an entry point, met by the parts of the entry points
+    lengths = sorted(r[0] for r in named.select(F.length("_file")).distinct().collect())
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_point") - n + 1)), lambda i: F.substr(F.col("_point"), i, F.lit(n)))
+    hit = points.join(inside, "_point", "left_semi").select(key)
+    if lengths:
+        parts = points.select(key, F.explode(F.array_distinct(F.concat(*[cut(n) for n in lengths]))).alias("_file"))
+        hit = hit.unionByName(parts.join(named, "_file", "left_semi").select(key))
+    return controls.join(hit.distinct().withColumn("_hit", F.lit(True)), key, "left").withColumn("file_overlap", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def violations(df: DataFrame, key: Sequence[str], rules: Mapping[str, Column]) -> DataFrame:

@@ -7,56 +7,56 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import registry as R
 from ..functions import text as T
 
-# The signals of a test's layer, in order of priority.
-SLICE = ("WebMvcTest", "WebFluxTest")
-REPOSITORY = ("DataJpaTest", "JdbcTest", "MybatisTest", "DataMongoTest", "RestClientTest")
-CONTAINERS = ("Testcontainers", "org.testcontainers")
-BOOT = ("SpringBootTest",)
-FULL_STACK = ("RANDOM_PORT", "DEFINED_PORT", "TestRestTemplate", "WebTestClient")
-CONFIGURATION = ("TestConfiguration", "@Configuration")
-SERVICE_MOCK = ("MockitoExtension", "MockitoJUnitRunner", "@InjectMocks")
+#: Families of a layer: the first needle that the text holds names it, "none" if none does.
+FAMILIES = {
+    "controller": ("WebMvcTest", "WebFluxTest", "SpringBootTest"),
+    "service": ("MockitoExtension", "SpringBootTest"),
+    "repository": ("DataJpaTest", "JdbcTest", "MybatisTest", "DataMongoTest"),
+    "integration": ("Testcontainers", "SpringBootTest"),
+    "config": ("TestConfiguration", "Configuration"),
+}
 
 
-def layer(text: Column, path: Column, hints: Sequence[tuple[str, str]] = (("controller", "controller"), ("repository", "repository"), ("service", "service"), ("config", "config"), ("util", "util"))) -> Column:
-    """The layer by annotation, then by directory, then by file name without its extension."""
+def layer(text: Column, path: Column) -> Column:
+    """The layer by what the text names, then by its directory, then by the end of its path."""
     has = lambda needles: T.contains_any(text, needles)
-    folder, name = F.lower(T.directory(path)), F.lower(F.regexp_replace(path, "[.][A-Za-z0-9]+$", ""))
-    out = (
-        F.when(has(SLICE), "controller")
-        .when(has(REPOSITORY), "repository")
-        .when(has(CONTAINERS), "integration")
-        .when(has(BOOT) & has(FULL_STACK), "integration")
-        .when(has(BOOT) & has(("MockMvc",)), "controller")
-        .when(has(BOOT), "service")
-        .when(has(CONFIGURATION), "config")
-        .when(has(SERVICE_MOCK), "service")
-    )
-    for needle, value in hints:
-        out = out.when(folder.contains(needle), value)
-    for needle, value in hints:
-        out = out.when(name.rlike(needle + "(test|tests|it)?$"), value)
-    return out.when(has(("assertThat", "Assertions", "mockStatic", "ParameterizedTest")), "util").otherwise("other")
+    rules = [(has(needles), F.lit(value)) for value, needles in R.LAYER_SIGNALS]
+    rules += [(has(R.BOOT_TEST), F.when(has(R.FULL_STACK), "integration").when(has(("MockMvc",)), "controller").otherwise("service"))]
+    rules += [(has(R.TEST_CONFIG), F.lit("config")), (has(R.SERVICE_MOCK), F.lit("service"))]
+    out = F.when(*rules[0])
+    for test, value in rules[1:]:
+        out = out.when(test, value)
+    hints = F.coalesce(T.first_of(T.directory(T.posix(path)), R.PACKAGE_HINTS), T.first_end(path, R.NAME_HINTS))
+    some = F.when(has((*R.STATIC_MOCK, *R.PARAMETRIZED, "assertThat", "Assertions")), "util")
+    return F.coalesce(out, hints, some, F.lit("other"))
 
 
 def family(layer_: Column, text: Column) -> Column:
-    own = {
-        "controller": [("WebMvcTest", "WebMvcTest"), ("WebFluxTest", "WebFluxTest"), ("SpringBootTest", "SpringBootTest")],
-        "service": [("MockitoExtension", "MockitoExtension"), ("SpringBootTest", "SpringBootTest")],
-        "repository": [(x, x) for x in ("DataJpaTest", "JdbcTest", "MybatisTest", "DataMongoTest")],
-        "integration": [("estcontainers", "Testcontainers"), ("SpringBootTest", "SpringBootTest")],
-        "config": [("TestConfiguration", "TestConfiguration"), ("@Configuration", "Configuration")],
-    }
-    out = F.when(layer_ == "util", T.first_of(text, [("mockStatic", "static-mock"), ("ParameterizedTest", "parametrized")], "pure"))
-    for name, choices in own.items():
-        out = out.when(layer_ == name, T.first_of(text, choices, "none"))
+    style = F.lit("pure")
+    for name, needles in reversed(R.UTIL_STYLES):
+        style = F.when(T.contains_any(text, needles), name).otherwise(style)
+    out = F.when(layer_ == "util", style)
+    for name, needles in FAMILIES.items():
+        out = out.when(layer_ == name, T.first_of(text, [(n, n) for n in needles], "none"))
     return out.otherwise("other")
 
 
+def annotation(text: Column) -> Column:
+    """The dominant test annotation of a text."""
+    return T.first_of(text, [(n, n) for n in R.ANNOTATIONS], "none")
+
+
+def is_test(text: Column) -> Column:
+    """The text uses a test framework."""
+    return T.contains_any(text, R.TEST_FRAMEWORKS)
+
+
 def density(text: Column, asserts: Sequence[str], methods: Sequence[str]) -> Column:
     """Assertions per test method, half-even to two places; 0 without methods."""
-    total = lambda needles: sum((T.count_of(text, n) for n in needles), F.lit(0))
+    total = lambda needles: F.aggregate(F.array(*[F.lit(n) for n in needles]), F.lit(0), lambda n, x: n + ((F.length(text) - F.length(F.replace(text, x, F.lit("")))) / F.length(x)).cast("int"))
     return F.when(total(methods) > 0, F.bround(total(asserts) / total(methods), 2)).otherwise(F.lit(0.0))
 
 

@@ -81,10 +81,10 @@ def requirement_blocks(lines: DataFrame, key: str) -> DataFrame:
 
 
 def outside_fences(lines: DataFrame, key: str) -> DataFrame:
-    """Lines with in_fence: between ``` marks, marks themselves excluded from prose."""
+    """Lines with in_fence: between ``` or ~~~ marks, indented or not; the marks themselves are left out."""
     so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("line").startswith("```")
-    return lines.withColumn("in_fence", fence | (F.sum(fence.cast("int")).over(so_far) % 2 == 1))
+    fence = F.col("line").rlike(r"^\s*(```|~~~)")
+    return lines.withColumn("in_fence", F.sum(fence.cast("int")).over(so_far) % 2 == 1).where(~fence)
 
 
 def without_blocks(lines: DataFrame, key: str, begin: str, end: str) -> DataFrame:

@@ -31,9 +31,13 @@ VECTORS = """SELECT p_partkey AS id,
        || '/A:' || CASE p_partkey % 2 WHEN 0 THEN 'N' ELSE 'H' END AS cvss_vector
 FROM part"""
 EDGES = """SELECT DISTINCT 's' || CAST(l_suppkey AS STRING) AS caller, 'p' || CAST(l_partkey % 101 AS STRING) AS callee
-FROM lineitem WHERE l_quantity >= 48 AND abs(l_discount) < 0.005"""
-ALL_EDGES = """SELECT DISTINCT 's' || CAST(l_suppkey AS STRING) AS caller, 'p' || CAST(l_partkey % 101 AS STRING) AS callee
 FROM lineitem"""
+ALL_EDGES = EDGES
+#: Test-like files: two signals each, a path and some assertions.
+SIGNALS = ("WebMvcTest", "SpringBootTest MockMvc", "SpringBootTest LocalServerPort", "DataJpaTest", "Testcontainers", "TestConfiguration", "InjectMocks", "mockStatic", "ParameterizedTest", "assertThat", "Clock", "WebFluxTest", "nothing")
+TESTS = """SELECT p_partkey AS id, '@' || SIGNAL || ' class P @Test void a() assertThat(x).isEqualTo(1); ' || CASE WHEN p_size % 3 = 0 THEN 'assertTrue(y);' ELSE '' END AS text,
+       'src/t/' || CASE p_size % 5 WHEN 0 THEN 'service' WHEN 1 THEN 'dao' ELSE 'x' END || '/P' || CAST(p_partkey AS STRING) || CASE p_size % 7 WHEN 0 THEN 'UtilTest' ELSE 'Test' END AS path
+FROM part""".replace("SIGNAL", "CASE p_partkey % 13 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(SIGNALS)) + " END")
 UNITS = """SELECT o_orderkey AS unit, o_orderpriority AS tier,
        CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'failed' ELSE 'pending' END AS state FROM orders"""
 LINES = """SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no
@@ -61,7 +65,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, ALL_EDGES, "lineitem")
+    return edges(spark, sf_dir)
+
+
+def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, TESTS, "part")
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
