@@ -781,3 +781,6 @@ def incremental_scan(spark, sf):
 def _folder(spark, sf: str) -> str:
     """A pattern, since a stream's own path must be a folder and the table may be one file."""
     return f"{sf}/documents.parquet*"
+
+
+from . import structure  # noqa: E402, F401  adds its queries to QUERIES
