@@ -2,14 +2,16 @@
 
 import io
 import random
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import registry as R
 from tessera.functions import scoring
 from tessera.functions import text as X
-from tessera.operators import dedup, gates, graph, packing, spans, state
+from tessera.operators import dedup, describe, gates, graph, groups, packing, source_index, spans, state
 from tessera.sources import readers, sinks
 from tessera.streaming import incremental
 
@@ -175,3 +177,106 @@ def test_globs_and_paths(spark):
     df = spark.createDataFrame([("a/b/c.java",), ("c.java",), ("a/b.c",)], "p string")
     assert [r[0] for r in df.select(F.col("p").rlike(X.glob_regex("**/*.java"))).collect()] == [True, True, False]
     assert [r[0] for r in df.select(F.col("p").rlike(X.glob_regex("a/*.c"))).collect()] == [False, False, True]
+
+
+# ---------------------------------------------------------------- fixed values and their rules
+
+
+def test_token_estimates_are_characters_by_kind(spark):
+    row = spark.createDataFrame([("abcd" * 10 + "项目é",)], "t string").select(*[c.alias(k) for k, c in X.text_stats(F.col("t")).items()])
+    got = row.select("*", *[c.alias(k) for k, c in X.token_range(F.col("n_cjk"), F.col("n_ascii"), F.col("n_other")).items()]).first()
+    assert (got.n_cjk, got.n_ascii, got.n_other, got.n_lines) == (2, 40, 1, 1)
+    assert (got.tokens_low, got.tokens_mid, got.tokens_high) == (12, 12, 12)  # 10 + 1.5 is even-rounded, 10 + 2, 10 + 2.5 likewise
+    lines = spark.createDataFrame([("",), ("a",), ("a\n",), ("a\nb",)], "t string").select(X.text_stats(F.col("t"))["n_lines"].alias("n")).collect()
+    assert [r.n for r in lines] == [0, 1, 1, 2]
+
+
+def test_english_words_in_chinese_prose(spark):
+    lines = {"# heading 中文 word": None, "> 引用 word": None, "| 表 | word |": None, "no ideographs here": None, "只有中文": None, "用 `code word` 的中文": None, "用 JSON 和 git 与 T1 s12": None, "来源层 producer 物化": 1 / 6, "中文 foo-bar it's a": 2 / 5}
+    got = {r.t: r.v for r in spark.createDataFrame([(k,) for k in lines], "t string").select("t", X.ascii_atom_share(F.col("t")).alias("v")).collect()}
+    assert {k: None if v is None else round(v, 9) for k, v in got.items()} == {k: None if v is None else round(v, 9) for k, v in lines.items()}
+
+
+def test_fences_of_both_kinds_and_indented(spark):
+    text = "a\n```py\nb\n  ~~~\nc\n~~~\nd\n```\ne"
+    lines = spans.lines_of(spark.createDataFrame([(1, text)], "k int, text string"), "k")
+    assert {r.line: r.in_fence for r in spans.outside_fences(lines, "k").collect()} == {"a": False, "b": True, "c": False, "d": True, "e": False}
+
+
+def test_layers_and_families(spark):
+    cases = [
+        ("@WebMvcTest", "a/X.java", "controller", "WebMvcTest"), ("@JdbcTest", "a/X.java", "repository", "JdbcTest"), ("org.testcontainers.X", "a/X.java", "integration", "none"),
+        ("@SpringBootTest TestRestTemplate", "a/X.java", "integration", "SpringBootTest"), ("@SpringBootTest MockMvc", "a/X.java", "controller", "SpringBootTest"), ("@SpringBootTest", "a/X.java", "service", "SpringBootTest"),
+        ("@TestConfiguration", "a/X.java", "config", "TestConfiguration"), ("@InjectMocks", "a/X.java", "service", "none"), ("x", "my/dao/X.java", "repository", "none"), ("x", "a/OrderServiceTest", "service", "none"),
+        ("mockStatic(", "a/X.java", "util", "mock-static"), ("assertThat Clock", "a/X.java", "util", "mock-time"), ("assertThat", "a/X.java", "util", "pure"), ("x", "a/X.java", "other", "other"),
+    ]
+    files = spark.createDataFrame(cases, "text string, path string, layer string, family string")
+    layer = groups.layer(F.col("text"), F.col("path"))
+    got = files.select("text", "path", layer.alias("layer"), groups.family(layer, F.col("text")).alias("family")).collect()
+    assert [tuple(r) for r in got] == cases
+
+
+def test_signals_gates_and_defaults(spark):
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    assert one(X.endpoints(F.lit("GET /a/b then /api/x, 9/api/y, v/api/z, GET /api/x"))) == ["GET /a/b", "GET /api/x", "/api/y"]
+    assert readers.DEFAULT_MUTATORS == ("CONDITIONALS_BOUNDARY", "INCREMENTS", "INVERT_NEGS", "MATH", "NEGATE_CONDITIONALS", "RETURN_VALS", "VOID_METHOD_CALLS")
+    rows = [(0.39, "src/a.java"), (0.40, "src/a.java"), (0.9, "src/__tests__/a.java"), (0.9, "spec/a.java"), (0.9, "x/EXAMPLE/a.java")]
+    found = spark.createDataFrame([("a:1", "b:2", c, f) for c, f in rows], "source_ref string, sink_ref string, confidence double, file string")
+    assert [r.dropped_reason for r in gates.gated(found).collect()] == ["low confidence", None, "noise path", None, "noise path"]
+
+
+SOURCE_FILES = [
+    ("a/A.java", "java", "package a;\nimport x.Y;\nimport static x.Z.*;\n@Secured\npublic class A {\n  @Valid\n  public List<String> load(int a)\n      throws E {\n    save(a); mask(1);\n  }\n  void ab() { }\n}\ninterface B { }"),
+    ("b/b.py", "python", "from os import path\nimport sys\n\n\nclass Q:\n    def load(self):\n        return save(1)\n\n    def save(self): pass\n# sanitize_all"),
+    ("c/c.js", "js", "import x from './m'\nrequire('k')\nfunction save(a) { load(a) }\nclass R {}\nconst f = (a) => a"),
+    ("d/d.go", "go", 'import "fmt"\ntype T struct {}\nfunc (t T) save(a int) { Cipher() }'),
+    ("e/e.rb", "ruby", "require 'z'\nmodule M\n def load\n end\nend"),
+    ("f/f.zz", "other", "int main(void) { return save(); }"),
+]
+
+
+def test_the_source_index_equals_regular_expressions(spark):
+    files = spark.createDataFrame(SOURCE_FILES, "path string, lang string, text string")
+    nodes, defs, called, hits = set(), {}, {}, []
+    for path, lang, text in SOURCE_FILES:
+        for kind, pattern, least in (("class", R.CLASS_PATTERNS.get(lang), 1), ("method", R.DEFINITION_PATTERNS.get(lang, R.DEFINITION_PATTERNS["c"]), 3)):
+            seen = set()
+            for m in re.finditer(pattern, text) if pattern else ():
+                line = text.count("\n", 0, m.start()) + 1
+                if m[1] and len(m[1]) >= least:
+                    if kind == "method":
+                        defs.setdefault(m[1], set()).add(path)
+                    if line not in seen:
+                        nodes.add((path, kind, line, m[1]))
+                    seen.add(line)
+        called[path] = {m[1] for m in re.finditer(R.CALL_PATTERNS.get(lang, R.CALL_PATTERNS["c"]), text) if len(m[1]) > 2}
+        for category, patterns in R.CATEGORY_PATTERNS.items():
+            for p in patterns:
+                for m in re.finditer(p, text):
+                    line = text.count("\n", 0, m.start()) + 1
+                    own = lambda kind: max(((n, x) for q, k, n, x in nodes if (q, k) == (path, kind) and n <= line), default=(0, None))[1]  # noqa: E731, B023
+                    hits.append((path, category, line, m[0], own("class"), own("method"), text.split("\n")[line - 1].strip()[:160]))
+    assert {tuple(r) for r in source_index.node_index(files).collect()} == nodes
+    edges = {(c, d): n for c in called for d in {x for names in defs.values() for x in names} if c != d and (n := sum(d in defs.get(name, ()) for name in called[c]))}
+    graph = source_index.call_graph(files)
+    assert {(r.caller, r.callee): r.weight for r in graph.collect()} == edges
+    got = source_index.candidates(files, graph).collect()
+    assert sorted(((r.path, r.category, r.line, r.pattern, r["class"], r.method, r.snippet) for r in got), key=repr) == sorted(hits, key=repr) and hits
+    assert all(r.entry_points == sorted(c for c, d in edges if d == r.path)[:8] for r in got)
+    made = {r.path: r for r in source_index.skeleton(files, graph, source_index.candidates(files)).collect()}
+    assert made["a/A.java"].imports == ["x.Y", "x.Z.*"] and made["b/b.py"].imports == ["os", "sys"] and made["c/c.js"].imports == ["./m", "k"]
+    assert all(made[p].fan_in == sum(d == p for _, d in edges) for p in made)
+
+
+def test_paths_into_json(spark):
+    body = '{"a": {"b": [1, {"c": "x"}]}, "3": 4}'
+    value = describe.parsed(F.lit(body))
+    kinds = {"a": "dict", "a.b": "list", "a.b.0": "int", "a.b.1.c": "str", "a.b.2": None, "a.b.-1": None, "3": "int", "x": None, "a.b.c": None}
+    row = spark.range(1).select(*[describe.kind(describe.navigate(value, k)).alias(str(i)) for i, k in enumerate(kinds)]).first()
+    assert list(row) == list(kinds.values())
+
+
+def test_overlaps_of_entry_points_and_files(spark):
+    controls = spark.createDataFrame([(1, ["src/A.java"]), (2, ["B"]), (3, ["zz"]), (4, []), (5, None)], "id int, points array<string>")
+    files = spark.createDataFrame([("A.java",), ("x/B/c",), ("",)], "file string")
+    assert {r.id: r.file_overlap for r in gates.overlapping(controls, "id", "points", files, "file").collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
