@@ -11,8 +11,9 @@ ranges per source) + (running sum inside one range).
 
 Defined cases: a null text has size 0; a null source is a source of its own and
 last; a null doc_id is hashed like an empty id; rows that are equal in id and
-size are interchangeable; an empty table gives an empty plan. Other columns of
-the input are carried along, whatever they are called.
+text are interchangeable; an empty table gives an empty plan. The plan has a row
+per document, with row_key to tell documents of one id apart; other columns of the input
+stay with the documents, and materialise() returns them, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import staged
+from .support import row_key, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = 3  # 1, 2, 3, repeating
@@ -60,7 +61,7 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, *, seed: str = SEED, max_epochs: int = MAX_EPOCHS, range_digits: int = RANGE_DIGITS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
+    """One row per document: doc_id, row_key, source, size, source_size, target, taken.
 
     `taken` counts the words the mix takes of the document, repeats counted: as
     many whole epochs as fit into the budget, then the rest of the budget along
@@ -72,6 +73,7 @@ def mix_sources(docs: DataFrame, *, seed: str = SEED, max_epochs: int = MAX_EPOC
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
+            row_key().alias("row_key"),
         ),
         "sizes",
     )
@@ -85,23 +87,30 @@ def mix_sources(docs: DataFrame, *, seed: str = SEED, max_epochs: int = MAX_EPOC
         .join(targets.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source")))
         .select("source_key", "range", "range_start", "source_size", "target", "budget")
     )
-    inside = Window.partitionBy("source_key", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_key", "range").orderBy("key", "doc_id", "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     epochs = F.expr("coalesce(budget div nullif(source_size, 0), 0)")
     rest = F.col("budget") - epochs * F.col("source_size") - F.col("start")
     return (
         rows.join(starts, ["source_key", "range"])
         .withColumn("start", F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long").alias("taken"))
+        .select("doc_id", "row_key", "source", "size", "source_size", "target", (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long").alias("taken"))
     )
 
 
 def materialise(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The mixed texts: every document as often as the plan takes it, the last copy cut to its words."""
-    taken = plan.select("doc_id", "size", "taken").where("taken > 0").dropDuplicates(["doc_id"])
-    copies = docs.join(taken, "doc_id").withColumn("epoch", F.explode(F.expr("sequence(0L, (taken - 1) div size)")))
-    words = F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size"))
+    """The mixed documents with all their columns: each as often as the plan takes it, the last copy cut to its words.
+
+    Rows of equal id and text are told apart by a number; which of them gets
+    which of their shares is open, since their texts are the same.
+    """
+    same = Window.partitionBy("_row")
+    shares = plan.where("taken > 0").select(F.col("row_key").alias("_row"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    shares = shares.withColumn("_n", F.row_number().over(same.orderBy(F.desc("_taken"))))
+    numbered = docs.withColumn("_row", row_key()).withColumn("_n", F.row_number().over(same.orderBy("_row")))
+    copies = numbered.join(shares, ["_row", "_n"]).withColumn("_epoch", F.explode(F.expr("sequence(0L, (_taken - 1) div _size)")))
+    words = F.least(F.col("_size"), F.col("_taken") - F.col("_epoch") * F.col("_size"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, words.cast("int")), " ")
-    return copies.withColumn("text", F.when(words < F.col("size"), cut).otherwise(F.col("text"))).drop("size", "taken")
+    return copies.select(*[F.when(words < F.col("_size"), cut).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

@@ -61,7 +61,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source", "row_key")
 
 
 QUERIES = {

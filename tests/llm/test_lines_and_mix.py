@@ -107,11 +107,16 @@ def test_mix_reruns_agree(spark, mixed_rows):
 
 
 def test_mixed_texts_have_the_words_taken(spark, mixed_rows):
-    docs = spark.createDataFrame([r for r in mixed_rows if r[0] is not None and r[0] != 7], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(*r, i, "k") for i, r in enumerate(mixed_rows)], "doc_id long, text string, source string, size int, taken string")
     plan = mixing.mix_sources(docs)
     made = mixing.materialise(docs, plan)
-    words = made.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
-    assert words == plan.agg(F.sum("taken")).first()[0]
+    assert made.columns == docs.columns
+    per_id = lambda df, n: {r[0]: r[1] for r in df.groupBy("doc_id").agg(F.sum(n)).collect() if r[1]}
+    assert per_id(made, F.regexp_count("text", F.lit(mixing.WORD))) == per_id(plan, "taken")  # of null and repeated ids too
+    texts = {(r[0], i): r[1] for i, r in enumerate(mixed_rows)}
+    got = made.collect()
+    assert all(texts[r.doc_id, r["size"]].split()[: len(r.text.split())] == r.text.split() and r.taken == "k" for r in got)
+    assert len({(r.doc_id, r["size"]) for r in got}) == plan.where("taken > 0").count()
 
 
 def test_mix_of_nothing(spark):

@@ -163,6 +163,34 @@ def test_clean_documents_stay_and_others_go(spark):
     assert quality.keep_good(docs.where("false")).count() == 0
 
 
+def test_bands_widen_for_short_texts_and_hold_the_share_asked_for():
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(15, 4000, 5000).astype(float)
+    values = 2.2 + rng.normal(0, 1, 5000) / np.sqrt(tokens)
+    centre, spread = quality.spread_of(values, tokens, 0.99)
+    assert centre == pytest.approx(2.2, abs=0.01)
+    assert (values >= centre - quality.MARGIN - spread / np.sqrt(tokens)).mean() == pytest.approx(0.99, abs=0.002)
+
+
+def test_fit_takes_a_bounded_sample_of_good_documents(spark):
+    rows = [(i, PROSE[: 200 + 5 * i], "en") for i in range(60)] + [(100 + i, "a | b | c | d | " * 30, "en") for i in range(9)] + [(200, PROSE, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = docs.where("doc_id < 100").select("doc_id")
+    bands = quality.fit(docs, good, rows=40)
+    assert list(bands) == ["en"] and 3.5 < bands["en"].piece_centre < 4.5
+    kept = quality.quality_rules(docs.where("doc_id < 200"), bands=quality.Bands(by_language=bands))
+    stay = {r.doc_id for r in kept.where("kept").collect()}
+    assert stay <= set(range(60)) and len(stay) >= 57
+
+
+def test_ties_repeated_rows_and_short_texts_are_judged_one_by_one(spark):
+    short = " ".join(PROSE.split()[:12])
+    bars = " | ".join("thou erin that ndes sh er on" .split() * 4)
+    docs = spark.createDataFrame([(1, short, "en"), (1, short, "en"), (1, bars, "en"), (None, short, "en"), (2, short + " \U0001f600", "en"), (3, PROSE, "xx")], "doc_id long, text string, lang string")
+    got = sorted(((r.doc_id or 0, r.n_words, r.kept) for r in quality.quality_rules(docs).collect()))
+    assert got == sorted([(1, 12, True), (1, 12, True), (1, 55, False), (0, 12, True), (2, 13, True), (3, len(PROSE.split()), True)])
+
+
 # ---------------------------------------------------------------- secrets
 
 RANDOM = "q7Zk2LxV9mT4cWb8RnY1sGf6HjPd3KtA5uQeXo0C"
