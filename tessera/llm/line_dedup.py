@@ -92,12 +92,10 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_docs:
     S.small_batches(docs.sparkSession)
     found = S.staged(suspects(docs, least_chars=least_chars, log_bits=log_bits).distinct(), "line-suspects")
     bad = repeated_lines(found, least_docs)
-    drops = (
-        found.join(bad.select("key", "keeper"), "key")
-        .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("_line_doc"))
-        .agg(F.collect_list("key").alias("_line_drops"))
-    )
+    # written before it is grouped by document, so that the join's part of a hot line can be split
+    lost = S.staged(found.join(bad.select("key", "keeper"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "key"), "line-drops")
+    S.discard(found)
+    drops = lost.groupBy(F.col("doc_id").alias("_line_doc")).agg(F.collect_list("key").alias("_line_drops"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.filter(lines, lambda x: (F.length(line_key(x)) < least_chars) | ~F.array_contains(F.col("_line_drops"), F.unhex(F.md5(line_key(x).cast("binary")))))
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_line_doc"]), "left").withColumn("_line_kept", F.when(F.col("_line_drops").isNotNull(), kept))
