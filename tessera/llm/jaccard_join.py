@@ -45,7 +45,7 @@ TYPICAL = np.array([0.0, 4, 32, 256, 4096])
 MAX_MATCHES = 8
 VERIFY_COST = 16.0
 CHUNK = 1 << 18  # edges that a task joins at once
-BLOCK = 1 << 17  # set members (hashes) of a group, 1 MiB
+BLOCK = 1 << 15  # set members (hashes) of a group, 256 KiB
 _FLUSH = 1 << 20
 
 
@@ -316,7 +316,7 @@ def links(found: DataFrame, *, percent: int = PERCENT, block: int = BLOCK) -> Da
     edges = first.where("hub IS NULL").select("a", "b")
     if first.where("hub IS NOT NULL").isEmpty():
         return edges
-    return edges.unionByName(_links_of_the_rest(first.where("hub IS NOT NULL").select("hub", F.col("a").alias("node"), "n", "distance"), edges, found, percent, block * 4))
+    return edges.unionByName(_links_of_the_rest(first.where("hub IS NOT NULL").select("hub", F.col("a").alias("node"), "n", "distance"), edges, found, percent, block * 16))
 
 
 def _links_of_the_rest(placed: DataFrame, edges: DataFrame, found: DataFrame, percent: int, block: int) -> DataFrame:
