@@ -698,10 +698,19 @@ def sarif_rules(spark, sf):
     return report.sarif_rules(V.findings(spark, sf).withColumn("o", F.lpad(F.col("ord1").cast("string"), 12, "0")), "o")
 
 
-@query()
+_RULE = "coalesce(nullif(trim(upper(cwe)), ''), 'CWE-unknown')"
+_LEVEL = "CASE WHEN confidence >= 7 THEN 'error' WHEN confidence >= 4 THEN 'warning' ELSE 'note' END"
+
+
+@query(
+    f"""SELECT id, {_RULE} AS rule_id, {_LEVEL} AS level, '{{"ruleId":"' || {_RULE} || '","level":"' || {_LEVEL} || '","message":{{"text":"' || title || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || file || '"}},"region":{{"startLine":' || line_start || '}}}}}}],"partialFingerprints":{{"primary":"' || sha1({_RULE} || '|' || file || '|' || line_start) || '"}}' AS head
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(file), trim(upper(cwe)), CASE WHEN line_start > 0 THEN line_start // 5 ELSE 0 END ORDER BY confidence DESC, ord1, ord2, ord3, ord4, ord5) AS rn FROM ({V.FINDINGS}) WHERE ({_REASON}) IS NULL) WHERE rn = 1)"""
+)
 def sarif_results(spark, sf):
     kept = dedup.deduped(gates.gated(V.findings(spark, sf)).where("dropped_reason IS NULL").drop("dropped_reason"), ORDER)
-    return report.sarif_results(kept.withColumn("severity", scoring.severity(F.col("confidence"))))
+    found = report.sarif_results(kept.withColumn("severity", scoring.severity(F.col("confidence"))))
+    # the properties that follow hold a double, which the engines print differently
+    return found.select("id", "rule_id", "level", F.regexp_extract("result", '^(.*),"properties"', 1).alias("head"))
 
 
 @query(
@@ -725,7 +734,7 @@ def dup_keys(spark, sf):
 @query("SELECT event_id, json_extract_string(props, '$.' || (json_keys(props))[1]) AS first_value, json_type(props) AS kind, len(json_keys(props)) AS n_keys FROM events")
 def json_navigate(spark, sf):
     events = V.read(spark, sf, "events").select("event_id", "props", F.json_object_keys("props").alias("ks"))
-    return events.select("event_id", F.element_at(F.from_json("props", "map<string,string>"), F.get("ks", F.lit(0))).alias("first_value"), F.lit("OBJECT").alias("kind"), F.size("ks").alias("n_keys"))
+    return events.select("event_id", F.element_at(F.from_json("props", "map<string,string>"), F.get("ks", F.lit(0))).alias("first_value"), F.regexp_extract(F.schema_of_variant(F.try_parse_json("props")), "^([A-Z]+)", 1).alias("kind"), F.size("ks").alias("n_keys"))
 
 
 _GAPS = f"SELECT CASE trim(upper(cwe)) WHEN 'CWE-79' THEN 'injection' WHEN 'CWE-89' THEN 'injection' WHEN 'CWE-22' THEN 'integrity' WHEN 'CWE-862' THEN 'horizontal-authz' ELSE '' END AS dimension, file AS control, confidence >= 0.5 AS confirmed FROM ({V.FINDINGS})"
@@ -783,4 +792,4 @@ def _folder(spark, sf: str) -> str:
     return f"{sf}/documents.parquet*"
 
 
-from . import structure  # noqa: E402, F401  adds its queries to QUERIES
+from . import checks, structure  # noqa: E402, F401  add their queries to QUERIES
