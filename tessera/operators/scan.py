@@ -18,21 +18,22 @@ def any_of(patterns: Sequence[str]) -> str:
 def pattern_hits(docs: DataFrame, key: str, text: str = "text", rows: Sequence[tuple] | None = None) -> DataFrame:
     """(key, category, cat_ord, pat_ord, shape, confidence, pos, token) of every match of every pattern.
 
-    Patterns are literals, so each is compiled once per task; one alternation of
-    all of them decides first whether a text is looked at, and the matches of all
+    Patterns are literals, so each is compiled once per task; a pattern with a
+    literal part looks only at texts that contain it, and the matches of all
     patterns leave the row together: one pass, no join, no shuffle.
     """
     rows = R.pattern_rows() if rows is None else rows
     own = [_tagged(F.col(text), category, i, j, pattern, shape, confidence) for category, i, j, pattern, shape, confidence in rows]
-    seen = docs.where(F.col(text).rlike(any_of([r[3] for r in rows])))
-    return seen.select(key, F.explode(F.concat(*own)).alias("h")).select(key, "h.*")
+    return docs.select(key, F.explode(F.concat(*own)).alias("h")).select(key, "h.*")
 
 
 def _tagged(text: Column, category: str, cat_ord: int, pat_ord: int, pattern: str, shape: str, confidence: float) -> Column:
     def one(token: Column, pos: Column) -> Column:
         return F.struct(F.lit(category).alias("category"), F.lit(cat_ord).alias("cat_ord"), F.lit(pat_ord).alias("pat_ord"), F.lit(shape).alias("shape"), F.lit(confidence).alias("confidence"), pos.alias("pos"), token.alias("token"))
 
-    return F.transform(T.found(text, pattern), one)
+    literal, form = R.PATTERN_GATES.get(pattern, ("", pattern))
+    found = T.found(text, form)
+    return F.transform(F.when(text.contains(literal), found).otherwise(F.array().cast("array<string>")) if literal else found, one)
 
 
 def line_terms(lines: DataFrame, key: str, terms: Sequence[str]) -> DataFrame:
