@@ -90,7 +90,7 @@ def site_clusters(hits: DataFrame, sample: int = 8) -> DataFrame:
 
 
 def suffixed_ids(df: DataFrame, base: str, order: Sequence[Column | str], name: str = "unit_id") -> DataFrame:
-    """base, base-2, base-3 ... in order. Ids repeat a few times; a hot base is spread over numbered ranges by the caller."""
+    """base, base-2, base-3 ... in order: one window per base, whose rows are sorted in one task."""
     n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
     return df.withColumn("_n", n).withColumn(name, F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat_ws("-", base, F.col("_n").cast("string")))).drop("_n")
 

@@ -35,7 +35,7 @@ def enclosing(points: DataFrame, heads: DataFrame, key: str, at: str = "line_no"
     return both.where("_kind = 1").select("_row.*", f"enclosing_{name}", "enclosing_line")
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, at: str, value: str, bucket: Column | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """As enclosing(), for any ordered column; returns left's columns and the last value."""
     return enclosing(left, right.select(key, at, F.col(value).alias("value")), key, at, "value").drop("enclosing_line")
 

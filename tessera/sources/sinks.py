@@ -14,8 +14,13 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_units(df: DataFrame, unit: str, path: str) -> None:
-    """Each unit's rows as JSON in a folder of its own; units are clustered before the write."""
-    safe = X.file_name(F.col(unit))
+    """Each unit's rows as JSON in a folder of its own; units are clustered before the write.
+
+    A folder has the unit's name; where that cannot name a folder, a hash of it
+    is added, so that units such as a/b, a:b and a_b keep apart.
+    """
+    name = X.file_name(F.col(unit))
+    safe = F.when(name == F.col(unit), name).otherwise(F.concat_ws("-", name, X.short_sha(F.col(unit), 8)))
     df.withColumn("unit_dir", safe).repartition("unit_dir").write.mode("overwrite").partitionBy("unit_dir").json(path)
 
 
