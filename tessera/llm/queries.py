@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, line_dedup, lm_scoring, mixing, quality, secret_scan, substring_dedup, warc
+from . import decontaminate, html_extract, jaccard_join, line_dedup, lm_scoring, merkle, mixing, quality, secret_scan, substring_dedup, warc
 from .support import scratch_path, staged
 
 
@@ -64,6 +64,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source", "row_key")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest_of(table(spark, sf_dir, "documents"))
+    proof = F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256")
+    return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_line_dedup": op2_line_dedup,
@@ -75,5 +81,6 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE, "op10_source_mixing": mixing.ORACLE}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE, "op10_source_mixing": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
