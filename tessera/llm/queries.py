@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, line_dedup, lm_scoring, merkle, mixing, quality, secret_scan, substring_dedup, warc
+from . import byte_bpe, decontaminate, html_extract, jaccard_join, line_dedup, lm_scoring, merkle, mixing, quality, secret_scan, substring_dedup, warc
 from .support import scratch_path, staged
 
 
@@ -70,6 +70,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_line_dedup": op2_line_dedup,
@@ -82,5 +88,6 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE, "op10_source_mixing": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
