@@ -8,7 +8,8 @@
    one table look-up, and composing is associative: blocks of symbols are scanned
    side by side, then the blocks' totals, then every state follows at once.
 2. The pieces' bytes are hashed to 64 bits; distinct pieces that the worker has not
-   met yet are merged pair by pair, lowest rank first, leftmost of equals, and kept.
+   met yet are merged pair by pair, lowest rank first, leftmost of equals, and kept;
+   a round joins one pair in each of them at once.
 3. Tokens carry the byte offset at which they start in their text; decoding writes
    the tokens' bytes to these places.
 
@@ -25,6 +26,7 @@ of the input's columns those in `carry` are returned.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import cache
@@ -37,7 +39,7 @@ from . import support as S
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
-CACHE_PIECES, CACHE_IDS = 200_000, 1 << 24
+CACHE_PIECES, CACHE_IDS = 600_000, 1 << 24
 BLOCK = 64
 LAST_CODE_POINT = 0x10FFFF
 
@@ -221,14 +223,112 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if not gone[i]]
 
 
+class Vocabulary:
+    """Ranks, and for pairs of ids the id of their joined bytes, in an open hash table."""
+
+    NONE = np.int64(1) << 40  # above every id
+
+    def __init__(self, data: bytes):
+        self.ranks = read_ranks(data)
+        self.size = np.full(max(self.ranks.values()) + 1, -1, np.int64)
+        self.of_byte = np.full(256, -1, np.int64)
+        pairs = []
+        for token, i in self.ranks.items():
+            self.size[i] = len(token)
+            if len(token) == 1:
+                self.of_byte[token[0]] = i
+            pairs += [(a << 32 | b, i) for k in range(1, len(token)) if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None]
+        own = np.array(pairs, np.int64).reshape(-1, 2)
+        self.bits = max(4, len(own).bit_length() + 2)
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.NONE)
+        slot = self._slot(own[:, 0])
+        while len(own):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            self.keys[slot[free]] = own[free, 0]  # of several for one slot the last stays
+            placed = self.keys[slot] == own[:, 0]
+            self.values[slot[placed]] = own[placed, 1]
+            own, slot = own[~placed], slot[~placed] + 1 & (1 << self.bits) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Id of each pair's joined bytes, NONE if they are no token."""
+        keys = left << 32 | right
+        out, slot, open_ = np.full(len(keys), self.NONE), self._slot(keys), np.arange(len(keys))
+        while len(open_):
+            held = self.keys[slot]
+            out[open_] = np.where(held == keys, self.values[slot], out[open_])
+            more = np.flatnonzero((held >= 0) & (held != keys))
+            open_, keys, slot = open_[more], keys[more], slot[more] + 1 & (1 << self.bits) - 1
+        return out
+
+
+@cache
+def vocabulary(data: bytes) -> Vocabulary:
+    """Kept by the worker for all its tasks."""
+    return Vocabulary(data)
+
+
+#: Pieces of more bytes are merged one by one with a heap.
+LONG_PIECE = 48
+
+
+def merge_all(pieces: list[bytes], known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces one after another, and how many each has; a round joins one pair in every piece that has one."""
+    whole = np.fromiter((known.ranks.get(piece, -1) for piece in pieces), np.int64, len(pieces))
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    counts = (whole >= 0).astype(np.int64)
+    parts = [(np.flatnonzero(whole >= 0), whole[whole >= 0])]  # pieces and their ids
+    for i in np.flatnonzero((whole < 0) & (lengths > LONG_PIECE)).tolist():
+        parts.append((np.array([i]), np.array(merge(pieces[i], known.ranks), np.int64)))
+        counts[i] = len(parts[-1][1])
+    own = np.flatnonzero((whole < 0) & (lengths <= LONG_PIECE))
+    sizes = lengths[own]
+    ids = known.of_byte[np.frombuffer(b"".join([pieces[i] for i in own.tolist()]), np.uint8)]
+    rank = np.full(len(ids), known.NONE)
+    last = np.zeros(len(ids), bool)
+    last[np.cumsum(sizes) - 1] = True
+    inner = np.flatnonzero(~last)
+    rank[inner] = known.joined(ids[inner], ids[inner + 1])
+    while len(own):
+        starts = np.cumsum(sizes) - sizes
+        # the lowest rank of each piece, then its leftmost place
+        best = np.minimum.reduceat(rank << 22 | np.arange(len(rank)) - np.repeat(starts, sizes), starts)
+        done = best >= known.NONE << 22
+        if done.any():
+            rows = np.repeat(done, sizes)
+            counts[own[done]] = sizes[done]
+            parts.append((own[done], ids[rows]))
+            own, sizes, best, ids, rank = own[~done], sizes[~done], best[~done], ids[~rows], rank[~rows]
+            if not len(own):
+                break
+            starts = np.cumsum(sizes) - sizes
+        at = starts + (best & (1 << 22) - 1)
+        ids[at] = best >> 22
+        kept = np.ones(len(ids), bool)
+        kept[at + 1] = False
+        ids, rank = ids[kept], rank[kept]
+        sizes = sizes - 1
+        starts = np.cumsum(sizes) - sizes
+        at = at - np.arange(len(at))  # one part less for each piece before
+        inner = at + 1 < starts + sizes
+        rank[at] = known.NONE
+        rank[at[inner]] = known.joined(ids[at[inner]], ids[at[inner] + 1])
+        left = at[at > starts] - 1
+        rank[left] = known.joined(ids[left], ids[left + 1])
+    first = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), np.int64)
+    for which, found in parts:
+        out[S.ranges(first[which], counts[which])] = found
+    return out, counts
+
+
 class Encoder:
     """Ids of distinct pieces, kept up to CACHE_PIECES pieces and CACHE_IDS ids."""
 
-    def __init__(self, ranks: dict[bytes, int], classes: np.ndarray):
-        self.ranks, self.classes = ranks, classes
-        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
-            self.size[i] = len(token)
+    def __init__(self, known: Vocabulary, classes: np.ndarray):
+        self.vocabulary, self.classes = known, classes
         self._clear(CACHE_PIECES)
 
     def _clear(self, room: int) -> None:
@@ -242,14 +342,17 @@ class Encoder:
             self._clear(max(CACHE_PIECES, len(hashes)))
         keys, known = hashes.tolist(), self.known
         places = np.fromiter((known.get(k, -1) for k in keys), np.int64, len(keys))
-        for i in np.flatnonzero(places < 0).tolist():
-            ids = merge(piece_at(i), self.ranks)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            ids, counts = merge_all([piece_at(i) for i in new.tolist()], self.vocabulary)
             if self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used + len(ids), np.int32)])
             self.flat[self.used : self.used + len(ids)] = ids
-            places[i] = known[keys[i]] = k = len(known)
-            self.start[k], self.length[k] = self.used, len(ids)
+            first = len(known)
+            self.start[first : first + len(new)], self.length[first : first + len(new)] = self.used + np.cumsum(counts) - counts, counts
             self.used += len(ids)
+            places[new] = np.arange(first, first + len(new))
+            known.update(zip(hashes[new].tolist(), range(first, first + len(new)), strict=True))
         return places
 
     def encode(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,7 +366,8 @@ class Encoder:
         ids = self.flat[S.ranges(self.start[places], counts)]
         bounds = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, at)]
         # tokens fill the rows like pieces do, so they start where their sizes add up to
-        places_in_all = np.cumsum(self.size[ids]) - self.size[ids]
+        sizes = self.vocabulary.size[ids]
+        places_in_all = np.cumsum(sizes) - sizes
         return ids, places_in_all - np.repeat(at[:-1], np.diff(bounds)), bounds
 
 
@@ -276,31 +380,66 @@ def _rank_file(tokenizers: str, name: str) -> bytes:
         return f.read()
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, n_carried: int) -> Iterator[pa.RecordBatch]:
+    for part, buf, at in S.slices(batches, "_text"):
+        ids, offsets, bounds = encoder.encode(buf, at)
+        yield pa.RecordBatch.from_arrays([*part.columns[:n_carried], _lists(ids, bounds), _lists(offsets, bounds)], names=[*part.schema.names[:n_carried], "ids", "offsets"])
+
+
+def _inputs(docs: DataFrame, tokenizers: str, ranks: str, carry: tuple[str, ...]):
+    """The carried columns and the text, their DDL, and what tasks need: a file and a table of fixed size."""
+    S.small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((_rank_file(tokenizers, ranks), code_point_classes()))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields]
+    return docs.select(*carry, docs["text"].alias("_text")), kept, shared
+
+
 def encode(docs: DataFrame, *, tokenizers: str = TOKENIZERS, ranks: str = BYTE_RANKS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `carry`, ids array<int>, offsets array<int> (bytes of the text before each token)."""
-    spark = docs.sparkSession
-    S.small_batches(spark)
-    shared = spark.sparkContext.broadcast((_rank_file(tokenizers, ranks), code_point_classes()))  # a file and a table of fixed size
+    source, kept, shared = _inputs(docs, tokenizers, ranks, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, classes = shared.value
-        encoder = Encoder(read_ranks(data), classes)
-        for part, buf, at in S.slices(batches, "_text"):
-            ids, offsets, bounds = encoder.encode(buf, at)
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], _lists(ids, bounds), _lists(offsets, bounds)], names=[*carry, "ids", "offsets"])
+        yield from _encoded(batches, Encoder(vocabulary(data), classes), len(carry))
+
+    return source.mapInArrow(run, ", ".join([*kept, "ids array<int>", "offsets array<int>"]))
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields]
-    return docs.select(*carry, docs["text"].alias("_text")).mapInArrow(run, ", ".join([*kept, "ids array<int>", "offsets array<int>"]))
 
+class Spelling:
+    """Texts by id, one after another."""
 
-def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens' bytes one after another, and where each id's start and how many they are (-1: no such id)."""
-    size = np.full(max(ranks.values()) + 1, -1, np.int64)
-    for token, i in ranks.items():
-        size[i] = len(token)
-    held = np.maximum(size, 0)
-    flat = b"".join(token for _, token in sorted((i, token) for token, i in ranks.items()))
-    return np.frombuffer(flat, np.uint8), np.cumsum(held) - held, size
+    def __init__(self, texts: dict[int, bytes], n: int):
+        self.size = np.full(n, -1, np.int64)
+        for i, text in texts.items():
+            self.size[i] = len(text)
+        held = np.maximum(self.size, 0)
+        self.start, self.flat = np.cumsum(held) - held, np.frombuffer(b"".join(texts[i] for i in sorted(texts)), np.uint8)
+
+    def write(self, ids: np.ndarray, out: np.ndarray, places: np.ndarray) -> None:
+        """The texts of the ids into `out`, each from its place on."""
+        sizes = self.size[ids]
+        out[S.ranges(places, sizes)] = self.flat[S.ranges(self.start[ids], sizes)]
+
+
+@cache
+def spellings(data: bytes) -> tuple[Spelling, Spelling]:
+    """Of each id the token's bytes, and a comma with its decimal number."""
+    known = vocabulary(data)
+    n = len(known.size)
+    return Spelling({i: t for t, i in known.ranks.items()}, n), Spelling({i: b",%d" % i for i in range(n)}, n)
+
+
+def _decoded(ids: np.ndarray, offsets: np.ndarray, counts: np.ndarray, tokens: Spelling) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of rows of `counts` tokens, each token at its offset, and the rows' bounds."""
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens.size) or (tokens.size[ids] < 0).any()):
+        raise ValueError("an id is not in the vocabulary")
+    ends, full = np.cumsum(counts) - 1, counts > 0
+    n_bytes = np.zeros(len(counts), np.int64)
+    n_bytes[full] = offsets[ends[full]] + tokens.size[ids[ends[full]]]
+    bounds = np.concatenate([[0], np.cumsum(n_bytes)])
+    out = np.zeros(bounds[-1], np.uint8)
+    tokens.write(ids, out, np.repeat(bounds[:-1], counts) + offsets)
+    return out, bounds
 
 
 def decode(encoded: DataFrame, *, tokenizers: str = TOKENIZERS, ranks: str = BYTE_RANKS) -> DataFrame:
@@ -311,22 +450,44 @@ def decode(encoded: DataFrame, *, tokenizers: str = TOKENIZERS, ranks: str = BYT
     ids_at, offsets_at = names.index("ids"), names.index("offsets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, start, size = token_bytes(read_ranks(shared.value))
+        tokens, _ = spellings(shared.value)
         for batch in batches:
             ids, counts = S.int_lists(batch.column(ids_at))
-            offsets, _ = S.int_lists(batch.column(offsets_at))
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or (size[ids] < 0).any()):
-                raise ValueError("an id is not in the vocabulary")
-            ends, lengths = np.cumsum(counts), size[ids]
-            full = counts > 0
-            n_bytes = np.zeros(len(counts), np.int64)
-            n_bytes[full] = offsets[ends[full] - 1] + lengths[ends[full] - 1]
-            bounds = np.concatenate([[0], np.cumsum(n_bytes)])
-            out = np.zeros(bounds[-1], np.uint8)
-            out[S.ranges(np.repeat(bounds[:-1], counts) + offsets, lengths)] = flat[S.ranges(start[ids], lengths)]
+            out, bounds = _decoded(ids, S.int_lists(batch.column(offsets_at))[0], counts, tokens)
             column = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(out)])
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*names, "decoded"])
         S.trim()
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields]
     return encoded.mapInArrow(run, ", ".join([*kept, "decoded binary"]))
+
+
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    view = memoryview(data)
+    return pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.string())
+
+
+def round_trip(docs: DataFrame, *, tokenizers: str = TOKENIZERS, ranks: str = BYTE_RANKS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in `carry`, n_tokens, ids_sha256 and decoded_sha256 of texts that are encoded and decoded again in one pass.
+
+    What encode() returns and decode() makes of it, without carrying the ids through the JVM.
+    """
+    source, kept, shared = _inputs(docs, tokenizers, ranks, carry)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, classes = shared.value
+        tokens, numbers = spellings(data)
+        for part in _encoded(batches, Encoder(vocabulary(data), classes), len(carry)):
+            (ids, counts), (offsets, _) = S.int_lists(part.column(len(carry))), S.int_lists(part.column(len(carry) + 1))
+            out, ends = _decoded(ids, offsets, counts, tokens)
+            decoded = _digests(out, ends[:-1], ends[1:])
+            sizes = numbers.size[ids]
+            places = np.cumsum(sizes) - sizes
+            listed = np.zeros(int(sizes.sum()), np.uint8)
+            numbers.write(ids, listed, places)
+            bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+            # no comma before a row's first number
+            written = _digests(listed, np.minimum(bounds[:-1] + 1, bounds[1:]), bounds[1:])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], pa.array(counts), written, decoded], names=[*carry, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return source.mapInArrow(run, ", ".join([*kept, "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]))

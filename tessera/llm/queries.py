@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_extract, jaccard_join, line_dedup, lm_scoring, merkle, mixing, quality, secret_scan, substring_dedup, warc
+from . import byte_bpe, collocations, decontaminate, html_extract, jaccard_join, line_dedup, lm_scoring, merkle, mixing, quality, secret_scan, substring_dedup, warc
 from .support import scratch_path, staged
 
 
@@ -71,9 +71,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
-    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
@@ -89,5 +91,13 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_collocations": op13_collocations,
+}
+ORACLES = {
+    "op2_line_dedup": line_dedup.ORACLE,
+    "op6_benchmark_decontamination": decontaminate.ORACLE,
+    "op8_warc": warc.ORACLE,
+    "op10_source_mixing": mixing.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op6_benchmark_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE, "op10_source_mixing": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE}

@@ -24,7 +24,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def encoder():
-    return byte_bpe.Encoder(byte_bpe.read_ranks(byte_bpe._rank_file(byte_bpe.TOKENIZERS, byte_bpe.BYTE_RANKS)), byte_bpe.code_point_classes())
+    return byte_bpe.Encoder(byte_bpe.vocabulary(byte_bpe._rank_file(byte_bpe.TOKENIZERS, byte_bpe.BYTE_RANKS)), byte_bpe.code_point_classes())
 
 
 def texts():
