@@ -116,7 +116,11 @@ def count_words(docs: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
             yield pa.RecordBatch.from_arrays([_longs(names), pa.array(langs, pa.string()).take(pa.array(words.rows[first])), spelt, _longs(counts)], names=["id", "lang", "word", "n"])
 
     counted = _source(docs).mapInArrow(run, "id long, lang string, word string, n long")
-    words = S.staged(counted.groupBy("id", "lang", "word").agg(F.sum("n").alias("f")), "words")
+    return told_apart(S.staged(counted.groupBy("id", "lang", "word").agg(F.sum("n").alias("f")), "words"))
+
+
+def told_apart(words: DataFrame) -> DataFrame:
+    """`words`, unless two of them have one id."""
     if clash := words.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first():
         raise ValueError(f"two words have the name {clash.id}")
     return words
