@@ -258,14 +258,15 @@ def test_the_source_index_equals_regular_expressions(spark):
                     line = text.count("\n", 0, m.start()) + 1
                     own = lambda kind: max(((n, x) for q, k, n, x in nodes if (q, k) == (path, kind) and n <= line), default=(0, None))[1]  # noqa: E731, B023
                     hits.append((path, category, line, m[0], own("class"), own("method"), text.split("\n")[line - 1].strip()[:160]))
-    assert {tuple(r) for r in source_index.node_index(files).collect()} == nodes
+    scanned = source_index.scan(files)
+    assert {tuple(r) for r in source_index.node_index(scanned).collect()} == nodes
     edges = {(c, d): n for c in called for d in {x for names in defs.values() for x in names} if c != d and (n := sum(d in defs.get(name, ()) for name in called[c]))}
-    graph = source_index.call_graph(files)
+    graph = source_index.call_graph(scanned)
     assert {(r.caller, r.callee): r.weight for r in graph.collect()} == edges
-    got = source_index.candidates(files, graph).collect()
+    got = source_index.candidates(scanned, graph).collect()
     assert sorted(((r.path, r.category, r.line, r.pattern, r["class"], r.method, r.snippet) for r in got), key=repr) == sorted(hits, key=repr) and hits
     assert all(r.entry_points == sorted(c for c, d in edges if d == r.path)[:8] for r in got)
-    made = {r.path: r for r in source_index.skeleton(files, graph, source_index.candidates(files)).collect()}
+    made = {r.path: r for r in source_index.skeleton(scanned, graph).collect()}
     assert made["a/A.java"].imports == ["x.Y", "x.Z.*"] and made["b/b.py"].imports == ["os", "sys"] and made["c/c.js"].imports == ["./m", "k"]
     assert all(made[p].fan_in == sum(d == p for _, d in edges) for p in made)
 
