@@ -50,7 +50,9 @@ SALT_ROWS = 200_000
 _BREAKS = [*b".,;:!?", *range(0x0A, 0x0E)]
 _IS_BREAK = ~S.byte_table(*_BREAKS)
 _IS_WORD = S.byte_table(0x20, 0x09, *_BREAKS)
-_STREAM = "chunk long, codes array<int>, left array<long>, right array<long>, n array<long>"
+#: Bits of the hash that pairs are counted by at first; beyond some 2**HASH_BITS different pairs the count rules few of them out.
+HASH_BITS = 40
+_STREAM = "chunk long, linked int, codes array<int>, left array<long>, right array<long>, n array<long>"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
@@ -91,7 +93,7 @@ class _Words:
 
 
 def _pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return S.mix64(left * np.uint64(0x9E3779B97F4A7C15) + right)
+    return S.mix64(left * np.uint64(0x9E3779B97F4A7C15) + right) >> np.uint64(64 - HASH_BITS)
 
 
 def _longs(values: np.ndarray) -> pa.Array:
@@ -156,22 +158,28 @@ def pair_hashes(docs: DataFrame, frequent, *, chunk_bytes: int = CHUNK_BYTES) ->
 
 
 def _stream_columns(places: np.ndarray, left: np.ndarray, right: np.ndarray, names: np.ndarray) -> list[pa.Array]:
-    """codes, left, right, n of a stream: the pairs (names[left], names[right]) that stand at `places`.
+    """linked, codes, left, right, n of a stream: the pairs (names[left], names[right]) that stand at `places`.
 
     `left` and `right` are codes, so that pairs are told apart exactly. A code of
-    -1 parts places that do not follow each other; lone ones are left out.
+    -1 parts places that do not follow each other; lone ones are left out. The
+    first `linked` pairs are those with a code among them.
     """
     distinct, code, counts = np.unique(left.astype(np.int64) << 32 | right, return_inverse=True, return_counts=True)
     goes_on = places[1:] == places[:-1] + 1
     near = np.append(goes_on, False) | np.append(False, goes_on) if len(places) else np.zeros(0, bool)
-    kept, at = code[near], places[near]
+    alone = np.ones(len(distinct), bool)
+    alone[code[near]] = False
+    order = np.argsort(alone, kind="stable")
+    distinct, counts, moved = distinct[order], counts[order], np.empty(len(order), np.int64)
+    moved[order] = np.arange(len(order))
+    kept, at = moved[code[near]], places[near]
     gaps = np.flatnonzero(at[1:] != at[:-1] + 1) + 1
     codes = np.insert(kept, gaps, -1)
     columns = [pa.array(codes.astype(np.int32)), _longs(names[distinct >> 32]), _longs(names[distinct & 0xFFFFFFFF]), _longs(counts)]
-    return [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+    return [pa.array([int((~alone).sum())], pa.int32()), *[pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]]
 
 
-_FIELDS = ["chunk", "codes", "left", "right", "n"]
+_FIELDS = ["chunk", "linked", "codes", "left", "right", "n"]
 
 
 def text_stream(docs: DataFrame, frequent, likely, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -199,8 +207,9 @@ def name_pairs(stream: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
 
 def next_stream(stream: DataFrame, pairs: DataFrame) -> DataFrame:
     """The places of a stream under the names of their pairs; neighbouring names are its pairs."""
-    going_on = stream.where(F.size("codes") > 0)
-    local = going_on.select("chunk", F.posexplode(F.arrays_zip("left", "right"))).select("chunk", F.col("pos").alias("code"), "col.left", "col.right")
+    going_on = stream.where("linked > 0")
+    linked = [F.slice(c, 1, F.col("linked")).alias(c) for c in ("left", "right")]
+    local = going_on.select("chunk", F.posexplode(F.arrays_zip(*linked))).select("chunk", F.col("pos").alias("code"), "col.left", "col.right")
     known = local.join(pairs.select("left", "right", "id"), ["left", "right"]).groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("m"))
     both = going_on.select("chunk", "codes").join(known.select("chunk", F.col("m.code").alias("code"), F.col("m.id").alias("id")), "chunk")
 
@@ -208,9 +217,8 @@ def next_stream(stream: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 codes, code, names = (np.array(batch.column(i)[k].values, np.int64) for i in (1, 2, 3))
-                place_of = np.full(int(codes.max()) + 1 if len(codes) else 1, -1, np.int64)
-                held = code < len(place_of)  # the other pairs stand alone everywhere in this chunk
-                place_of[code[held]] = np.flatnonzero(held)
+                place_of = np.full(int(codes.max()) + 1, -1, np.int64)
+                place_of[code] = np.arange(len(code))
                 at = np.where(codes >= 0, place_of[codes], -1)
                 i = np.flatnonzero((at[1:] >= 0) & (at[:-1] >= 0))
                 columns = _stream_columns(i, at[i], at[i + 1], names)
