@@ -441,6 +441,21 @@ def batch_summary(spark, sf):
     return packing.batch_summary(_packed(spark, sf), "size", 98304)
 
 
+_CLUSTERS = """WITH RECURSIVE u AS (SELECT doc_id, source || '/' || lang AS cluster, n_chars AS size, 40 + length(source || lang) AS head FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY doc_id) AS ordinal FROM u),
+f AS (SELECT cluster, doc_id, size, head, ordinal, 0 AS shard, head + size AS used FROM o WHERE ordinal = 1
+  UNION ALL SELECT o.cluster, o.doc_id, o.size, o.head, o.ordinal, CASE WHEN f.used + o.size > 30000 THEN f.shard + 1 ELSE f.shard END, CASE WHEN f.used + o.size > 30000 THEN o.head + o.size ELSE f.used + o.size END
+  FROM f JOIN o ON o.cluster = f.cluster AND o.ordinal = f.ordinal + 1),
+c AS (SELECT cluster, max(head) + 18 + sum(size) + 2 * (count(*) - 1) > 30000 AS sharded FROM f GROUP BY cluster)"""
+
+
+@query(f"""{_CLUSTERS} SELECT CASE WHEN sharded THEN cluster || '::shard-' || shard ELSE cluster END AS unit_id, cluster, sharded, count(*) AS n_hits, (max(head) + 18 + sum(size) + 2 * (count(*) - 1))::BIGINT AS bytes,
+max(head) + 18 + sum(size) + 2 * (count(*) - 1) > 30000 AS oversize FROM f JOIN c USING (cluster) GROUP BY 1, 2, 3""")
+def cluster_units(spark, sf):
+    docs = V.read(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("cluster"), F.col("n_chars").alias("size"), (F.length("source") + F.length("lang") + 40).alias("head"))
+    return packing.cluster_units(docs, "cluster", ["doc_id"], "size", "head", 30000)[1]
+
+
 @query("SELECT coalesce(nullif(lang, ''), '_uncategorized') AS shard, count(*) AS n_units, sum(n_chars)::BIGINT AS bytes, sum(n_chars) > 262144 AS oversize FROM documents GROUP BY 1")
 def shard_by_category(spark, sf):
     return packing.shards(V.read(spark, sf, "documents"), "lang", "n_chars", 262144)

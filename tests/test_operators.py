@@ -30,7 +30,7 @@ def next_fit(sizes, budget, count):
     return out
 
 
-@pytest.mark.parametrize("block, group", [(7, 256), (7, 3), (1000, 256)])
+@pytest.mark.parametrize("block, group", [(7, 256), (7, 3), (1000, 16)])
 def test_next_fit_equals_a_sequential_pass(spark, monkeypatch, block, group):
     monkeypatch.setattr(packing, "GROUP_BLOCKS", group)
     rng = random.Random(block)
@@ -40,6 +40,33 @@ def test_next_fit_equals_a_sequential_pass(spark, monkeypatch, block, group):
     assert [b for _, b in sorted(got)] == next_fit(sizes, 100, 5)
 
 
+@pytest.mark.parametrize("block, fan", [(60, 2), (61, 16), (10_000, 16)])
+def test_segmented_next_fit_equals_a_pass_over_each_group(spark, monkeypatch, block, fan):
+    monkeypatch.setattr(packing, "GROUP_BLOCKS", fan)
+    rng = random.Random(block)
+    rows = [("hot", 30, rng.choice([2, 9, 40, 45, 60, 101, 400])) for _ in range(700)] + [(f"c{rng.randrange(60)}", 7, rng.choice([2, 50, 93, 94, 120])) for _ in range(300)] + [(None, None, None), (None, 0, 99), (None, 0, 1), ("one", 500, 3), ("one", 500, 3)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, cluster string, head long, size long").repartition(5)
+    got = {r.id: (r.ordinal, r.shard_no, r.shard_start) for r in packing.segmented_next_fit(df, "cluster", ["id"], "size", 100, header="head", block=block).collect()}
+    want, state = {}, {}
+    for i, (cluster, head, size) in enumerate(rows):
+        head, size = head or 0, max(1, size or 0)
+        n, shard, start, used = state.get(cluster, (0, -1, 0, None))
+        if used is None or used + size > 100:
+            shard, start, used = shard + 1, n + 1, head
+        state[cluster] = (n + 1, shard, start, used + size)
+        want[i] = (n + 1, shard, start)
+    assert got == want
+
+
+def test_cluster_units_shard_only_what_does_not_fit(spark):
+    rows = [("big::X::zz", i, 3000, 200) for i in range(6)] + [("small", 1, 100, 50), ("small", 2, 100, 50), ("huge", 1, 9000, 10), ("edge", 1, 1990, 1990), ("edge", 2, 0, 1990)]
+    hits = spark.createDataFrame(rows, "cluster string, id int, size long, head long")
+    own, units = packing.cluster_units(hits, "cluster", ["id"], "size", "head", 4000)
+    got = {r.unit_id: (r.n_hits, r.bytes, r.sharded, r.oversize) for r in units.collect()}
+    assert got == {f"big::X::zz::shard-{i}": (1, 3218, True, False) for i in range(6)} | {"small": (2, 270, False, False), "huge::shard-0": (1, 9028, True, True), "edge": (2, 4000, False, False)}
+    assert sorted((r.unit_id, r.id) for r in own.where("cluster = 'small'").collect()) == [("small", 1), ("small", 2)]
+
+
 def test_cvss_known_vectors_and_gaps(spark):
     rows = [("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", 9.8), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H", 10.0), ("CVSS:3.1/AV:P/AC:H/PR:H/UI:R/S:U/C:N/I:N/A:N", 0.0), ("CVSS:3.1/AV:N/AC:L", None), ("", None), (None, None)]
     df = spark.createDataFrame(rows, "v string, expected double").withColumn("score", scoring.base_score(F.col("v")))
