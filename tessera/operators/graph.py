@@ -19,6 +19,26 @@ def call_edges(defs: DataFrame, calls: DataFrame, key: str, name: str = "name")
     return c.join(d, name).where("caller <> callee").groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def name_pairs(defs: DataFrame, calls: DataFrame, key: str, name: str = "name") -> DataFrame:
+    """(name, n_callers, n_callees, n_pairs): the call graph by name, not expanded; a file's own pair with itself does not count.
+
+    Sums by name are combined before they shuffle, so a name of every file is one row.
+    """
+    sides = calls.select(key, name, F.lit(1).alias("c"), F.lit(0).alias("d")).distinct().unionByName(defs.select(key, name, F.lit(0).alias("c"), F.lit(1).alias("d")).distinct())
+    files = sides.groupBy(key, name).agg(F.max("c").alias("c"), F.max("d").alias("d"))
+    sums = files.groupBy(name).agg(F.sum("c").alias("n_callers"), F.sum("d").alias("n_callees"), F.sum(F.col("c") * F.col("d")).alias("_both"))
+    return sums.select(name, "n_callers", "n_callees", (F.col("n_callers") * F.col("n_callees") - F.col("_both")).alias("n_pairs"))
+
+
+def calls_received(defs: DataFrame, calls: DataFrame, key: str, name: str = "name") -> DataFrame:
+    """(node, calls): the weights of the edges that end in a node, from counts by name; no edge is made."""
+    d, c = defs.select(key, name).distinct(), calls.select(key, name).distinct()
+    callers = c.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    own = c.select(key, name, F.lit(1).alias("_own"))
+    met = d.join(callers, name).join(own, [key, name], "left")
+    return met.groupBy(F.col(key).alias("node")).agg(F.sum(F.col("_n") - F.coalesce("_own", F.lit(0))).alias("calls"))
+
+
 def fan_in(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("callee").alias("node")).agg(F.count(F.lit(1)).alias("fan_in"))
 

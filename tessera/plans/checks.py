@@ -38,18 +38,31 @@ def source_paths(spark, sf):
     return V._view(spark, sf, _FILES, "part").select("id", T.is_test_path(path).alias("is_test"), T.is_pruned(path).alias("is_pruned"), T.language(path).alias("lang"))
 
 
-@query("SELECT conv_id, turn, 'GET /a/' || turn || ',POST /api/y' || turn || ',/api/x' || turn AS endpoints FROM conversations")
+_URL_PATH = "regexp_extract(url, '^https?://[^/]+(/[A-Za-z0-9_./~-]+)', 1)"
+
+
+@query(f"SELECT page_id, CASE WHEN p = '' THEN '' ELSE 'GET ' || p || ',POST /api' || p || ',/api/x' || p END AS endpoints FROM (SELECT page_id, {_URL_PATH} AS p FROM pages)")
 def endpoint_lists(spark, sf):
-    n = F.col("turn").cast("string")
-    text = F.concat(F.lit("GET /a/"), n, F.lit(" then POST /api/y"), n, F.lit(" or /api/x"), n, F.lit(", /api/y"), n, F.lit(" b/api/z GET /a/"), n)
-    return V.read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(T.endpoints(text), ",").alias("endpoints"))
+    """Endpoints named beside the paths of the pages' own addresses."""
+    p = F.regexp_extract("url", "^https?://[^/]+(/[A-Za-z0-9_./~-]+)", 1)
+    text = F.when(p == "", "").otherwise(F.concat(F.lit("GET "), p, F.lit(" then POST /api"), p, F.lit(" or /api/x"), p, F.lit(", /api"), p, F.lit(" b GET "), p))
+    return V.read(spark, sf, "pages").select("page_id", F.array_join(T.endpoints(text), ",").alias("endpoints"))
+
 
+_BLOCK = ("Licensed under", "Version 2.0.")
+_HAS_BLOCK = f"regexp_matches(text, '{_BLOCK[0]}[^\\n]*Version 2[.]0[.]')"
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 7 = 0 AND doc_id % 11 <> 0")
+
+@query(f"SELECT doc_id FROM documents WHERE NOT ({_HAS_BLOCK}) AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def changed_outside(spark, sf):
-    docs = V.read(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.sha1("text").alias("outside_sha"))
-    then = docs.where("path % 11 <> 0").withColumn("outside_sha", F.when(F.col("path") % 7 == 0, "other").otherwise(F.col("outside_sha")))
-    return gates.changed_outside(docs, then).select(F.col("path").alias("doc_id"))
+    """Blocks are rewritten in all documents, and poor ones have text added: only the latter changed outside their block."""
+    poor = V.read(spark, sf, "labels").where("quality = 0").select("doc_id", F.lit(True).alias("poor"))
+    docs = V.read(spark, sf, "documents").join(poor, "doc_id", "left")
+    inside = F.regexp_replace("text", f"({_BLOCK[0]})[^\\n]*(Version 2[.]0[.])", "$1 other terms, $2")
+    edited = F.when(inside != F.col("text"), inside).when(F.col("poor"), F.concat("text", F.lit("\nadded"))).otherwise(F.col("text"))
+    sha = lambda text: F.sha1(report.outside_block(text, *_BLOCK)).alias("outside_sha")
+    now, then = docs.select(F.col("doc_id").alias("path"), sha(edited)), docs.select(F.col("doc_id").alias("path"), sha(F.col("text")))
+    return gates.changed_outside(now, then).select(F.col("path").alias("doc_id"))
 
 
 @query(f"SELECT id, ord1, ord2, ord3, ord4, ord5, array_to_string(list_filter([CASE WHEN trim(coalesce(cwe, '')) = '' THEN 'cwe' END, CASE WHEN trim(coalesce(source_ref, '')) = '' THEN 'source_ref' END, CASE WHEN trim(coalesce(sink_ref, '')) = '' THEN 'sink_ref' END], lambda x: x IS NOT NULL), ',') AS missing FROM ({V.FINDINGS})")
@@ -135,7 +148,11 @@ def index_texts(spark, sf):
     return report.index_lines(rows.withColumn("target", F.concat(F.lit("n/"), F.col("n_nationkey").cast("string"))), "r_name", "n_name", "target")
 
 
-@query("SELECT conv_id, turn, 3 AS n_sections FROM conversations")
+_AS_HEADINGS = "regexp_replace(text, '(^|\\n)([A-ZÀ-Þ][^ \\n]*) ', '\\1# \\2 ', 'g')"
+
+
+@query(f"SELECT conv_id, turn, 1 + len(list_filter(string_split({_AS_HEADINGS}, chr(10))[2:], lambda l: starts_with(l, '# '))) AS n_sections FROM conversations")
 def heading_sections(spark, sf):
-    text = F.concat(F.lit("before\n# one\nx\n### deeper\n## two\n"), F.regexp_replace("text", "#", ""))
+    """Sections of the turns' texts, whose lines that start with a capital are made headings."""
+    text = F.regexp_replace("text", "(^|\\n)([A-ZÀ-Þ][^ \\n]*) ", "$1# $2 ")
     return V.read(spark, sf, "conversations").select("conv_id", "turn", F.size(spans.prefix_sections(text)).alias("n_sections"))

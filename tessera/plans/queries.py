@@ -277,20 +277,27 @@ def fan_in(spark, sf):
     return docs.join(graph.fan_in(_call_edges(spark, sf)), "node", "left").select("node", F.coalesce("fan_in", F.lit(0)).alias("fan_in"))
 
 
-@query(_CALL_EDGES)
+_NAMES = f"""SELECT coalesce(c.name, d.name) AS name, coalesce(c.n, 0) AS n_callers, coalesce(d.n, 0) AS n_callees, coalesce(c.n, 0) * coalesce(d.n, 0) - coalesce(b.n, 0) AS n_pairs
+FROM (SELECT name, count(*) AS n FROM ({V.CALLS}) GROUP BY 1) c FULL JOIN (SELECT name, count(*) AS n FROM ({V.DEFS}) GROUP BY 1) d ON c.name = d.name
+LEFT JOIN (SELECT x.name, count(*) AS n FROM ({V.CALLS}) x JOIN ({V.DEFS}) y ON x.name = y.name AND x.doc_id = y.doc_id GROUP BY 1) b ON b.name = coalesce(c.name, d.name)"""
+
+
+@query(_NAMES)
 def call_edges_all_names(spark, sf):
-    return _call_edges(spark, sf)
+    """The call graph without its expansion: what every name would add to it."""
+    return graph.name_pairs(V.defs(spark, sf), V.calls(spark, sf), "doc_id")
 
 
-@query(f"SELECT d.doc_id AS node, coalesce(f.n, 0) AS fan_in FROM documents d LEFT JOIN (SELECT callee, count(*) AS n FROM ({_CALL_EDGES}) GROUP BY 1) f ON d.doc_id = f.callee")
+@query(f"SELECT d.doc_id AS node, coalesce(f.n, 0)::BIGINT AS calls FROM documents d LEFT JOIN (SELECT callee, sum(weight) AS n FROM ({_CALL_EDGES}) GROUP BY 1) f ON d.doc_id = f.callee")
 def fan_in_all_names(spark, sf):
+    """Calls received by every document, summed up over names and not over edges."""
     docs = V.read(spark, sf, "documents").select(F.col("doc_id").alias("node"))
-    return docs.join(graph.fan_in(_call_edges(spark, sf)), "node", "left").select("node", F.coalesce("fan_in", F.lit(0)).alias("fan_in"))
+    return docs.join(graph.calls_received(V.defs(spark, sf), V.calls(spark, sf), "doc_id"), "node", "left").select("node", F.coalesce("calls", F.lit(0)).alias("calls"))
 
 
-_SEEDS = ["s1", "s2", "s3"]
+_SEEDS = ["o1", "o2", "o3"]
 _REACH = f"""WITH RECURSIVE e AS ({V.EDGES}), b AS (SELECT caller AS a, callee AS b FROM e UNION SELECT callee, caller FROM e),
-r AS (SELECT * FROM (VALUES ('s1', 0), ('s2', 0), ('s3', 0)) t(node, depth) UNION SELECT b.b, r.depth + 1 FROM r JOIN b ON r.node = b.a WHERE r.depth < 4)
+r AS (SELECT * FROM (VALUES ('o1', 0), ('o2', 0), ('o3', 0)) t(node, depth) UNION SELECT b.b, r.depth + 1 FROM r JOIN b ON r.node = b.a WHERE r.depth < 4)
 SELECT node, min(depth) AS depth FROM r GROUP BY node"""
 
 
@@ -307,9 +314,9 @@ _FRAME = f"SELECT DISTINCT caller AS node FROM ({V.EDGES}) WHERE caller LIKE '%7
 
 
 @query(
-    f"""WITH reach AS ({_REACH}), fw AS ({_FRAME}), near AS (SELECT callee AS node FROM ({V.EDGES}) WHERE caller IN ('s1','s2','s3') UNION SELECT caller FROM ({V.EDGES}) WHERE callee IN ('s1','s2','s3')),
+    f"""WITH reach AS ({_REACH}), fw AS ({_FRAME}), near AS (SELECT callee AS node FROM ({V.EDGES}) WHERE caller IN ('o1','o2','o3') UNION SELECT caller FROM ({V.EDGES}) WHERE callee IN ('o1','o2','o3')),
 hint AS (SELECT node FROM fw WHERE node IN (SELECT node FROM near)), ins AS (SELECT node FROM reach UNION SELECT node FROM hint)
-SELECT node, 'seed' AS role FROM (VALUES ('s1'), ('s2'), ('s3')) t(node) UNION ALL SELECT node, 'in_scope' FROM ins UNION ALL SELECT node, 'framework_hinted' FROM hint
+SELECT node, 'seed' AS role FROM (VALUES ('o1'), ('o2'), ('o3')) t(node) UNION ALL SELECT node, 'in_scope' FROM ins UNION ALL SELECT node, 'framework_hinted' FROM hint
 UNION ALL SELECT node, 'unresolved' FROM fw WHERE node NOT IN (SELECT node FROM ins)"""
 )
 def scope_manifest(spark, sf):
@@ -318,15 +325,15 @@ def scope_manifest(spark, sf):
     return graph.scope(edges, _seeds(spark), framework, 4)
 
 
-@query(f"SELECT DISTINCT callee AS node FROM ({V.EDGES}) WHERE caller IN ('s1', 's2', 's3')")
+@query(f"SELECT DISTINCT callee AS node FROM ({V.EDGES}) WHERE caller IN ('o1', 'o2', 'o3')")
 def scope_applicable(spark, sf):
     edges = V.edges(spark, sf)
     return graph.applicable(edges.select(F.col("callee").alias("node")).distinct(), "node", edges, _seeds(spark))
 
 
-@query(f"SELECT callee AS node, count(*) AS n_outside FROM ({V.EDGES}) WHERE callee IN ('p1', 'p2', 'p3', 'p5', 'p8') AND caller NOT IN ('p1', 'p2', 'p3', 'p5', 'p8') GROUP BY 1")
+@query(f"SELECT callee AS node, count(*) AS n_outside FROM ({V.EDGES}) WHERE callee IN ('n1', 'n2', 'c1', 'c8') AND caller NOT IN ('n1', 'n2', 'c1', 'c8') GROUP BY 1")
 def scope_outside_callers(spark, sf):
-    seeds = spark.createDataFrame([(p,) for p in ("p1", "p2", "p3", "p5", "p8")], "node string")
+    seeds = spark.createDataFrame([(p,) for p in ("n1", "n2", "c1", "c8")], "node string")
     return graph.outside_callers(V.edges(spark, sf), seeds)
 
 
@@ -337,38 +344,46 @@ def unresolved(spark, sf):
     return graph.unresolved(framework, graph.reach(edges, _seeds(spark), 4))
 
 
-# over all edges of lineitem
+# the dense graph of suppliers and parts
+
+_DENSE = lambda name: ORACLES[name].replace(V.EDGES, V.ALL_EDGES).replace("'o1'", "'s1'").replace("'o2'", "'s2'").replace("'o3'", "'s3'").replace("'n1', 'n2', 'c1', 'c8'", "'p1', 'p2', 'p3', 'p5'")
+
+
+def _suppliers(spark):
+    return spark.createDataFrame([("s1",), ("s2",), ("s3",)], "node string")
 
 
-@query(ORACLES["bfs_scope"].replace(V.EDGES, V.ALL_EDGES))
+def _ending_in_7(edges):
+    return edges.select(F.col("caller").alias("node")).where(F.col("node").endswith("7")).distinct()
+
+
+@query(_DENSE("bfs_scope").replace("r.depth < 4", "r.depth < 2"))
 def bfs_scope_all_edges(spark, sf):
-    return graph.reach(V.all_edges(spark, sf), _seeds(spark), 4)
+    return graph.reach(V.all_edges(spark, sf), _suppliers(spark), 2)
 
 
-@query(ORACLES["scope_manifest"].replace(V.EDGES, V.ALL_EDGES))
+@query(_DENSE("scope_manifest").replace("r.depth < 4", "r.depth < 1"))
 def scope_manifest_all_edges(spark, sf):
     edges = V.all_edges(spark, sf)
-    framework = edges.select(F.col("caller").alias("node")).where(F.col("node").endswith("7")).distinct()
-    return graph.scope(edges, _seeds(spark), framework, 4)
+    return graph.scope(edges, _suppliers(spark), _ending_in_7(edges), 1)
 
 
-@query(ORACLES["scope_applicable"].replace(V.EDGES, V.ALL_EDGES))
+@query(_DENSE("scope_applicable"))
 def scope_applicable_all_edges(spark, sf):
     edges = V.all_edges(spark, sf)
-    return graph.applicable(edges.select(F.col("callee").alias("node")).distinct(), "node", edges, _seeds(spark))
+    return graph.applicable(edges.select(F.col("callee").alias("node")).distinct(), "node", edges, _suppliers(spark))
 
 
-@query(ORACLES["scope_outside_callers"].replace(V.EDGES, V.ALL_EDGES))
+@query(_DENSE("scope_outside_callers"))
 def scope_outside_callers_all_edges(spark, sf):
-    seeds = spark.createDataFrame([(p,) for p in ("p1", "p2", "p3", "p5", "p8")], "node string")
+    seeds = spark.createDataFrame([(p,) for p in ("p1", "p2", "p3", "p5")], "node string")
     return graph.outside_callers(V.all_edges(spark, sf), seeds)
 
 
-@query(ORACLES["unresolved"].replace(V.EDGES, V.ALL_EDGES))
+@query(_DENSE("unresolved").replace("r.depth < 4", "r.depth < 1"))
 def unresolved_all_edges(spark, sf):
     edges = V.all_edges(spark, sf)
-    framework = edges.select(F.col("caller").alias("node")).where(F.col("node").endswith("7"))
-    return graph.unresolved(framework, graph.reach(edges, _seeds(spark), 4))
+    return graph.unresolved(_ending_in_7(edges), graph.reach(edges, _suppliers(spark), 1))
 
 
 _GLOB = "http*/**/en/**"
@@ -401,14 +416,15 @@ def cluster_sites(spark, sf):
     return found.select("category", "kind", "shape", "cluster_id", "n_hits", "n_files", "first_file", F.array_join("usage_sites", ",").alias("usage_sites"))
 
 
-_APPEND = f"WITH h AS (SELECT DISTINCT doc_id, category, token FROM ({HITS})), known AS (SELECT * FROM h WHERE length(token) % 2 = 0), fresh AS (SELECT * FROM h WHERE length(token) % 3 = 0)"
+_APPEND = f"WITH h AS (SELECT DISTINCT category, token FROM ({HITS})), known AS (SELECT DISTINCT category, token FROM ({HITS}) WHERE doc_id IN (SELECT doc_id FROM labels))"
 
 
-@query(f"{_APPEND} SELECT doc_id, category, token FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.doc_id IS NOT DISTINCT FROM f.doc_id AND k.category IS NOT DISTINCT FROM f.category AND k.token IS NOT DISTINCT FROM f.token)")
+@query(f"{_APPEND} SELECT category, token FROM h f WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.category = f.category AND k.token IS NOT DISTINCT FROM f.token)")
 def keyed_append(spark, sf):
+    """Finds of all documents that those of the labelled ones lack."""
     h = V.hits(spark, sf).select("doc_id", "category", "token")
-    known, fresh = h.where("length(token) % 2 = 0"), h.where("length(token) % 3 = 0")
-    return dedup.keyed_append(known, fresh, ["doc_id", "category", "token"], ["token"])
+    known = h.join(V.read(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").drop("doc_id")
+    return dedup.keyed_append(known, h.drop("doc_id").distinct(), ["category", "token"], ["token"])
 
 
 @query("SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -640,9 +656,17 @@ def focus_filter(spark, sf):
 _POLICY = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {i}, '{t}', '{m}')" for i, c in enumerate(R.SENSITIVE_CATEGORIES) for t, m in R.SENSITIVE_DEFAULTS[c].items()) + ") t(category, category_ord, field_type, mask)"
 
 
-@query(f"SELECT category, count(*) AS n_items, count(*) FILTER (WHERE mask = 'full') AS n_full, count(*) FILTER (WHERE mask = 'partial') AS n_partial FROM ({_POLICY}) GROUP BY 1")
+@query(
+    f"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z_]+')) AS word FROM documents), m AS (SELECT word, count(*) AS n FROM w GROUP BY 1)
+SELECT category, count(*) AS n_items, count(*) FILTER (WHERE mask = 'full') AS n_full, count(*) FILTER (WHERE mask = 'partial') AS n_partial, sum(coalesce(m.n, 0))::BIGINT AS n_mentions
+FROM ({_POLICY}) p LEFT JOIN m ON m.word = lower(p.field_type) GROUP BY 1"""
+)
 def policy_counts(spark, sf):
-    return catalog.policy_counts(R.sensitive_defaults(spark))
+    """The default policy's items, and how many documents name each category's fields."""
+    words = V.read(spark, sf, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z_]+"), F.lit(0)))).alias("word"))
+    policy = R.sensitive_defaults(spark)
+    named = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(policy.select("category", F.lower("field_type").alias("word")), "word").groupBy("category").agg(F.sum("n").alias("n_mentions"))
+    return catalog.policy_counts(policy).join(named, "category", "left").withColumn("n_mentions", F.coalesce("n_mentions", F.lit(0)))
 
 
 @query("SELECT page_id, len(list_distinct(regexp_extract_all(html, '<([a-z0-9]+)', 1))) AS n_tags, least(64, len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)))) AS n_links, octet_length(encode(html)) AS bytes FROM pages")
@@ -718,14 +742,13 @@ _LEVEL = "CASE WHEN confidence >= 7 THEN 'error' WHEN confidence >= 4 THEN 'warn
 
 
 @query(
-    f"""SELECT id, {_RULE} AS rule_id, {_LEVEL} AS level, '{{"ruleId":"' || {_RULE} || '","level":"' || {_LEVEL} || '","message":{{"text":"' || title || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || file || '"}},"region":{{"startLine":' || line_start || '}}}}}}],"partialFingerprints":{{"primary":"' || sha1({_RULE} || '|' || file || '|' || line_start) || '"}}' AS head
+    f"""SELECT id, {_RULE} AS rule_id, {_LEVEL} AS level, '{{"ruleId":"' || {_RULE} || '","level":"' || {_LEVEL} || '","message":{{"text":"' || title || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || file || '"}},"region":{{"startLine":' || line_start || '}}}}}}],"partialFingerprints":{{"primary":"' || sha1({_RULE} || '|' || file || '|' || line_start) || '"}},"properties":{{"severity":"' || CASE WHEN confidence >= 9 THEN 'Critical' WHEN confidence >= 7 THEN 'High' WHEN confidence >= 4 THEN 'Medium' WHEN confidence > 0 THEN 'Low' ELSE 'Info' END || '","confidence":' || confidence || '}}}}' AS result
 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(file), trim(upper(cwe)), CASE WHEN line_start > 0 THEN line_start // 5 ELSE 0 END ORDER BY confidence DESC, ord1, ord2, ord3, ord4, ord5) AS rn FROM ({V.FINDINGS}) WHERE ({_REASON}) IS NULL) WHERE rn = 1)"""
 )
 def sarif_results(spark, sf):
     kept = dedup.deduped(gates.gated(V.findings(spark, sf)).where("dropped_reason IS NULL").drop("dropped_reason"), ORDER)
     found = report.sarif_results(kept.withColumn("severity", scoring.severity(F.col("confidence"))))
-    # the properties that follow hold a double, which the engines print differently
-    return found.select("id", "rule_id", "level", F.regexp_extract("result", '^(.*),"properties"', 1).alias("head"))
+    return found
 
 
 @query(

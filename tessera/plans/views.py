@@ -30,9 +30,11 @@ VECTORS = """SELECT p_partkey AS id,
        || '/I:' || CASE p_partkey % 7 WHEN 0 THEN 'N' WHEN 1 THEN 'L' ELSE 'H' END
        || '/A:' || CASE p_partkey % 2 WHEN 0 THEN 'N' ELSE 'H' END AS cvss_vector
 FROM part"""
-EDGES = """SELECT DISTINCT 's' || CAST(l_suppkey AS STRING) AS caller, 'p' || CAST(l_partkey % 101 AS STRING) AS callee
-FROM lineitem"""
-ALL_EDGES = EDGES
+#: Orders point to customers and those to nations: sparse, three layers deep, and far from connected within a few steps.
+EDGES = """SELECT 'o' || CAST(o_orderkey AS STRING) AS caller, 'c' || CAST(o_custkey AS STRING) AS callee FROM orders
+UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), 'n' || CAST(c_nationkey AS STRING) FROM customer"""
+#: Suppliers point to the parts they deliver: dense, every key as it stands.
+ALL_EDGES = "SELECT DISTINCT 's' || CAST(l_suppkey AS STRING) AS caller, 'p' || CAST(l_partkey AS STRING) AS callee FROM lineitem"
 #: Test-like files: two signals each, a path and some assertions.
 SIGNALS = ("WebMvcTest", "SpringBootTest MockMvc", "SpringBootTest LocalServerPort", "DataJpaTest", "Testcontainers", "TestConfiguration", "InjectMocks", "mockStatic", "ParameterizedTest", "assertThat", "Clock", "WebFluxTest", "nothing")
 TESTS = """SELECT p_partkey AS id, '@' || SIGNAL || ' class P @Test void a() assertThat(x).isEqualTo(1); ' || CASE WHEN p_size % 3 = 0 THEN 'assertTrue(y);' ELSE '' END AS text,
@@ -61,11 +63,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, EDGES, "lineitem")
+    named = lambda head, c: F.concat(F.lit(head), F.col(c).cast("string"))
+    ordered = read(spark, sf_dir, "orders").select(named("o", "o_orderkey").alias("caller"), named("c", "o_custkey").alias("callee"))
+    return ordered.unionAll(read(spark, sf_dir, "customer").select(named("c", "c_custkey"), named("n", "c_nationkey")))
 
 
 def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir)
+    return _view(spark, sf_dir, ALL_EDGES, "lineitem")
 
 
 def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
