@@ -105,27 +105,39 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def count_words(docs: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(id, lang, word, f) of all words; ids that two words share raise an error."""
+    """(id, lang, word, f) of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buf, at, langs in _chunks(batches, chunk_bytes):
             words = _Words(buf, at, langs)
             names, first, counts = np.unique(words.names, return_index=True, return_counts=True)
+            rows = words.rows[first]
+            # language and word in one text, parted by a line feed, which neither a word nor a short column needs more
+            heads = [f"{x}\n".encode() for x in langs]
+            lead = np.fromiter((len(heads[r]) for r in rows.tolist()), np.int64, len(rows))
             start, size = words.starts[first], words.ends[first] - words.starts[first]
-            text = words.low[S.ranges(start, size)]
-            bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            spelt = pa.StringArray.from_buffers(len(first), pa.py_buffer(bounds), pa.py_buffer(text))
-            yield pa.RecordBatch.from_arrays([_longs(names), pa.array(langs, pa.string()).take(pa.array(words.rows[first])), spelt, _longs(counts)], names=["id", "lang", "word", "n"])
+            bounds = np.concatenate([[0], np.cumsum(lead + size)])
+            text = np.empty(bounds[-1], np.uint8)
+            text[S.ranges(bounds[:-1], lead)] = np.frombuffer(b"".join([heads[r] for r in rows.tolist()]), np.uint8)
+            text[S.ranges(bounds[:-1] + lead, size)] = words.low[S.ranges(start, size)]
+            spelt = pa.StringArray.from_buffers(len(first), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(text))
+            yield pa.RecordBatch.from_arrays([_longs(names), spelt, _longs(counts)], names=["id", "spelt", "n"])
 
-    counted = _source(docs).mapInArrow(run, "id long, lang string, word string, n long")
-    return told_apart(S.staged(counted.groupBy("id", "lang", "word").agg(F.sum("n").alias("f")), "words"))
+    counted = _source(docs).mapInArrow(run, "id long, spelt string, n long").groupBy("id", "spelt").agg(F.sum("n").alias("f"))
+    # a word has no line feed, so the last one parts them whatever the language is called
+    return S.staged(counted.select("id", F.regexp_extract("spelt", r"(?s)^(.*)\n", 1).alias("lang"), F.substring_index("spelt", "\n", -1).alias("word"), "f"), "words")
 
 
-def told_apart(words: DataFrame) -> DataFrame:
-    """`words`, unless two of them have one id."""
-    if clash := words.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first():
+def told_apart(words: DataFrame, frequent) -> None:
+    """Raise an error if two words have one id that the filter of frequent ids lets through; others are never part of a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.array(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[frequent.value.test(ids.view(np.uint64))])], names=["id"])
+
+    if clash := words.select("id").mapInArrow(run, "id long").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first():
         raise ValueError(f"two words have the name {clash.id}")
-    return words
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -242,6 +254,7 @@ def phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, max_words: int = MAX
     if max_words < 2:
         return totals, levels
     frequent = _shared_filter(common.select("id"), log_bits)
+    told_apart(words, frequent)
     hashes = S.staged(pair_hashes(docs, frequent, chunk_bytes=chunk_bytes).where(F.col("n") >= min_count).select("hash"), "pair-hashes")
     likely = _shared_filter(hashes, log_bits)
     stream = S.staged(text_stream(docs, frequent, likely, chunk_bytes=chunk_bytes), "pair-stream")

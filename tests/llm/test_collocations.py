@@ -47,7 +47,7 @@ def corpus(n, seed):
     rows = []
     for _ in range(n):
         text = "".join(rng.choice(words[:11] if rng.random() < 0.97 else words) + rng.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n", "! "]) for _ in range(rng.randint(0, 60)))
-        rows.append((text, rng.choice(["en", "de", None, "und"])))
+        rows.append((text, rng.choice(["en", "de", None, "und", "x\ny"])))
     return rows
 
 
@@ -102,9 +102,10 @@ def test_words_of_one_name_are_an_error(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"_lang": ["en"], "_text": ["a b"]})
     assert len(np.unique(C._Words(*next(C._chunks(iter([batch]), 10))).names)) == 1
     monkeypatch.undo()
-    words = spark.createDataFrame([(1, "en", "a", 3), (1, "en", "b", 2)], "id long, lang string, word string, f long")
+    words = spark.createDataFrame([(1, "en", "a", 30), (1, "en", "b", 2), (2, "en", "c", 1), (2, "en", "d", 1)], "id long, lang string, word string, f long")
     with pytest.raises(ValueError, match="two words have the name 1"):
-        C.told_apart(words)
+        C.told_apart(words, C._shared_filter(words.where("f > 9").select("id"), 16))
+    C.told_apart(words.where("f < 2"), C._shared_filter(words.where("f > 9").select("id"), 16))
 
 
 def test_query_equals_its_sql(spark):
