@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry as R
 from ..functions import text as T
+from . import matching
 
 
 #: Fixed value: the confidence below which a finding is dropped.
@@ -57,33 +58,21 @@ def in_scope(paths: DataFrame, path: str, globs: Sequence[str], roots: Sequence[
 
 
 def mentioned(texts: DataFrame, text: str, probes: DataFrame, probe: str) -> DataFrame:
-    """The probes that some text contains, as one column `probe`.
-
-    Containment becomes an equi-join: texts are cut into their parts of each
-    length that a probe has (few lengths), and distinct parts meet the probes.
-    """
-    own = probes.select(F.col(probe).alias("probe")).where(F.length(probe) > 0).distinct()
-    lengths = sorted(r[0] for r in own.select(F.length("probe")).distinct().collect())
-    if not lengths:
-        return own
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substr(F.col(text), i, F.lit(n)))
-    parts = texts.select(F.explode(F.array_distinct(F.concat(*[cut(n) for n in lengths]))).alias("probe")).distinct()
-    return own.join(parts, "probe", "left_semi")
+    """The probes that some text contains, as one column `probe`."""
+    return matching.contained(texts, text, probes, probe)
 
 
 def overlapping(controls: DataFrame, key: str, entry_points: str, files: DataFrame, file: str) -> DataFrame:
-    """controls with file_overlap: an entry point and a mentioned file contain one another."""
-    points = controls.select(key, F.explode(entry_points).alias("_point")).where("_point <> ''").distinct()
-    named = files.select(F.col(file).alias("_file")).where("_file <> ''").distinct()
-    inside = mentioned(named, "_file", points, "_point").withColumnRenamed("probe", "_point")
-    # the other way round: files that stand in an entry point, met by the parts of the entry points
-    lengths = sorted(r[0] for r in named.select(F.length("_file")).distinct().collect())
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_point") - n + 1)), lambda i: F.substr(F.col("_point"), i, F.lit(n)))
+    """controls with file_overlap: an entry point and a mentioned file contain one another, slashes and case put aside."""
+    plain = lambda c: F.lower(T.posix(F.col(c)))
+    points = controls.select(key, F.explode(entry_points).alias("_point")).withColumn("_point", plain("_point")).where("_point <> ''").distinct()
+    named = files.select(plain(file).alias("_file")).where("_file <> ''").distinct()
+    inside = matching.contained(named, "_file", points, "_point").withColumnRenamed("probe", "_point")
     hit = points.join(inside, "_point", "left_semi").select(key)
-    if lengths:
-        parts = points.select(key, F.explode(F.array_distinct(F.concat(*[cut(n) for n in lengths]))).alias("_file"))
-        hit = hit.unionByName(parts.join(named, "_file", "left_semi").select(key))
-    return controls.join(hit.distinct().withColumn("_hit", F.lit(True)), key, "left").withColumn("file_overlap", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    # the other way round: files that stand in an entry point; an entry point is as short as a path
+    held = matching.contained_in(points.select("_point"), "_point", named, "_file").select(F.col("text").alias("_point")).distinct()
+    hit = hit.unionByName(points.join(held, "_point", "left_semi").select(key)).distinct()
+    return controls.join(hit.withColumn("_hit", F.lit(True)), key, "left").withColumn("file_overlap", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def violations(df: DataFrame, key: Sequence[str], rules: Mapping[str, Column]) -> DataFrame:

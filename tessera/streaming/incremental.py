@@ -1,4 +1,4 @@
-"""Incremental scans over a growing folder, and keyed upserts of a stream.
+"""Incremental scans over a growing folder.
 
 The checkpoint plays the part of a resume offset: a run takes what is new
 (availableNow), may be stopped at any time, and goes on where it was.
@@ -6,11 +6,9 @@ The checkpoint plays the part of a resume offset: a run takes what is new
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from ..operators.scan import pattern_hits
-from ..operators.state import upsert
 
 
 def scan_new_files(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 100, key: str = "doc_id") -> None:
@@ -19,14 +17,3 @@ def scan_new_files(spark: SparkSession, folder: str, out: str, checkpoint: str,
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     query = pattern_hits(stream, key).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-
-
-def upsert_stream(spark: SparkSession, stream: DataFrame, table: str, checkpoint: str, key: str, value: str, order: str) -> None:
-    """Each micro-batch is merged into the table at `table`; versions are folders, the newest one counts."""
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        base = spark.read.parquet(f"{table}/v{epoch}")
-        merged = upsert(base, batch, key, value, order).select(key, value, F.coalesce("pos", "appended_at").alias("pos"))
-        merged.write.mode("overwrite").parquet(f"{table}/v{epoch + 1}")
-
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
