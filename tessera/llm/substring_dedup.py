@@ -11,10 +11,12 @@ Equal windows have equal anchors, so they lie in blocks of one anchor.
 2. Where anchors agree but blocks differ, one block of each kind is opened into
    its windows, and equal windows are index entries in the same way.
 3. Each document is parsed with what the index has at its positions: from the
-   first position that matches, the longest of the matches (the entry's first
-   and last place in the corpus, followed word by word through the blocks and
-   windows after it) is a factor, and the parse goes on behind it. Windows that
-   lie across the end of a factor are checked by themselves. Factors and such
+   first position that matches, the longest of the matches is a factor, and the
+   parse goes on behind it. A match is followed through the blocks and windows
+   after it at every place of an entry with up to PLACES of them, else at the
+   first and the last one. A position is never its own reference, but a text that
+   several rows share may refer to the same place, which is another row's. Windows
+   that lie across the end of a factor are checked by themselves. Factors and such
    windows are the duplicate spans.
 
 Anchors that a Bloom filter of fixed size has not seen twice cannot start a
@@ -40,6 +42,8 @@ from . import bloom
 from . import support as S
 
 WINDOW, GRAM = 35, 12
+#: Places of an index entry that are all followed; of more, the first and the last one are.
+PLACES = 8
 
 
 def _blocks(words: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,8 +121,15 @@ def _entries(places: DataFrame, *keys: str) -> DataFrame:
     return places.groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"), F.min(place).alias("first"), F.max(place).alias("last"))
 
 
+def _references(places: DataFrame, entries: DataFrame, *keys: str) -> DataFrame:
+    """(keys, refs): the places at which entries that stand more than once are followed."""
+    few = entries.where(F.col("seen").between(2, PLACES)).select(*keys)
+    every = places.join(few, list(keys)).groupBy(*keys).agg(F.collect_set(F.struct("row_key", "start")).alias("refs"))
+    return every.unionByName(entries.where(F.col("seen") > PLACES).select(*keys, F.array("first", "last").alias("refs")))
+
+
 def matches(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, log_bits: int = bloom.LOG_BITS) -> DataFrame:
-    """(doc_id, row_key, start, n, first, last): n windows from `start` on that stand elsewhere too, and where.
+    """(doc_id, row_key, start, n, refs): n windows from `start` on that stand more than once, and places (row_key, start) of them, their own included.
 
     Staged: the joins that a hot block or window goes through end in a plain
     write, so that their large partitions can be split.
@@ -129,9 +140,9 @@ def matches(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, log_bits
     opened = blocks.join(differing.select("anchor"), "anchor", "left_semi").select("first.row_key", "first.start")
     single = S.staged(boundary_windows(docs, opened, window=window, gram=gram, log_bits=log_bits), "boundary-windows")
     twice = S.staged(_entries(single, "anchor", "hash").where("seen > 1"), "windows-seen-twice")
-    columns = ["doc_id", "row_key", "start", "n", "first", "last"]
-    whole = index.join(blocks.where("seen > 1"), ["anchor", "block"]).select(*columns)
-    parts = single.join(twice, ["anchor", "hash"]).withColumn("n", F.lit(1)).select(*columns)
+    columns = ["doc_id", "row_key", "start", "n", "refs"]
+    whole = index.join(_references(index, blocks, "anchor", "block"), ["anchor", "block"]).select(*columns)
+    parts = single.join(_references(single, twice, "anchor", "hash"), ["anchor", "hash"]).withColumn("n", F.lit(1)).select(*columns)
     found = S.staged(whole.unionByName(parts), "matches")
     S.discard(index, blocks, single, twice)
     return found
@@ -141,14 +152,13 @@ def parse(starts: np.ndarray, counts: np.ndarray, keys: np.ndarray, places: np.n
     """Factors (start, length, key and place of the reference) of one document, then the matching windows across their ends (key and place 0).
 
     Match k says that `counts[k]` windows from `starts[k]` on also start at
-    places[k, j] and behind it in the document keys[k, j], for j = 0, 1.
+    places[k] and behind it in the document keys[k].
     """
-    step = S.ranges(np.zeros(len(counts), np.int64), counts)
-    at = np.repeat(starts, counts) + step
+    if not len(starts):
+        return []
     # one row for each window and reference, ordered by reference and by distance to it: rows that go on are neighbours
-    own = np.concatenate([at, at])
-    key = np.concatenate([np.repeat(keys[:, j], counts) for j in (0, 1)])
-    place = np.concatenate([np.repeat(places[:, j], counts) + step for j in (0, 1)])
+    step = S.ranges(np.zeros(len(counts), np.int64), counts)
+    own, key, place = np.repeat(starts, counts) + step, np.repeat(keys, counts), np.repeat(places, counts) + step
     order = np.lexsort((own, place - own, key))
     own, key, place = own[order], key[order], place[order]
     goes_on = (own[1:] == own[:-1] + 1) & (key[1:] == key[:-1]) & (place[1:] == place[:-1] + 1)
@@ -196,17 +206,19 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
     docs = docs.drop("n_words", "n_removed", "n_factors")
     S.small_batches(docs.sparkSession)
     found = matches(docs, window=window, gram=gram, log_bits=log_bits)
-    fields = [F.col("start").alias("start"), F.col("n").alias("n"), *(F.col(f"{end}.{k}").alias(f"{end}_{k}") for end in ("first", "last") for k in ("row_key", "start"))]
-    lists = found.groupBy(F.col("row_key").alias("_match_key"), F.col("doc_id").alias("_match_id")).agg(F.collect_set(F.struct(*fields)).alias("_m"))
-    names = ["start", "n", "first_row_key", "last_row_key", "first_start", "last_start"]
-    lists = lists.select("_match_key", "_match_id", *[F.col(f"_m.{k}").alias(f"_match_{k}") for k in names])
+    # rows of one id and text: each is a copy of the other, at the same place
+    shared = docs.groupBy(S.row_key().alias("row_key")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("row_key", F.lit(True).alias("_shared"))
+    followed = found.join(shared, "row_key", "left").withColumn("_ref", F.explode("refs")).where(F.col("_shared") | (F.col("_ref.row_key") != F.col("row_key")) | (F.col("_ref.start") != F.col("start")))
+    fields = F.struct("start", "n", F.col("_ref.row_key").alias("key"), F.col("_ref.start").alias("place"))
+    lists = followed.groupBy(F.col("row_key").alias("_match_key"), F.col("doc_id").alias("_match_id")).agg(F.collect_set(fields).alias("_m"))
+    lists = lists.select("_match_key", "_match_id", *[F.col(f"_m.{k}").alias(f"_{k}s") for k in ("start", "n", "key", "place")])
     joined = docs.join(lists, (S.row_key() == F.col("_match_key")) & docs["doc_id"].eqNullSafe(F.col("_match_id")), "left").drop("_match_key", "_match_id")
     columns, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, at in S.slices(batches, "text"):
-            (start, sizes), (n, _), (k1, _), (k2, _), (p1, _), (p2, _) = (S.int_lists(part.column(len(columns) + k)) for k in range(6))
-            keys, places, ends = np.stack([k1, k2], 1), np.stack([p1, p2], 1), np.concatenate([[0], np.cumsum(sizes)])
+            (start, sizes), (n, _), (keys, _), (places, _) = (S.int_lists(part.column(len(columns) + k)) for k in range(4))
+            ends = np.concatenate([[0], np.cumsum(sizes)])
             spans, n_spans, n_factors = [], np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
             for i in np.flatnonzero(sizes).tolist():
                 own = slice(ends[i], ends[i + 1])

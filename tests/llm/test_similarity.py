@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -205,7 +206,7 @@ def greedy(starts, counts, keys, places, window):
     at = {}
     for s, n, k, p in zip(starts, counts, keys, places):
         for i in range(n):
-            at.setdefault(s + i, set()).update((k[j], p[j] + i) for j in (0, 1))
+            at.setdefault(s + i, set()).add((k, p + i))
     factors, i, top = [], 0, max(at) + 1
     while i < top:
         best = 0
@@ -222,12 +223,11 @@ def greedy(starts, counts, keys, places, window):
 
 def test_parses_are_greedy_and_lose_no_window():
     rng = random.Random(11)
-    for _ in range(60):
+    for _ in range(80):
         rows = []
         for _ in range(rng.randrange(1, 12)):
-            key, other, shift = rng.randrange(3), rng.randrange(3), rng.choice([0, 0, 5, 9])
-            start = rng.randrange(60)
-            rows.append((start, rng.randrange(1, 9), (key, other), (start + shift, start + rng.choice([2, 40]))))
+            start, n = rng.randrange(60), rng.randrange(1, 9)
+            rows += [(start, n, rng.randrange(3), start + rng.choice([0, 0, 2, 5, 9, 40])) for _ in range(rng.randrange(1, 5))]
         starts, counts, keys, places = map(list, zip(*rows))
         want, across = greedy(starts, counts, keys, places, 6)
         got = substring_dedup.parse(*(np.array(x, np.int64) for x in (starts, counts, keys, places)), 6)
@@ -235,18 +235,85 @@ def test_parses_are_greedy_and_lose_no_window():
         assert sorted(x[0] for x in got[len(want) :]) == across and all(x[1] == 6 for x in got[len(want) :])
 
 
-def test_factors_stand_at_their_references(spark):
-    rows = documents(8)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    found = substring_dedup.matches(docs, log_bits=18).collect()
-    keys = {r.k: r.text for r in docs.select(substring_dedup.S.row_key().alias("k"), "text").collect()}
-    words = {k: re.findall(r"[^\x20\x09-\x0d]+", t or "") for k, t in keys.items()}
-    assert found
-    for r in found:
-        own = words[r.row_key][r.start : r.start + r.n + 34]
+def factors_of(docs):
+    """Parsed factors by row key, with the words of the documents, from what matches() gives."""
+    words = {r.k: (r.doc_id, re.findall(r"[^\x20\x09-\x0d]+", r.text or "")) for r in docs.select("doc_id", substring_dedup.S.row_key().alias("k"), "text").collect()}
+    rows = Counter(r.k for r in docs.select(substring_dedup.S.row_key().alias("k")).collect())
+    found = {}
+    for r in substring_dedup.matches(docs, log_bits=18).collect():
+        own = words[r.row_key][1][r.start : r.start + r.n + 34]
         assert len(own) == r.n + 34
-        for end in (r["first"], r["last"]):
-            assert words[end.row_key][end.start : end.start + r.n + 34] == own
+        for ref in r.refs:
+            assert words[ref.row_key][1][ref.start : ref.start + r.n + 34] == own
+            if rows[r.row_key] > 1 or (ref.row_key, ref.start) != (r.row_key, r.start):
+                found.setdefault(r.row_key, set()).add((r.start, r.n, ref.row_key, ref.start))
+    return words, rows, {k: substring_dedup.parse(*(np.array(x, np.int64) for x in zip(*sorted(own))), 35) for k, own in found.items()}
+
+
+def longest_elsewhere(words, rows, key, start):
+    """The longest stretch from a place that stands at another place, by trying all places."""
+    own, best = words[key][1], 0
+    for k, (_, other) in words.items():
+        for p in range(len(other) - 34):
+            if (k, p) == (key, start) and rows[k] == 1:
+                continue
+            n = 0
+            while start + n < len(own) and p + n < len(other) and own[start + n] == other[p + n]:
+                n += 1
+            best = max(best, n)
+    return best if best >= 35 else 0
+
+
+def test_factors_are_the_longest_of_all_places(spark):
+    rng = random.Random(8)
+    passages = [[f"p{k}x{rng.randrange(9)}" for _ in range(rng.choice([36, 50, 90]))] for k in range(5)]
+    rows = []
+    for i in range(14):
+        text = []
+        for _ in range(rng.randrange(1, 4)):
+            p = rng.choice(passages)
+            cut = rng.randrange(0, 14)
+            text += p[cut : rng.choice([len(p), len(p), cut + 36])] + [f"own{i}y{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 5))]
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    substring_dedup.PLACES, before = 10**6, substring_dedup.PLACES
+    try:
+        words, copies, parsed = factors_of(docs)
+    finally:
+        substring_dedup.PLACES = before
+    assert len(parsed) > 5
+    for key, (_, own) in words.items():
+        i, want = 0, []
+        while i + 35 <= len(own):
+            if n := longest_elsewhere(words, copies, key, i):
+                want.append((i, n))
+            i += n or 1
+        got = [(s, n) for s, n, k, _ in parsed.get(key, []) if k]
+        assert got == want
+
+
+def test_a_document_between_two_sources_has_two_factors(spark):
+    rng = random.Random(21)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b = text(60), text(50)
+    rows = [(1, a + b), (2, text(9) + a + text(4)), (3, b + text(7)), (4, text(80)), (5, a[:30] + text(3) + b[15:]), (6, text(40))]
+    rows += [(7, rows[5][1]), (8, text(45)), (8, None)]
+    rows[-1] = (8, rows[-2][1])  # twice the same row: each refers to the other
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    words, copies, parsed = factors_of(docs)
+    factors = {}
+    for key, own in parsed.items():
+        for start, length, other, place in own:
+            if other:
+                assert copies[key] > 1 or (other, place) != (key, start)
+                assert words[other][1][place : place + length] == words[key][1][start : start + length]
+                assert length == longest_elsewhere(words, copies, key, start)
+        factors[words[key][0]] = [(start, length, words[other][0]) for start, length, other, _ in own if other]
+    assert factors[1] == [(0, 60, 2), (60, 50, 3)]
+    assert factors[2] == [(9, 60, 1)] and factors[3] == [(0, 50, 1)] and 4 not in factors
+    assert [x[:2] for x in factors[5]] == [(33, 35)] and factors[6] == [(0, 40, 7)] and factors[7] == [(0, 40, 6)] and factors[8] == [(0, 45, 8)]
+    done = {(r.doc_id, r.n_removed, r.n_factors) for r in substring_dedup.dedup_substrings(docs, log_bits=16).collect()}
+    assert done == {(1, 110, 2), (2, 60, 1), (3, 50, 1), (4, 0, 0), (5, 35, 1), (6, 40, 1), (7, 40, 1), (8, 45, 1)}
 
 
 def test_substring_dedup_of_nothing(spark):
