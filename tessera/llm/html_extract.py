@@ -8,13 +8,16 @@ region with all that it holds, but for its link lists and parts named otherwise)
 A line is content where its smoothed ratio, weighted by what the region's class,
 id or role says and by whether it lies in a landmark of the page, reaches the
 spread of the page's; a region is taken whole, short lines included, if at least
-half of its text is in such lines. Only elements that are never an article
-(scripts, menus, forms, footers ...) are left out before that.
+half of its text is in such lines. On a page without landmarks a neighbour of a taken region
+needs only a part of that ratio, if it has few links. Only elements that are never an article
+(scripts, menus, footers ...) are left out before that. A form is left out unless
+it holds half of the page's text outside links; an article opens content again
+inside a form, menu or header that surrounds it, a main element inside anything.
 
 Defined cases: a null or empty page, or one without text, gives the empty text;
 broken markup ends where the parser ends it; a page without any landmark is one
 region per block container; regions of equal ratio are all taken; attribute
-values of any length are read whole; other columns are carried along.
+values of any length are read whole; of the other columns only those in `carry` are returned.
 """
 
 from __future__ import annotations
@@ -29,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Elements whose text is never content, that take no end tag, and that end a block.
-SKIPPED = frozenset("script style noscript template svg math nav footer aside form button select option textarea iframe object canvas dialog menu head title audio video map".split())
+SKIPPED = frozenset("script style noscript template svg math nav footer aside button select option textarea iframe object canvas dialog menu head title audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 LANDMARKS = frozenset(("article", "main"))
+#: Left-out elements inside which a landmark opens content again, be it that they surround the page or lack an end tag.
+REOPENED = {"main": frozenset(("nav", "header", "aside", "footer")), "article": frozenset(("nav", "header"))}
 REGIONS = frozenset("article main section div body td".split())
 #: Parts of a landmark that are a region of their own if most of their text is links.
 LISTS = frozenset("ul ol dl table div section".split())
@@ -46,6 +51,8 @@ BOILERPLATE = frozenset(
 ADVERTS = frozenset("ad ads advert adverts advertisement sponsored".split())
 #: Weights of a region named by such a word, of one whose name begins with one, and of one outside the page's landmarks.
 NAMED, BEGUN, OUTSIDE = 0.1, 0.4, 0.3
+#: Part of the threshold that a neighbour of a taken region needs, and the share of links that it may have.
+BESIDE, FEW_LINKS = 0.25, 0.25
 #: An end tag that may be left out: opening one of the values ends the key.
 IMPLIED_END = {"head": BLOCKS - {"header"}, "p": BLOCKS - {"br"}, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
 CHUNK = 1 << 16
@@ -77,6 +84,7 @@ class Region:
     weight: float
     landmark: bool
     listed: bool = False
+    form: bool = False
     chars: int = 0
     linked: int = 0
 
@@ -96,7 +104,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.regions = [Region(-1, 1.0, False)]
-        self.open: list[tuple[str, bool, int]] = []  # element, not content, region before it
+        self.open: list[tuple[str, int, int]] = []  # element, what it adds to the closed parts, region before it
         self.text: list[str] = []
         self.tags = self.closed = self.region = self.landmarks = self.links = self.linked = 0
 
@@ -127,19 +135,25 @@ class _Lines(HTMLParser):
         while self.open and tag in IMPLIED_END.get(self.open[-1][0], ()):
             self._pop()
         weight = _weight(tag, attrs) if attrs and tag not in ("html", "body") else 1.0
-        dead = tag in SKIPPED or weight == 0 or (tag == "header" and not self.landmarks)
+        dead = int(tag in SKIPPED or weight == 0 or (tag == "header" and not self.landmarks))
+        if self.closed and weight == 1 and self._reopens(tag):
+            dead = -self.closed
         self.open.append((tag, dead, self.region))
         self.closed += dead
         self.links += tag == "a"
         inside = self.landmarks > 0
         self.landmarks += tag in LANDMARKS
-        named, listed = weight < 1, inside and tag in LISTS
-        if named or listed or (tag in REGIONS and not inside):
+        named, listed, form = weight < 1, inside and tag in LISTS, tag == "form"
+        if named or listed or form or (tag in REGIONS and not inside):
             self.end_block()
             own = self.regions[self.region].weight * weight
-            self.regions.append(Region(self.region, own, self.landmarks > 0, listed and not named))
+            self.regions.append(Region(self.region, own, self.landmarks > 0, listed and not named, form))
             self.region = len(self.regions) - 1
 
+    def _reopens(self, tag: str) -> bool:
+        """Whether all that is closed around a landmark may surround it."""
+        return tag in REOPENED and all(dead <= 0 or t in REOPENED[tag] for t, dead, _ in self.open)
+
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_block()
@@ -169,6 +183,7 @@ def lines_of(html: str) -> tuple[list[Line], list[Region]]:
     for line in lines:
         regions[line.region].chars += len(line.text)
         regions[line.region].linked += line.linked
+    lines = _without_forms(lines, regions)
     into = list(range(len(regions)))
     for k in range(len(regions) - 1, 0, -1):  # from the inside out: the parts of a list count for it
         own, parent = regions[k], regions[k].parent
@@ -183,6 +198,21 @@ def lines_of(html: str) -> tuple[list[Line], list[Region]]:
     return lines, regions
 
 
+def _without_forms(lines: list[Line], regions: list[Region]) -> list[Line]:
+    """The lines but those of forms with less than half of the page's text outside links."""
+    around = [0] * len(regions)  # the outermost form around a region, 0 if none or if a landmark stands between
+    for k in range(1, len(regions)):
+        own, parent = regions[k], around[regions[k].parent]
+        opened = own.landmark and not regions[own.parent].landmark
+        around[k] = 0 if opened and not own.form else parent or (k if own.form else 0)
+    if not any(around):
+        return lines
+    text = np.array([len(x.text) - x.linked for x in lines])
+    of = np.array([around[x.region] for x in lines], int)
+    mass = np.bincount(of, text, len(regions)) if len(lines) else np.zeros(len(regions))
+    return [x for x, k in zip(lines, of.tolist(), strict=True) if k == 0 or mass[k] * 2 >= text.sum() > 0]
+
+
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     reach = max(1, round(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
@@ -206,12 +236,18 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     if not lines:
         return ""
     ratios, sizes = scores(lines, regions, sigma), np.array([len(x.text) for x in lines], float)
-    content = ratios >= min(ratios.std(), ratios.max())
-    _, region = np.unique([x.region for x in lines], return_inverse=True)
-    mass, lit = np.bincount(region, sizes), np.bincount(region, sizes * content)
-    taken = lit * 2 >= mass
+    least = min(ratios.std(), ratios.max())
+    numbers, region = np.unique([x.region for x in lines], return_inverse=True)
+    mass = np.bincount(region, sizes)
+    lit = lambda limit: np.bincount(region, sizes * (ratios >= limit))
+    taken = lit(least) * 2 >= mass
     if not taken.any():
         taken[np.argmax(np.bincount(region, sizes * ratios))] = True
+    if not any(regions[k].landmark for k in numbers.tolist()):
+        own = [regions[k] for k in numbers.tolist()]
+        beside = {x.parent for x, t in zip(own, taken, strict=True) if t}
+        near = np.array([x.parent in beside and x.weight == 1 and x.linked <= FEW_LINKS * x.chars for x in own])
+        taken |= near & (lit(least * BESIDE) * 2 >= mass)
     return "\n".join(x.text for x, r in zip(lines, region, strict=True) if taken[r])
 
 

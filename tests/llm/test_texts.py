@@ -25,6 +25,31 @@ def test_article_is_taken_whole_and_nothing_else():
     assert html_extract.main_text(PAGE) == "Head & line\nFirst paragraph with bold words and a good many of them to count.\nSecond one.\nAfter a break."
 
 
+LONG = "A sentence of the article that has enough words in it to be one of its lines, and some more of them. " * 3
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    (f"<body><form action=x><div id=wrap><p>{LONG}</p><p>{LONG}</p><input value=1><button>Go</button></div></form></body>", [LONG, LONG]),
+    (f"<body><form><nav>menu</nav><main><p>{LONG}</p></main><footer>end</footer></form></body>", [LONG]),
+    (f"<body><nav><a>menu</a><main><p>{LONG}</p></main></body>", [LONG]),
+    (f"<body><header><h1>Site</h1><article><p>{LONG}</p></article></header></body>", [LONG]),
+    (f"<body><article><p>{LONG}</p><form><p>Write to us about this article.</p><input></form></article></body>", [LONG]),
+    (f"<body><div><p>{LONG}</p></div><form>Search the site <input></form></body>", [LONG]),
+    (f"<body><main><p>{LONG}</p></main><aside><article><p>{LONG} teaser</p></article></aside></body>", [LONG]),
+    (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><div><p>A short one that still is prose.</p><p>And another short one of the same.</p></div></body>", [LONG, LONG, "A short one that still is prose.", "And another short one of the same."]),
+    (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><div><a>More of that kind of thing here</a> <a>And another link to elsewhere</a></div></body>", [LONG, LONG]),
+    ("<form></form>", []), ("<form><input></form><form>a</form>", ["a"]), ("<nav><main></nav>", []),
+])
+def test_forms_open_elements_and_neighbours(html, want):
+    assert html_extract.main_text(html) == "\n".join(x.strip() for x in want)
+
+
+def test_only_carried_columns_come_back(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "t", 5)], "page_id long, url string, html string, text string, more int")
+    assert html_extract.extract(pages).columns == ["page_id", "url", "text", "n_chars"]
+    assert html_extract.extract(pages, carry=("page_id", "more")).columns == ["page_id", "more", "text", "n_chars"]
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<script>x</script>", "<nav>menu</nav>"])
 def test_pages_without_content_are_empty(html):
     assert html_extract.main_text(html) == ""
