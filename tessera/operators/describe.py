@@ -16,6 +16,17 @@ def parsed(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+def parsed_whole(text: Column) -> Column:
+    """A variant; null also where more follows behind the first value, which parsed() lets pass.
+
+    In brackets the text must be one element, and in an object one value: what
+    follows a value cannot close both.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    one = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(one & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull(), F.try_parse_json(text))
+
+
 def kind(value: Column) -> Column:
     """dict, list, str, bool, null, int or float; null where there is no value."""
     return R.mapped(KINDS, F.regexp_extract(F.schema_of_variant(value), "^([A-Z]+)", 1))
