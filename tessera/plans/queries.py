@@ -830,4 +830,4 @@ def _folder(spark, sf: str) -> str:
     return f"{sf}/documents.parquet*"
 
 
-from . import audits, checks, structure  # noqa: E402, F401  add their queries to QUERIES
+from . import audits, checks, structure, workflow  # noqa: E402, F401  add their queries to QUERIES
