@@ -9,10 +9,10 @@ subsumes.
 
 1. Words are counted by language; a word is named by a 64-bit hash of language and
    word (two words of one name are an error, which is looked for in all words).
-2. Pairs of frequent neighbours are counted by a hash first; a Bloom filter of the
-   hashes that are frequent leaves few pairs. Chunks of texts keep these as a local
-   code for each place where two or more such pairs follow each other, and list
-   their pairs with their counts: a stream.
+2. Pairs of frequent neighbours are counted by a hash first, and so are two such
+   pairs in a row; Bloom filters of the hashes that are frequent leave few. Chunks
+   of texts keep a local code for each place where pairs in a row may be frequent,
+   and list their pairs with their counts: a stream.
 3. A stream's pairs are summed up over all chunks, the frequent ones get their name,
    and the names meet the chunks by (left, right); neighbouring names of a chunk are
    the next level's stream.
@@ -44,7 +44,7 @@ from . import support as S
 
 MIN_COUNT, MAX_WORDS, TOP, SUBSUMED_PERCENT = 10, 3, 2000, 50
 #: Bytes of text that are counted together before anything leaves a task.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Candidates of one salt when the best of a language are looked for.
 SALT_ROWS = 200_000
 _BREAKS = [*b".,;:!?", *range(0x0A, 0x0E)]
@@ -88,7 +88,7 @@ class _Words:
         salts = {x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in set(langs)}
         salt = np.array([salts[x] for x in langs], np.uint64)
         self.names = S.mix64(S.span_hashes(self.low, self.starts, self.ends) ^ salt[self.rows])
-        piece = np.concatenate([np.zeros(1, np.int32), np.cumsum(_IS_BREAK[self.low], dtype=np.int32)])[self.starts]
+        piece = np.searchsorted(np.flatnonzero(_IS_BREAK[self.low]), self.starts)
         self.followed = (piece[1:] == piece[:-1]) & (self.rows[1:] == self.rows[:-1])
 
 
@@ -156,6 +156,11 @@ def _pairs(words: _Words, frequent: bloom.Bloom) -> np.ndarray:
     return np.flatnonzero(words.followed & good[1:] & good[:-1])
 
 
+def _counted(hashes: np.ndarray) -> pa.RecordBatch:
+    distinct, counts = np.unique(hashes, return_counts=True)
+    return pa.RecordBatch.from_arrays([_longs(distinct), _longs(counts)], names=["hash", "n"])
+
+
 def pair_hashes(docs: DataFrame, frequent, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(hash, n): how often pairs of frequent words stand in the corpus, by the pair's hash; pairs that share one are summed up."""
 
@@ -163,30 +168,47 @@ def pair_hashes(docs: DataFrame, frequent, *, chunk_bytes: int = CHUNK_BYTES) ->
         for buf, at, langs in _chunks(batches, chunk_bytes):
             words = _Words(buf, at, langs)
             i = _pairs(words, frequent.value)
-            hashes, counts = np.unique(_pair_hash(words.names[i], words.names[i + 1]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([_longs(hashes), _longs(counts)], names=["hash", "n"])
+            yield _counted(_pair_hash(words.names[i], words.names[i + 1]))
+
+    return _source(docs).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def _likely_pairs(words: _Words, frequent: bloom.Bloom, likely: bloom.Bloom) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that pass both filters, and their hashes."""
+    i = _pairs(words, frequent)
+    hashes = _pair_hash(words.names[i], words.names[i + 1])
+    good = likely.test(hashes)
+    return i[good], hashes[good]
+
+
+def chain_hashes(docs: DataFrame, frequent, likely, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(hash, n) of two likely pairs in a row, as pair_hashes()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for buf, at, langs in _chunks(batches, chunk_bytes):
+            i, hashes = _likely_pairs(_Words(buf, at, langs), frequent.value, likely.value)
+            yield _counted(_pair_hash(hashes[:-1], hashes[1:])[i[1:] == i[:-1] + 1])
 
     return _source(docs).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def _stream_columns(places: np.ndarray, left: np.ndarray, right: np.ndarray, names: np.ndarray) -> list[pa.Array]:
-    """linked, codes, left, right, n of a stream: the pairs (names[left], names[right]) that stand at `places`.
+def _stream_columns(goes_on: np.ndarray, left: np.ndarray, right: np.ndarray, names: np.ndarray) -> list[pa.Array]:
+    """linked, codes, left, right, n of a stream: the pairs (names[left], names[right]) at the places of a chunk.
 
-    `left` and `right` are codes, so that pairs are told apart exactly. A code of
-    -1 parts places that do not follow each other; lone ones are left out. The
-    first `linked` pairs are those with a code among them.
+    `left` and `right` are codes, so that pairs are told apart exactly; goes_on says
+    which pairs are in a row with the next one. A code of -1 parts those that are
+    not; lone ones are left out. The first `linked` pairs are those with a code
+    among them.
     """
     distinct, code, counts = np.unique(left.astype(np.int64) << 32 | right, return_inverse=True, return_counts=True)
-    goes_on = places[1:] == places[:-1] + 1
-    near = np.append(goes_on, False) | np.append(False, goes_on) if len(places) else np.zeros(0, bool)
+    near = np.append(goes_on, False) | np.append(False, goes_on) if len(left) else np.zeros(0, bool)
     alone = np.ones(len(distinct), bool)
     alone[code[near]] = False
     order = np.argsort(alone, kind="stable")
     distinct, counts, moved = distinct[order], counts[order], np.empty(len(order), np.int64)
     moved[order] = np.arange(len(order))
-    kept, at = moved[code[near]], places[near]
-    gaps = np.flatnonzero(at[1:] != at[:-1] + 1) + 1
-    codes = np.insert(kept, gaps, -1)
+    places = np.flatnonzero(near)
+    codes = np.insert(moved[code[places]], np.flatnonzero(~goes_on[places[:-1]]) + 1, -1)
     columns = [pa.array(codes.astype(np.int32)), _longs(names[distinct >> 32]), _longs(names[distinct & 0xFFFFFFFF]), _longs(counts)]
     return [pa.array([int((~alone).sum())], pa.int32()), *[pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]]
 
@@ -194,17 +216,18 @@ def _stream_columns(places: np.ndarray, left: np.ndarray, right: np.ndarray, nam
 _FIELDS = ["chunk", "linked", "codes", "left", "right", "n"]
 
 
-def text_stream(docs: DataFrame, frequent, likely, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The stream of word pairs, whose words and hash pass the filters."""
+def text_stream(docs: DataFrame, frequent, likely, chains=None, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The stream of word pairs that pass the filters; without one for chains no pairs are in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for k, (buf, at, langs) in enumerate(_chunks(batches, chunk_bytes)):
             words = _Words(buf, at, langs)
-            i = _pairs(words, frequent.value)
-            i = i[likely.value.test(_pair_hash(words.names[i], words.names[i + 1]))]
+            i, hashes = _likely_pairs(words, frequent.value, likely.value)
+            goes_on = i[1:] == i[:-1] + 1
+            goes_on &= chains.value.test(_pair_hash(hashes[:-1], hashes[1:])) if chains is not None else False
             names, code = np.unique(words.names, return_inverse=True)
-            columns = _stream_columns(i, code[i], code[i + 1], names)
+            columns = _stream_columns(goes_on, code[i], code[i + 1], names)
             yield pa.RecordBatch.from_arrays([pa.array([first + k], pa.int64()), *columns], names=_FIELDS)
 
     return _source(docs).mapInArrow(run, _STREAM)
@@ -233,7 +256,7 @@ def next_stream(stream: DataFrame, pairs: DataFrame) -> DataFrame:
                 place_of[code] = np.arange(len(code))
                 at = np.where(codes >= 0, place_of[codes], -1)
                 i = np.flatnonzero((at[1:] >= 0) & (at[:-1] >= 0))
-                columns = _stream_columns(i, at[i], at[i + 1], names)
+                columns = _stream_columns(i[1:] == i[:-1] + 1, at[i], at[i + 1], names)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *columns], names=_FIELDS)
         S.trim()
 
@@ -257,8 +280,13 @@ def phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, max_words: int = MAX
     told_apart(words, frequent)
     hashes = S.staged(pair_hashes(docs, frequent, chunk_bytes=chunk_bytes).where(F.col("n") >= min_count).select("hash"), "pair-hashes")
     likely = _shared_filter(hashes, log_bits)
-    stream = S.staged(text_stream(docs, frequent, likely, chunk_bytes=chunk_bytes), "pair-stream")
-    S.release(frequent, likely)
+    shared = [frequent, likely]
+    if max_words > 2:
+        rows = S.staged(chain_hashes(docs, frequent, likely, chunk_bytes=chunk_bytes).where(F.col("n") >= min_count).select("hash"), "chain-hashes")
+        shared.append(_shared_filter(rows, log_bits))
+        S.discard(rows)
+    stream = S.staged(text_stream(docs, *shared, chunk_bytes=chunk_bytes), "pair-stream")
+    S.release(*shared)
     S.discard(hashes)
     for k in range(2, max_words + 1):
         pairs = name_pairs(stream, min_count)

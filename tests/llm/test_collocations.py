@@ -92,7 +92,7 @@ def test_scores_are_exact_beyond_64_bits(spark):
 
 def test_streams_tell_pairs_apart_and_mark_gaps():
     names = np.array([70, 80, 90], np.int64)
-    linked, codes, left, right, n = C._stream_columns(np.array([0, 1, 5, 7, 8, 11]), np.array([0, 1, 0, 0, 1, 0]), np.array([1, 2, 0, 1, 2, 1]), names)
+    linked, codes, left, right, n = C._stream_columns(np.array([True, False, False, True, False]), np.array([0, 1, 0, 0, 1, 0]), np.array([1, 2, 0, 1, 2, 1]), names)
     assert linked.to_pylist() == [2] and codes.to_pylist() == [[0, 1, -1, 0, 1]]
     assert (left.to_pylist(), right.to_pylist(), n.to_pylist()) == ([[70, 80, 70]], [[80, 90, 70]], [[3, 2, 1]])
 
