@@ -69,6 +69,10 @@ class Settings:
     run: int = 256  # neighbouring positions of a lane in a batch
     seed: int = 7
 
+    def __post_init__(self) -> None:
+        if self.ids > 1 << 15:
+            raise ValueError("ids are kept in 16 bits: vocabulary and buckets must have fewer than 32,768 ids together")
+
     @property
     def ids(self) -> int:
         return 1 + self.vocabulary + self.buckets  # id 0 pads

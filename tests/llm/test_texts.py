@@ -328,6 +328,12 @@ def test_probabilities_sum_to_one(settings):
         assert float(np.exp(coder.cell_log.reshape(-1, settings.buckets)[:, k].astype(float)).sum()) == pytest.approx(1, abs=1e-3)
 
 
+def test_more_ids_than_sixteen_bits_hold_are_refused():
+    assert lm_scoring.Settings(vocabulary=32_000, buckets=512).ids == 32_513
+    with pytest.raises(ValueError, match="16 bits"):
+        lm_scoring.Settings(vocabulary=32_000, buckets=1024)
+
+
 def test_a_score_is_the_sum_of_its_tokens_conditional_log_probabilities(spark):
     coder, model = a_model(TINY)
     rng = random.Random(9)
