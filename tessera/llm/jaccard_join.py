@@ -4,8 +4,10 @@
    row of each class represents it.
 2. Shingle frequencies over all representatives are counted exactly in cells of
    2**CELL_BITS hash values; frequency classes (from 2, 16, 128, 1024 documents)
-   are kept in a Bloom filter of fixed size. All documents order their shingles
-   by (class, hash), rare ones first.
+   are kept in a Bloom filter. Cells and filter grow with what they hold, up to
+   2**MOST_CELL_BITS cells and 2**MOST_LOG_BITS bits: where most lone shingles pass
+   for shared ones, every prefix is sent in full. All documents order their
+   shingles by (class, hash), rare ones first.
 3. A document's prefix for l matches is its first n - ceil(0.75 n) + l shingles:
    two similar documents share at least min(l, l') shingles of their prefixes.
    Each document chooses the l of least estimated cost from the frequencies in
@@ -39,6 +41,8 @@ from . import support as S
 
 SHINGLE, PERCENT = 5, 75
 CELL_BITS = 32
+MOST_CELL_BITS, CELLS_PER_SHINGLE = 40, 16
+MOST_LOG_BITS, BITS_PER_KEY = 29, 6  # 64 MiB
 RANGE_BITS = 22  # cells per counting range: 2**22 counters, 16 MiB
 FREQUENCIES = (2, 16, 128, 1024)
 TYPICAL = np.array([0.0, 4, 32, 256, 4096])
@@ -81,25 +85,32 @@ def _cell_key(cells: np.ndarray, level: int) -> np.ndarray:
     return S.mix64(cells.astype(np.uint64) << np.uint64(8) | np.uint64(level))
 
 
-def frequency_classes(docs: DataFrame, is_rep, n: int, log_bits: int) -> bloom.Bloom:
-    """The filter of (cell, class), counted over all representatives.
+def bits_for(held: int, per_item: int, least: int, most: int) -> int:
+    """The bits of a number of cells or filter bits that has `per_item` for each item held, within bounds."""
+    return min(most, max(least, (max(1, held) * per_item - 1).bit_length()))
+
+
+def frequency_classes(docs: DataFrame, is_rep, n: int, log_bits: int | None = None, cell_bits: int = CELL_BITS) -> bloom.Bloom:
+    """The filter of (cell, class), counted over all representatives; without log_bits its size follows the number of its keys.
 
     Tasks send sorted cells, packed to about two bytes each, by range of cells;
     a range's counters have a fixed size and its parts are streamed.
     """
-    shift, ranges = np.uint64(64 - CELL_BITS), 1 << (CELL_BITS - RANGE_BITS)
+    width = min(RANGE_BITS, cell_bits)
+    shift, ranges = np.uint64(64 - cell_bits), 1 << (cell_bits - width)
 
     def send(cells: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         own = np.sort(np.concatenate(cells))
-        cuts = np.searchsorted(own, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(RANGE_BITS)).tolist()
-        rows = [(k, bloom.pack(own[cuts[k] : cuts[k + 1]])) for k in range(ranges) if cuts[k] < cuts[k + 1]]
+        cuts = np.searchsorted(own, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(width)).tolist()
+        low = (own & np.uint64((1 << width) - 1)).astype(np.uint32)
+        rows = [(k, bloom.pack(low[cuts[k] : cuts[k + 1]])) for k in range(ranges) if cuts[k] < cuts[k + 1]]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "cells"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held = [], 0
         for part, buf, at in S.slices(batches, "text"):
             reps = is_rep(part.column(0))
-            found = [(s >> shift).astype(np.uint32) for s, rep in zip(shingle_sets(buf, at, n), reps, strict=True) if rep and len(s)]
+            found = [s >> shift for s, rep in zip(shingle_sets(buf, at, n), reps, strict=True) if rep and len(s)]
             waiting += found
             held += sum(map(len, found))
             if held >= _FLUSH:
@@ -113,11 +124,11 @@ def frequency_classes(docs: DataFrame, is_rep, n: int, log_bits: int) -> bloom.B
         for batch in batches:
             part = batch.column(0)[0].as_py()
             for packed in batch.column(1):
-                cells = bloom.unpack(packed.as_py()) & np.uint32((1 << RANGE_BITS) - 1)
+                cells = bloom.unpack(packed.as_py())
                 held += len(cells)
                 few.append(cells)
-                if held > 1 << (RANGE_BITS - 3):  # counters for the whole range pay from here on
-                    seen = np.zeros(1 << RANGE_BITS, np.uint32) if seen is None else seen
+                if held > 1 << max(0, width - 3):  # counters for the whole range pay from here on
+                    seen = np.zeros(1 << width, np.uint32) if seen is None else seen
                     for x in few:
                         np.add.at(seen, x, 1)
                     few = []
@@ -127,27 +138,30 @@ def frequency_classes(docs: DataFrame, is_rep, n: int, log_bits: int) -> bloom.B
             found = np.flatnonzero(seen >= FREQUENCIES[0]).astype(np.uint32)
             counts = seen[found]
         for level, least in enumerate(FREQUENCIES, 1):
-            cells = found[counts >= least] | np.uint32(part << RANGE_BITS)
+            cells = found[counts >= least]
             for i in range(0, len(cells), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([bloom.pack(cells[i : i + (1 << 16)])], pa.binary())], names=["level", "cells"])
+                few = cells[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([part], pa.int32()), pa.array([len(few)], pa.int64()), pa.array([bloom.pack(few)], pa.binary())], names=["level", "part", "n", "cells"])
 
     count.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            for level, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield _cell_key(bloom.unpack(cells), level)
+            for level, part, cells in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                yield _cell_key(bloom.unpack(cells).astype(np.uint64) | np.uint64(part << width), level)
 
     # staged, so that no task holds counters and filter segments in two Python workers at a time
-    counted = S.staged(docs.mapInArrow(scan, "part int, cells binary").groupBy("part").applyInArrow(count, "level int, cells binary"), "frequent-cells")
+    counted = S.staged(docs.mapInArrow(scan, "part int, cells binary").groupBy("part").applyInArrow(count, "level int, part int, n long, cells binary"), "frequent-cells")
+    if log_bits is None:
+        log_bits = bits_for(counted.agg(F.sum("n")).first()[0] or 0, BITS_PER_KEY, bloom.LOG_BITS, MOST_LOG_BITS)
     frequent = bloom.build(counted, keys, "once", log_bits)
     S.discard(counted)
     return frequent
 
 
-def levels_of(tokens: np.ndarray, frequent: bloom.Bloom) -> np.ndarray:
+def levels_of(tokens: np.ndarray, frequent: bloom.Bloom, cell_bits: int = CELL_BITS) -> np.ndarray:
     """0 for a shingle of one document only, else its frequency class."""
-    cells, out = (tokens >> np.uint64(64 - CELL_BITS)).astype(np.uint32), np.zeros(len(tokens), np.int8)
+    cells, out = tokens >> np.uint64(64 - cell_bits), np.zeros(len(tokens), np.int8)
     left = np.arange(len(tokens))
     for level in range(1, len(FREQUENCIES) + 1):
         left = left[frequent.test(_cell_key(cells[left], level))]
@@ -171,7 +185,7 @@ def prefix_of(tokens: np.ndarray, levels: np.ndarray, percent: int) -> tuple[int
     return best, tokens[prefix[levels[prefix] > 0]]
 
 
-def prefixes(docs: DataFrame, is_rep, frequent, n: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, is_rep, frequent, n: int, percent: int, cell_bits: int = CELL_BITS) -> DataFrame:
     """(node, n, matches, prefix, tokens) of the representatives that share a prefix shingle with another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +195,7 @@ def prefixes(docs: DataFrame, is_rep, frequent, n: int, percent: int) -> DataFra
             own = [i for i, s in enumerate(sets) if len(s) and reps[i]]
             if not own:
                 continue
-            levels = levels_of(np.concatenate([sets[i] for i in own]), frequent.value)
+            levels = levels_of(np.concatenate([sets[i] for i in own]), frequent.value, cell_bits)
             rows, first = [], 0
             for i in own:
                 mine, first = levels[first : first + len(sets[i])], first + len(sets[i])
@@ -405,7 +419,7 @@ def components(edges: DataFrame, max_rounds: int = 60, chunk: int = CHUNK) -> Da
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def similarity_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, log_bits: int = bloom.LOG_BITS) -> DataFrame:
+def similarity_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, log_bits: int | None = None, cell_bits: int | None = None) -> DataFrame:
     """doc_id, node, root, n_shingles, component_id: a row per document.
 
     node is the row's key and root that of its component, for rows that share a doc_id.
@@ -420,14 +434,15 @@ def similarity_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: i
         for batch in batches:
             yield S.mix64(np.array(batch.column(0)).view(np.uint64))
 
-    chosen = spark.sparkContext.broadcast(bloom.build(classes.select("rep"), nodes, "once", log_bits))
+    chosen = spark.sparkContext.broadcast(bloom.build(classes.select("rep"), nodes, "once", log_bits or bloom.LOG_BITS))
+    cell_bits = cell_bits or bits_for(classes.agg(F.sum("n_shingles")).first()[0] or 0, CELLS_PER_SHINGLE, CELL_BITS, MOST_CELL_BITS)
 
     def is_rep(column: pa.Array) -> np.ndarray:
         return chosen.value.test(S.mix64(np.array(column).view(np.uint64)))
 
     texts = docs.select(S.row_key().alias("node"), "text")
-    frequent = spark.sparkContext.broadcast(frequency_classes(texts, is_rep, shingle, log_bits))
-    found = S.staged(prefixes(texts, is_rep, frequent, shingle, percent).dropDuplicates(["node"]), "prefixes")
+    frequent = spark.sparkContext.broadcast(frequency_classes(texts, is_rep, shingle, log_bits, cell_bits))
+    found = S.staged(prefixes(texts, is_rep, frequent, shingle, percent, cell_bits).dropDuplicates(["node"]), "prefixes")
     S.release(chosen, frequent)
     roots = components(links(found, percent=percent, block=block))
     S.discard(found)
