@@ -214,6 +214,7 @@ def _stream_columns(goes_on: np.ndarray, left: np.ndarray, right: np.ndarray, na
 
 
 _FIELDS = ["chunk", "linked", "codes", "left", "right", "n"]
+_NO_STREAM = pa.schema(list(zip(_FIELDS, [pa.int64(), pa.int32(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3], strict=True))).empty_table()
 
 
 def text_stream(docs: DataFrame, frequent, likely, chains=None, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -245,22 +246,22 @@ def next_stream(stream: DataFrame, pairs: DataFrame) -> DataFrame:
     going_on = stream.where("linked > 0")
     linked = [F.slice(c, 1, F.col("linked")).alias(c) for c in ("left", "right")]
     local = going_on.select("chunk", F.posexplode(F.arrays_zip(*linked))).select("chunk", F.col("pos").alias("code"), "col.left", "col.right")
-    known = local.join(pairs.select("left", "right", "id"), ["left", "right"]).groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("m"))
-    both = going_on.select("chunk", "codes").join(known.select("chunk", F.col("m.code").alias("code"), F.col("m.id").alias("id")), "chunk")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                codes, code, names = (np.array(batch.column(i)[k].values, np.int64) for i in (1, 2, 3))
-                place_of = np.full(int(codes.max()) + 1, -1, np.int64)
-                place_of[code] = np.arange(len(code))
-                at = np.where(codes >= 0, place_of[codes], -1)
-                i = np.flatnonzero((at[1:] >= 0) & (at[:-1] >= 0))
-                columns = _stream_columns(i[1:] == i[:-1] + 1, at[i], at[i + 1], names)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *columns], names=_FIELDS)
-        S.trim()
-
-    return both.mapInArrow(run, _STREAM)
+    # chunk by chunk in order of the key: lists of all a task's chunks at a time would grow with the input
+    known = local.join(pairs.select("left", "right", "id"), ["left", "right"]).select(F.col("chunk").alias("of"), "code", "id")
+
+    def run(own: pa.Table, named: pa.Table) -> pa.Table:
+        if not own.num_rows or not named.num_rows:
+            return _NO_STREAM
+        codes = np.array(own["codes"].combine_chunks().flatten(), np.int64)
+        code, names = np.array(named["code"], np.int64), np.array(named["id"], np.int64)
+        place_of = np.full(int(codes.max()) + 1, -1, np.int64)
+        place_of[code] = np.arange(len(code))
+        at = np.where(codes >= 0, place_of[codes], -1)
+        i = np.flatnonzero((at[1:] >= 0) & (at[:-1] >= 0))
+        columns = _stream_columns(i[1:] == i[:-1] + 1, at[i], at[i + 1], names)
+        return pa.Table.from_arrays([own["chunk"].combine_chunks(), *columns], names=_FIELDS)
+
+    return going_on.select("chunk", "codes").groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(run, _STREAM)
 
 
 def phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, log_bits: int = bloom.LOG_BITS, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, list[DataFrame]]:
