@@ -2,8 +2,8 @@
 
 A glob meets only paths that share its literal ends: whole folders before the first
 wildcard, and up to four characters after the last one. A glob without either
-shares its longest literal run's first three characters. What meets is confirmed by
-the glob itself. A glob without any literal is one of few shapes, looked at by itself.
+shares its whole longest literal run: a path's parts of the lengths that such runs
+have are looked up among them by hash. What meets is confirmed by the glob itself. A glob without any literal is one of few shapes, looked at by itself.
 
 Defined cases: slashes are turned forward and dropped at both ends; `*` and `?` pass
 slashes, `[...]` is a set and `[!...]` its complement, a bracket that is not closed
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-TAIL, GRAM = 4, 3
+TAIL = 4
+#: Distinct runs up to which their hashes go to every task; more of them are shuffled.
+BROADCAST_RUNS = 1_000_000
 #: Distinct globs of wildcards only that are looked at; more of them are an error, not a cut.
 FREE_SHAPES = 1000
 _SET = r"\[[^\]]+\]"
@@ -37,9 +39,11 @@ def _folders(path: Column) -> Column:
     return F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/"))))
 
 
-def _grams(text: Column) -> Column:
-    each = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substr(text, i, F.lit(n)))
-    return F.array_distinct(F.concat(*[each(n) for n in range(1, GRAM + 1)]))
+def _parts(text: Column, lengths: list[int]) -> Column:
+    """Hashes of the text's parts of the given lengths."""
+    none = F.array().cast("array<long>")
+    each = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.xxhash64(F.substr(text, i, F.lit(n))))).otherwise(none)
+    return F.array_distinct(F.concat(none, *[each(n) for n in lengths]))
 
 
 def _patterns(patterns: DataFrame, pattern: str) -> DataFrame:
@@ -51,7 +55,7 @@ def _patterns(patterns: DataFrame, pattern: str) -> DataFrame:
     # a glob without wildcards is a path: its folder and its last characters
     own = own.withColumn("_tail", F.when(F.col("_wild").rlike("[*?]"), F.col("_tail")).otherwise(F.right("_glob", F.lit(TAIL))))
     kind = F.when((F.col("_head") != "") | (F.col("_tail") != ""), "ends").when(F.col("_run") != "", "run").otherwise("free")
-    return own.withColumn("_kind", kind).withColumn("_gram", F.substring("_run", 1, GRAM))
+    return own.withColumn("_kind", kind).withColumn("_key", F.xxhash64("_run"))
 
 
 def glob_pairs(paths: DataFrame, path: str, patterns: DataFrame, pattern: str) -> DataFrame:
@@ -61,7 +65,13 @@ def glob_pairs(paths: DataFrame, path: str, patterns: DataFrame, pattern: str) -
     tails = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.least(F.lit(TAIL), F.length("_path"))), lambda n: F.right(F.col("_path"), n)))
     keys = own.withColumn("_head", F.explode(_folders(F.col("_path")))).withColumn("_tail", F.explode(tails))
     by_ends = globs.where("_kind = 'ends'").join(keys, ["_head", "_tail"])
-    by_run = globs.where("_kind = 'run'").join(own.withColumn("_gram", F.explode(_grams(F.col("_path")))), "_gram")
+    runs = globs.where("_kind = 'run'")
+    sizes = runs.groupBy(F.length("_run").alias("n")).agg(F.count_distinct("_key").alias("runs")).collect()
+    keys_of = lambda df: df.withColumn("_key", F.explode(_parts(F.col("_path"), sorted(r.n for r in sizes))))
+    known = runs.select("_key").distinct()
+    # most parts are no glob's run and go before anything is shuffled
+    few = keys_of(own).join(F.broadcast(known) if sum(r.runs for r in sizes) <= BROADCAST_RUNS else known, "_key", "left_semi")
+    by_run = runs.join(few, "_key")
     out = [x.where(F.expr("_path rlike _regex")).select("pattern", "path") for x in (by_ends, by_run)]
     free = globs.where("_kind = 'free'")
     shapes = [(r.pattern, r._regex) for r in free.select("pattern", "_regex").limit(FREE_SHAPES + 1).collect()]
