@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import spans
-
 # What opens and closes a shell block, how a call starts, its script and its flags.
 OPENS, CLOSES = "```bash", "```"
 CALL = "py "
@@ -18,48 +16,35 @@ def flags_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(FLAG), F.lit(1))
 
 
-def block_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line_no, block, line): the lines inside shell blocks, up to where the block is closed.
+def shell_blocks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, line_no, body): what lies in the shell blocks of a text, with the number of its first line.
 
     A line that ends with OPENS opens a block when none is open; the next CLOSES ends
-    it. What a line does is a function from open or closed to the state behind it: a
-    fence that only closes, one that does both, or one that turns closed into open
-    and open into closed. The state before a line thus follows from the last line
-    that sets it and the number of turns since, by windows over the document.
+    it. A row is taken by itself: nothing is shuffled, sorted or kept for others.
     """
-    lines = spans.lines_of(docs, key, text)
-    has = F.contains("line", F.lit(CLOSES))
-    opens = F.endswith("line", F.lit(OPENS)) & F.col("_last").isNotNull()
-    before_last = F.expr(f"substring(line, 1, length(line) - {len(OPENS)})")
-    # the last line of a text has no line feed behind it, so it opens nothing
-    own = Window.partitionBy(key).orderBy("line_no")
-    kind = F.when(~has, "none").when(~opens, "close").when(F.contains(before_last, F.lit(CLOSES)), "both").otherwise("turn")
-    marked = lines.withColumn("_last", F.lead("line_no").over(own)).withColumn("_kind", kind)
-    past = own.rowsBetween(Window.unboundedPreceding, -1)
-    set_at = F.last(F.when(F.col("_kind").isin("close", "both"), F.struct("line_no", (F.col("_kind") == "both").alias("open"))), True).over(past)
-    turns = F.coalesce(F.sum((F.col("_kind") == "turn").cast("int")).over(past), F.lit(0))
-    state = marked.withColumn("_set", set_at).withColumn("_turns", turns)
-    # turns before the line that set the state do not count
-    at_set = state.withColumn("_turns_then", F.last(F.when(F.col("_kind").isin("close", "both"), F.col("_turns")), True).over(past))
-    opened = F.coalesce(F.col("_set.open"), F.lit(False)) != ((F.col("_turns") - F.coalesce("_turns_then", F.lit(0))) % 2 == 1)
-    inside = at_set.withColumn("_open", opened)
-    starts = F.sum((F.col("_kind").isin("turn", "both")).cast("int")).over(past)
-    content = F.when(has, F.substring_index("line", CLOSES, 1)).otherwise(F.col("line"))
-    closed = F.last(F.when(F.col("_kind") != "none", F.col("line_no")), True).over(Window.partitionBy(key).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, 0))
-    return inside.withColumn("block", starts).withColumn("_closed", closed).where(F.col("_open") & F.col("_closed").isNotNull()).select(key, "line_no", "block", content.alias("line"))
+    whole = rf"(?s)\G(.*?){OPENS}\n(.*?){CLOSES}"
+    feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    # lines of a block: those before it, and one for the line that opens it
+    pairs = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(whole), F.lit(k)).alias(name) for k, name in ((1, "before"), (2, "body"))])
+    none = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<line_no:int,body:string>>").alias("found"))
+
+    def add(seen: Column, x: Column) -> Column:
+        at = seen["at"] + feeds(x["before"]) + 1
+        return F.struct((at + feeds(x["body"])).alias("at"), F.concat(seen["found"], F.array(F.struct(at.alias("line_no"), x["body"].alias("body")))).alias("found"))
+
+    return docs.select(key, F.inline(F.aggregate(pairs, none, add, lambda seen: seen["found"])))
 
 
 def invocations(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, line_no, script, flags): the script calls of a document's shell blocks, lines that end with a backslash joined to the next."""
-    lines = block_lines(docs, key, text)
-    own = Window.partitionBy(key, "block").orderBy("line_no")
-    goes_on = F.coalesce(F.lag(F.endswith("line", F.lit("\\"))).over(own), F.lit(False))
-    islands = lines.withColumn("_new", (~goes_on).cast("int")).withColumn("_command", F.sum("_new").over(own)).withColumn("_follows", F.lead("line_no").over(own).isNotNull())
+    lines = F.split("body", "\n", -1)
     # a backslash at the end of a block's last line joins nothing
-    part = F.when(F.endswith("line", F.lit("\\")) & F.col("_follows"), F.concat(F.expr("substring(line, 1, length(line) - 1)"), F.lit(" "))).otherwise(F.col("line"))
-    joined = islands.groupBy(key, "block", "_command").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.struct("line_no", part.alias("part")))).alias("_parts"))
-    command = F.btrim(F.array_join(F.transform("_parts", lambda p: p["part"]), ""), F.lit(" \t\r\f\x0b"))
-    called = joined.select(key, "line_no", command.alias("_c")).where(F.startswith("_c", F.lit(CALL)) & F.col("_c").rlike(SCRIPT))
+    heads = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == 0) | ~F.endswith(F.get("_lines", i - 1), F.lit("\\")))
+    commands = F.split("body", r"(?<!\\)\n", -1)
+    split = shell_blocks(docs, key, text).withColumn("_lines", lines)
+    each = split.select(key, "line_no", F.inline(F.arrays_zip(heads.alias("_head"), commands.alias("_c"))))
+    command = F.btrim(F.replace("_c", F.lit("\\\n"), F.lit(" ")), F.lit(" \t\r\f\x0b"))
+    called = each.select(key, (F.col("line_no") + F.col("_head")).alias("line_no"), command.alias("_c")).where(F.startswith("_c", F.lit(CALL)) & F.col("_c").rlike(SCRIPT))
     return called.select(key, "line_no", F.regexp_extract("_c", SCRIPT, 1).alias("script"), flags_of(F.col("_c")).alias("flags"))
 
 
