@@ -52,6 +52,10 @@ _IS_BREAK = ~S.byte_table(*_BREAKS)
 _IS_WORD = S.byte_table(0x20, 0x09, *_BREAKS)
 #: Bits of the hash that pairs are counted by at first; beyond some 2**HASH_BITS different pairs the count rules few of them out.
 HASH_BITS = 40
+#: Codes and pairs of a row of a stream: Parquet looks at what it holds every hundred rows and is read 4,096 rows at a time, so a row is small.
+PIECE = 256
+#: Bits of a chunk's number; those above hold a row's place among the rows of its chunk.
+CHUNK_BITS = 40
 _STREAM = "chunk long, linked int, codes array<int>, left array<long>, right array<long>, n array<long>"
 
 
@@ -193,7 +197,7 @@ def chain_hashes(docs: DataFrame, frequent, likely, *, chunk_bytes: int = CHUNK_
 
 
 def _stream_columns(goes_on: np.ndarray, left: np.ndarray, right: np.ndarray, names: np.ndarray) -> list[pa.Array]:
-    """linked, codes, left, right, n of a stream: the pairs (names[left], names[right]) at the places of a chunk.
+    """linked, codes, left, right, n of a chunk: the pairs (names[left], names[right]) at its places.
 
     `left` and `right` are codes, so that pairs are told apart exactly; goes_on says
     which pairs are in a row with the next one. A code of -1 parts those that are
@@ -213,6 +217,15 @@ def _stream_columns(goes_on: np.ndarray, left: np.ndarray, right: np.ndarray, na
     return [pa.array([int((~alone).sum())], pa.int32()), *[pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]]
 
 
+def _pieces(chunk: int, linked: pa.Array, *lists: pa.Array) -> pa.RecordBatch:
+    """A chunk's rows of a stream: PIECE codes and pairs each, of which the first `linked` pairs have a code among the chunk's."""
+    values = [x.flatten() for x in lists]
+    starts = np.arange(-(-max(map(len, values)) // PIECE) + 1) * PIECE
+    lists = [pa.ListArray.from_arrays(pa.array(np.minimum(starts, len(v)), pa.int32()), v) for v in values]
+    own = np.clip(linked[0].as_py() - starts[:-1], 0, PIECE)
+    return pa.RecordBatch.from_arrays([pa.array(chunk | starts[:-1] // PIECE << CHUNK_BITS, pa.int64()), pa.array(own, pa.int32()), *lists], names=_FIELDS)
+
+
 _FIELDS = ["chunk", "linked", "codes", "left", "right", "n"]
 _NO_STREAM = pa.schema(list(zip(_FIELDS, [pa.int64(), pa.int32(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3], strict=True))).empty_table()
 
@@ -221,15 +234,14 @@ def text_stream(docs: DataFrame, frequent, likely, chains=None, *, chunk_bytes:
     """The stream of word pairs that pass the filters; without one for chains no pairs are in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
+        first = TaskContext.get().partitionId() << CHUNK_BITS // 2
         for k, (buf, at, langs) in enumerate(_chunks(batches, chunk_bytes)):
             words = _Words(buf, at, langs)
             i, hashes = _likely_pairs(words, frequent.value, likely.value)
             goes_on = i[1:] == i[:-1] + 1
             goes_on &= chains.value.test(_pair_hash(hashes[:-1], hashes[1:])) if chains is not None else False
             names, code = np.unique(words.names, return_inverse=True)
-            columns = _stream_columns(goes_on, code[i], code[i + 1], names)
-            yield pa.RecordBatch.from_arrays([pa.array([first + k], pa.int64()), *columns], names=_FIELDS)
+            yield _pieces(first + k, *_stream_columns(goes_on, code[i], code[i + 1], names))
 
     return _source(docs).mapInArrow(run, _STREAM)
 
@@ -243,25 +255,25 @@ def name_pairs(stream: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
 
 def next_stream(stream: DataFrame, pairs: DataFrame) -> DataFrame:
     """The places of a stream under the names of their pairs; neighbouring names are its pairs."""
-    going_on = stream.where("linked > 0")
+    of = F.col("chunk").bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)).alias("of")
     linked = [F.slice(c, 1, F.col("linked")).alias(c) for c in ("left", "right")]
-    local = going_on.select("chunk", F.posexplode(F.arrays_zip(*linked))).select("chunk", F.col("pos").alias("code"), "col.left", "col.right")
+    local = stream.where("linked > 0").select(of, (F.shiftright("chunk", CHUNK_BITS) * PIECE).alias("at"), F.posexplode(F.arrays_zip(*linked))).select("of", (F.col("at") + F.col("pos")).alias("code"), "col.left", "col.right")
     # chunk by chunk in order of the key: lists of all a task's chunks at a time would grow with the input
-    known = local.join(pairs.select("left", "right", "id"), ["left", "right"]).select(F.col("chunk").alias("of"), "code", "id")
+    known = local.join(pairs.select("left", "right", "id"), ["left", "right"]).select("of", "code", "id")
 
     def run(own: pa.Table, named: pa.Table) -> pa.Table:
         if not own.num_rows or not named.num_rows:
             return _NO_STREAM
+        own = own.sort_by("chunk")
         codes = np.array(own["codes"].combine_chunks().flatten(), np.int64)
         code, names = np.array(named["code"], np.int64), np.array(named["id"], np.int64)
         place_of = np.full(int(codes.max()) + 1, -1, np.int64)
         place_of[code] = np.arange(len(code))
         at = np.where(codes >= 0, place_of[codes], -1)
         i = np.flatnonzero((at[1:] >= 0) & (at[:-1] >= 0))
-        columns = _stream_columns(i[1:] == i[:-1] + 1, at[i], at[i + 1], names)
-        return pa.Table.from_arrays([own["chunk"].combine_chunks(), *columns], names=_FIELDS)
+        return pa.Table.from_batches([_pieces(own["of"][0].as_py(), *_stream_columns(i[1:] == i[:-1] + 1, at[i], at[i + 1], names))])
 
-    return going_on.select("chunk", "codes").groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(run, _STREAM)
+    return stream.where("size(codes) > 0").select(of, "chunk", "codes").groupBy("of").cogroup(known.groupBy("of")).applyInArrow(run, _STREAM)
 
 
 def phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, log_bits: int = bloom.LOG_BITS, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, list[DataFrame]]:
